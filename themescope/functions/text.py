@@ -98,3 +98,9 @@ def parses_as_float(col: Column) -> Column:
 def is_digits_only(col: Column) -> Column:
     """Digits once dots and dashes are taken out."""
     return strip(F.regexp_replace(col, r"[.\-]", "")).rlike(r"^\p{Nd}+$")
+
+
+def distinct_names(col: Column) -> Column:
+    """Names between commas, trimmed, blanks dropped, first-seen order, no repeats."""
+    parts = F.transform(F.split(col, ","), strip)
+    return F.array_distinct(F.filter(parts, lambda w: F.length(w) > 0))

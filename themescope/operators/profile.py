@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from themescope.functions.text import is_digits_only, parses_as_float, strip
 from themescope.operators.rows import first_in_group
 
-RESERVED = ("text", "Message", "Cluster", "Cluster_ID", "Cluster_Label")
+RESERVED = ("text", "Message", "Cluster", "cluster", "Cluster_ID", "Cluster_Label")
 MAX_COMPARE_VALUES = 50
 MAX_SUMMARY_VALUES = 200
 SAMPLE_ROWS = 500
