@@ -67,13 +67,20 @@ def embedded(spark, folder):
     return _exploded(embed_step(conv(spark, folder), "text", skip=10), "row_id")
 
 
+NUMBERS = """mixed AS (SELECT doc_id AS row_id, CASE WHEN lang = 'fr' THEN CAST(n_chars AS VARCHAR) ELSE text END AS text
+  FROM documents)"""
+
+
 @query(
     "zero_fill",
-    _with(CONV)
-    + f"""SELECT row_id, {WIDTH} AS width, 0.0::DOUBLE AS total FROM conv WHERE len({words_sql('text')}) = 0""",
+    _with(NUMBERS)
+    + f"""SELECT row_id, {WIDTH} AS width, 0.0::DOUBLE AS total FROM mixed WHERE len({words_sql('text')}) = 0""",
 )
 def zero_fill(spark, folder):
-    vectors = embed_text(conv(spark, folder).select("row_id", "text"))
+    """Texts without a single word get a zero vector of full width."""
+    docs = table(spark, folder, "documents")
+    text = F.when(F.col("lang") == "fr", F.col("n_chars").cast("string")).otherwise(F.col("text"))
+    vectors = embed_text(docs.select(F.col("doc_id").alias("row_id"), text.alias("text")))
     total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
     return vectors.select("row_id", F.size("embedding").alias("width"), total.alias("total")).where(F.col("total") == 0)
 

@@ -47,8 +47,9 @@ def write_csv(df: DataFrame, path: str, bom: bool = True) -> None:
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
-    """Text report from ``(line_no, line)``; part files are in line order."""
-    lines.orderBy("line_no").select(F.coalesce("line", F.lit("")).alias("value")).write.mode(
+    """Text report from ``(order columns..., line)``; part files are in line order."""
+    order = [c for c in lines.columns if c != "line"]
+    lines.orderBy(*order).select(F.coalesce("line", F.lit("")).alias("value")).write.mode(
         "overwrite"
     ).text(path)
 
