@@ -24,9 +24,9 @@ def _slots(rows, key):
 
 
 def _exploded(df, key):
-    """One line per non-zero dimension."""
+    """One line per non-zero dimension (the outer form infers no filter that repeats the vector)."""
     return (
-        df.select(key, F.posexplode("embedding").alias("slot", "value"))
+        df.select(key, F.posexplode_outer("embedding").alias("slot", "value"))
         .where(F.col("value") != 0)
         .select(key, F.col("slot").cast("bigint").alias("slot"), F.col("value").cast("double").alias("value"))
     )
@@ -134,7 +134,7 @@ def l2_normalize(spark, folder):
 )
 def augment_vector(spark, folder):
     rows = meta(spark, folder).where(F.col("embedding").isNotNull())
-    out = augment(rows).select("row_id", F.posexplode("embedding").alias("dim", "value"))
+    out = augment(rows).select("row_id", F.posexplode_outer("embedding").alias("dim", "value"))
     return rounded(out.withColumn("dim", F.col("dim").cast("bigint")), "value")
 
 

@@ -21,6 +21,7 @@ from themescope.operators.rows import first_in_group, hash_sample
 from themescope.session import cut_lineage
 
 BLOCK_ROWS = 8192
+QUERY_ROWS = 2048
 MAX_PIVOTS = 1024
 MAX_RINGS = 64
 # The block list is held by every task; blocks grow beyond this many.
@@ -65,6 +66,18 @@ def build_index(
     points = points.select("id", F.col("vec").cast("array<double>").alias("vec"))
     total = points.count()
     block_rows = max(block_rows, -(-total // MAX_BLOCKS))
+    if total <= block_rows and not pivots:
+        # Everything fits one block: nothing to choose among.
+        return Index(
+            points.withColumn("block", F.lit(0).cast("bigint")),
+            np.zeros((0, 0)),
+            np.zeros(1, np.int64),
+            np.zeros(1, np.int64),
+            np.zeros(1),
+            np.full(1, np.inf),
+            np.array([total]),
+            block_rows,
+        )
     wanted = pivots or min(MAX_PIVOTS, max(1, total // (block_rows // 2 or 1)))
     chosen = hash_sample(points, "id", wanted).orderBy("id").limit(wanted).collect()
     centre = np.array([r["vec"] for r in chosen], dtype=np.float64)
@@ -210,15 +223,19 @@ def search(
     points = index.points
     if traits is None:
         points = points.select("block", "id", "vec", F.lit(0.0).alias("core"), F.col("id").alias("comp"))
-        pure = None
     else:
         points = points.join(traits.select("id", "core", "comp"), "id").select(
             "block", "id", "vec", "core", F.col("comp").cast("bigint").alias("comp")
         )
-        pure = _pure_blocks(index, points)
-    home = _visit(index, q, points, k, metric, pure, "home")
     if len(index.block) == 1:
-        return _keep_best(home, k)
+        copies = max(1, -(-q.count() // QUERY_ROWS))
+        asking = q.withColumn("block", F.lit(0).cast("bigint")).withColumn(
+            "copy", F.pmod(F.xxhash64("qid"), F.lit(copies)).cast("int")
+        )
+        holding = points.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+        return _keep_best(_match(asking, holding, k, metric), k)
+    pure = None if traits is None else _pure_blocks(index, points)
+    home = _visit(index, q, points, k, metric, pure, "home")
     home = cut_lineage(home)
     reach = home.groupBy("qid").agg(F.count(F.lit(1)).alias("_hits"), F.max("w").alias("_kth"))
     tighter = (
@@ -293,10 +310,10 @@ def _visit(index, q, points, k, metric, pure, stage) -> DataFrame:
                     )
 
     # A block that many queries want is copied, so that no task gets more than
-    # about BLOCK_ROWS of them.
+    # about QUERY_ROWS of them.
     visits = q.mapInArrow(count_route, "block bigint").groupBy("block").count()
     copies = visits.select(
-        "block", F.ceil(F.col("count") / F.lit(BLOCK_ROWS)).cast("int").alias("_copies")
+        "block", F.ceil(F.col("count") / F.lit(QUERY_ROWS)).cast("int").alias("_copies")
     )
     copies = F.broadcast(copies)  # one line per block
     routed = q.mapInArrow(route, "qid bigint, vec array<double>, core double, comp bigint, bound double, block bigint")
@@ -307,22 +324,35 @@ def _visit(index, q, points, k, metric, pure, stage) -> DataFrame:
         "copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))
     )
 
+    return _match(asking, holding, k, metric)
+
+
+def _match(asking: DataFrame, holding: DataFrame, k: int, metric: str) -> DataFrame:
+    """Best partners of every query among the points of its block."""
+
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
-        get = lambda t, c: t.column(c).combine_chunks().to_numpy(zero_copy_only=False)
+        def column(table: pa.Table, name: str) -> np.ndarray:
+            return table.column(name).combine_chunks().to_numpy(zero_copy_only=False)
+
         if left.num_rows == 0 or right.num_rows == 0:
             qid, xid, w = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         else:
             qid, xid, w = _best(
-                matrix(left.column("vec")), get(left, "qid"), get(left, "core"), get(left, "comp"),
-                get(left, "bound"), matrix(right.column("vec")), get(right, "id"),
-                get(right, "core"), get(right, "comp"), k, metric,
+                matrix(left.column("vec")),
+                *(column(left, c) for c in ("qid", "core", "comp", "bound")),
+                matrix(right.column("vec")),
+                *(column(right, c) for c in ("id", "core", "comp")),
+                k,
+                metric,
             )
         return pa.table({"qid": qid, "id": xid, "w": w})
 
     return (
         asking.select("block", "copy", "qid", "vec", "core", "comp", "bound")
         .groupBy("block", "copy")
-        .cogroup(holding.select("block", "copy", "id", "vec", "core", "comp").groupBy("block", "copy"))
+        .cogroup(
+            holding.select("block", "copy", "id", "vec", "core", "comp").groupBy("block", "copy")
+        )
         .applyInArrow(kernel, _MATCH)
     )
 
