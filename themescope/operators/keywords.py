@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from themescope.functions.text import words
 from themescope.functions.words import STOPWORDS
 from themescope.operators.rows import first_in_group
+from themescope.session import cut_lineage
 
 
 def word_rows(rows: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -33,12 +34,20 @@ def top_keywords(
         .agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("row_id"))
     )
     order = [F.desc("n"), F.asc("row_id")]
+    same = W.partitionBy(by, "n", "row_id")
     leading = counts.withColumn("place", F.rank().over(W.partitionBy(by).orderBy(*order))).where(
         F.col("place") <= n
     )
-    placed = leading.join(rows.select("row_id", "text"), "row_id").withColumn(
-        "position", F.array_position(words(F.col("text")), F.col("word"))
-    )
+    # A few lines per cluster: written once, so that the join below is planned
+    # from its real size.
+    leading = cut_lineage(leading.withColumn("_tied", F.count(F.lit(1)).over(same) > 1))
+    tied = leading.where("_tied")
+    placed = leading.where(~F.col("_tied")).withColumn("position", F.lit(0).cast("bigint"))
+    if tied.limit(1).count():
+        found = tied.join(rows.select("row_id", "text"), "row_id").withColumn(
+            "position", F.array_position(words(F.col("text")), F.col("word"))
+        )
+        placed = placed.unionByName(found.drop("text"))
     return first_in_group(
         placed.select(by, "word", "n", "row_id", "position"), [by], [*order, F.asc("position")], n
     ).select(by, "rank", "word", "n")

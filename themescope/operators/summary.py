@@ -18,6 +18,7 @@ from themescope.functions.text import (
 )
 from themescope.operators.keywords import keyword_lists, top_keywords
 from themescope.operators.rows import first_in_group, rank_in_group, seeded_hash
+from themescope.session import cut_lineage
 
 PICKED = 8
 SHORTEST, LONGEST = 20, 200
@@ -107,7 +108,10 @@ def representatives(msgs: DataFrame, n: int = PICKED, seed: int = 42) -> DataFra
         .unionByName(fill.select(*columns).withColumn("_order", F.col("_order").cast("bigint")))
     )
     picked = first_in_group(candidates, ["cluster"], [F.asc("_order")], n, "place")
-    return picked.select("cluster", "place", "row_id").join(msgs, ["cluster", "row_id"])
+    # At most n keys per cluster: written once, so that fetching their texts is
+    # planned from the real size.
+    keys = cut_lineage(picked.select("cluster", "place", "row_id"))
+    return keys.join(msgs, ["cluster", "row_id"])
 
 
 def _middle_rows(keys: DataFrame, width: int = 1 << 16) -> DataFrame:

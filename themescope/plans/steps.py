@@ -100,7 +100,9 @@ def cluster_step(
     else:
         labels = agglomerative(vectors, k, **options)
     named = rows.drop("embedding", "cluster").join(labels, "row_id")
-    return Clustering(named, cluster_summary(named, labeller, category_columns), k, explained)
+    # One line per cluster; every report and chart reads it again.
+    summary = cut_lineage(cluster_summary(named, labeller, category_columns))
+    return Clustering(named, summary, k, explained)
 
 
 @dataclass
