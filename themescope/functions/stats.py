@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Two-sided 95 % point of the standard normal. Fixed value.
@@ -14,14 +14,20 @@ _SERIES_TERMS = 200
 
 
 def erf(x: Column) -> Column:
-    """Error function for x >= 0 by its all-positive power series."""
+    """Error function for x >= 0 by its all-positive power series.
+
+    Give it a plain column: the series refers to it many times.
+    """
+    def grow(acc: Column, i: Column) -> Column:
+        term = acc["term"] * acc["twice"] / (2 * i + 1)
+        return F.struct(
+            term.alias("term"), (acc["total"] + term).alias("total"), acc["twice"].alias("twice")
+        )
+
     series = F.aggregate(
         F.sequence(F.lit(1), F.lit(_SERIES_TERMS)),
-        F.struct(x.alias("term"), x.alias("total")),
-        lambda acc, i: F.struct(
-            (acc["term"] * 2 * x * x / (2 * i + 1)).alias("term"),
-            (acc["total"] + acc["term"] * 2 * x * x / (2 * i + 1)).alias("total"),
-        ),
+        F.struct(x.alias("term"), x.alias("total"), (2 * x * x).alias("twice")),
+        grow,
         lambda acc: acc["total"],
     )
     value = series * F.exp(-x * x) * (2.0 / math.sqrt(math.pi))
@@ -67,24 +73,33 @@ def chi_square_p(x: Column, dof: Column) -> Column:
     return F.when((dof <= 0) | (x <= 0), F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), tail)))
 
 
-def two_proportion_test(n1: Column, x1: Column, n2: Column, x2: Column) -> dict[str, Column]:
-    """Pooled z statistic, two-sided p and the 95 % interval in percent points.
+def with_two_proportion_test(
+    df: DataFrame, n1: int, x1: Column, n2: int, x2: Column, names: tuple[str, str, str, str]
+) -> DataFrame:
+    """Add pooled z, two-sided p and the 95 % interval in percent points.
 
-    Every result is null when a group is empty or the pooled error is zero.
+    Every result is null when a group is empty or the pooled error is zero. The
+    steps are separate columns, so that none is spelled out twice in the plan.
     """
-    n1, x1, n2, x2 = (c.cast("double") for c in (n1, x1, n2, x2))
-    n1, n2 = F.nullif(n1, F.lit(0.0)), F.nullif(n2, F.lit(0.0))
-    p1, p2 = x1 / n1, x2 / n2
-    pooled = (x1 + x2) / (n1 + n2)
-    error = F.nullif(F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n2)), F.lit(0.0))
-    gap = p1 - p2
-    z = gap / error
-    return {
-        "z_score": z,
-        "p_value": F.when(z.isNotNull(), two_sided_p(z)),
-        "ci_lower": (gap - Z_95 * error) * 100,
-        "ci_upper": (gap + Z_95 * error) * 100,
-    }
+    z, p, low, high = names
+    x1, x2 = x1.cast("double"), x2.cast("double")
+    if n1 <= 0 or n2 <= 0:
+        return df.withColumns({name: F.lit(None).cast("double") for name in names})
+    pooled = (x1 + x2) / float(n1 + n2)
+    spread = 1 / n1 + 1 / n2
+    out = df.withColumns({"_gap": x1 / float(n1) - x2 / float(n2), "_pooled": pooled})
+    error = F.sqrt(F.col("_pooled") * (1 - F.col("_pooled")) * spread)
+    out = out.withColumn("_error", F.nullif(error, F.lit(0.0)))
+    out = out.withColumn(z, F.col("_gap") / F.col("_error"))
+    margin = Z_95 * F.col("_error")
+    out = out.withColumns(
+        {
+            p: F.when(F.col(z).isNotNull(), two_sided_p(F.col(z))),
+            low: (F.col("_gap") - margin) * 100,
+            high: (F.col("_gap") + margin) * 100,
+        }
+    )
+    return out.drop("_gap", "_pooled", "_error")
 
 
 def finite_or_null(x: Column) -> Column:

@@ -104,3 +104,8 @@ def distinct_names(col: Column) -> Column:
     """Names between commas, trimmed, blanks dropped, first-seen order, no repeats."""
     parts = F.transform(F.split(col, ","), strip)
     return F.array_distinct(F.filter(parts, lambda w: F.length(w) > 0))
+
+
+def fixed_digits(col: Column, digits: int) -> Column:
+    """A number with that many decimals, exact halves to even, no grouping."""
+    return F.replace(F.format_number(col, digits), F.lit(","), F.lit(""))

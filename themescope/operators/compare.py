@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from themescope.functions.stats import chi_square_p, finite_or_null, two_proportion_test
+from themescope.functions.stats import chi_square_p, finite_or_null, with_two_proportion_test
 from themescope.functions.text import strip
 from themescope.operators.profile import keep_groups
 
-TESTS = ("z_score", "p_value", "ci_lower", "ci_upper")
+TESTS = ("Z_Score", "P_Value", "CI_Lower", "CI_Upper")
 
 
 def cells(rows: DataFrame, group_col: str, groups: list[str]) -> DataFrame:
@@ -120,15 +120,10 @@ def proportions(counts: DataFrame, clusters: DataFrame, totals: dict[str, int])
 
 def z_tests(wide: DataFrame, totals: dict[str, int]) -> DataFrame:
     """Add the two-proportion test per cluster; null columns unless two groups."""
-    if len(totals) == 2:
-        (a, n_a), (b, n_b) = totals.items()
-        test = two_proportion_test(
-            F.lit(n_a), F.col(f"`{a}_Count`"), F.lit(n_b), F.col(f"`{b}_Count`")
-        )
-    else:
-        test = {name: F.lit(None).cast("double") for name in TESTS}
-    titles = ("Z_Score", "P_Value", "CI_Lower", "CI_Upper")
-    return wide.withColumns({t: test[name] for t, name in zip(titles, TESTS)})
+    if len(totals) != 2:
+        return wide.withColumns({name: F.lit(None).cast("double") for name in TESTS})
+    (a, n_a), (b, n_b) = totals.items()
+    return with_two_proportion_test(wide, n_a, F.col(f"`{a}_Count`"), n_b, F.col(f"`{b}_Count`"), TESTS)
 
 
 def crosstab(counts: DataFrame, groups: list[str]) -> DataFrame:

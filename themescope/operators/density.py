@@ -518,5 +518,6 @@ def density_cluster(
     merges = dendrogram(tree, points, pack_edges)
     clusters, placed = condense(merges, points, mcs)
     chosen = placed.join(select_clusters(clusters, small_tree), "cid", "left").select("id", "chosen")
-    named = points.join(chosen, "id").select("vec", "chosen", F.col("copies").alias("n_rows"))
-    return number_labels(join_repeated(rows, named, "vec").select("row_id", "chosen"))
+    named = points.join(chosen, "id").select("vec", "chosen")
+    copies = points.select("vec", F.col("copies").alias("n_rows"))
+    return number_labels(join_repeated(rows, named, "vec", copies).select("row_id", "chosen"))

@@ -20,10 +20,8 @@ ATTEMPTS = 3
 
 
 def distinct_texts(rows: DataFrame) -> DataFrame:
-    """``(text, rep_id, n_rows)``: one line per text; repeats combine before the shuffle."""
-    return rows.groupBy("text").agg(
-        F.min("row_id").alias("rep_id"), F.count(F.lit(1)).alias("n_rows")
-    )
+    """``(text, rep_id)``: one line per text; repeats combine before the shuffle."""
+    return rows.groupBy("text").agg(F.min("row_id").alias("rep_id"))
 
 
 def hashed_vectors(texts: DataFrame, width: int = HASHED_WIDTH) -> DataFrame:
@@ -47,7 +45,6 @@ def hashed_vectors(texts: DataFrame, width: int = HASHED_WIDTH) -> DataFrame:
     empty = F.array_repeat(F.lit(0.0).cast("float"), width)
     return texts.join(counts, "rep_id", "left").select(
         "rep_id",
-        "n_rows",
         F.sha2("text", 256).alias("_digest"),
         F.when(F.col("_slots").isNull(), empty).otherwise(vector).alias("embedding"),
         F.lit(False).alias("failed"),
@@ -91,18 +88,17 @@ def called_vectors(
             yield pd.DataFrame(
                 {
                     "rep_id": batch["rep_id"],
-                    "n_rows": batch["n_rows"],
                     "_digest": batch["_digest"],
                     "embedding": pd.Series(vectors, index=batch.index, dtype=object),
                 }
             )
 
-    source = texts.select("rep_id", "n_rows", "text", F.sha2("text", 256).alias("_digest"))
+    source = texts.select("rep_id", "text", F.sha2("text", 256).alias("_digest"))
     if calls:
         source = source.repartition(calls)
     raw = cut_lineage(
         source.mapInPandas(
-            run, "rep_id bigint, n_rows bigint, _digest string, embedding array<float>"
+            run, "rep_id bigint, _digest string, embedding array<float>"
         )
     )
     if width is None:
@@ -133,4 +129,6 @@ def embed_text(
     else:
         vectors = called_vectors(texts, embedder, second, calls, width)
     keyed = rows.withColumn("_digest", F.sha2("text", 256))
-    return join_repeated(keyed, vectors.drop("rep_id"), "_digest", spread).drop("_digest")
+    return join_repeated(
+        keyed, vectors.select("_digest", "embedding", "failed"), "_digest", spread=spread
+    ).drop("_digest")

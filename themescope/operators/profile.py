@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themescope.functions.text import is_digits_only, parses_as_float, strip
-from themescope.operators.rows import first_in_group
 
 RESERVED = ("text", "Message", "Cluster", "cluster", "Cluster_ID", "Cluster_Label")
 MAX_COMPARE_VALUES = 50
@@ -60,14 +61,18 @@ def mostly_text_columns(
 ) -> DataFrame:
     """``(column, n_sampled, n_text)`` over the first non-null values of each column."""
     columns = columns or [c for c in df.columns if c != key]
-    long = df.select(
-        F.col(key),
-        F.inline(
-            F.array(*[F.struct(F.lit(c).alias("column"), _text(c).alias("value")) for c in columns])
-        ),
-    ).where(F.col("value").isNotNull())
+    # One small top-n per column: each reads its own column only and keeps a
+    # heap of a few hundred rows per task, where one window would sort the table.
+    heads = [
+        df.select(F.col(key), _text(c).alias("value"))
+        .where(F.col("value").isNotNull())
+        .orderBy(key)
+        .limit(sample_rows)
+        .select(F.lit(c).alias("column"), "value")
+        for c in columns
+    ]
     return (
-        first_in_group(long, ["column"], [F.col(key)], sample_rows)
+        reduce(DataFrame.unionByName, heads)
         .groupBy("column")
         .agg(
             F.count(F.lit(1)).alias("n_sampled"),

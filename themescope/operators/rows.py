@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from themescope.session import cut_lineage
+
 # Rows ordered together when ranks are taken inside a group.
 RANGE_WIDTH = 1 << 16
 # Buckets per pass when a single rank is searched for.
@@ -27,7 +29,7 @@ def nth_key(keys: DataFrame, key: str, n: int) -> int | None:
         return None
     while low < high:
         width = (high - low) // _HISTOGRAM + 1
-        bucket = F.expr(f"({_quoted(key)} - {low}L) div {width}L")
+        bucket = F.expr(f"(`{key}` - {low}L) div {width}L")
         counts = (
             keys.where(F.col(key).between(low, high))
             .groupBy(bucket.alias("bucket"))
@@ -42,10 +44,6 @@ def nth_key(keys: DataFrame, key: str, n: int) -> int | None:
     return low
 
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def slice_rows(df: DataFrame, key: str, skip: int = 0, limit: int | None = None) -> DataFrame:
     """Rows ranked ``skip + 1 .. skip + limit`` by a unique integer key.
 
@@ -125,26 +123,34 @@ def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 
 def join_repeated(
-    left: DataFrame, right: DataFrame, key: str, spread: int = 1_000_000
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    counts: DataFrame | None = None,
+    spread: int = 1_000_000,
 ) -> DataFrame:
-    """Inner join of rows to one-row-per-key data when some keys repeat heavily.
+    """Inner join of rows to one-row-per-key data when some keys may repeat heavily.
 
-    ``right`` carries ``n_rows``, the number of left rows of its key. Keys above
-    ``spread`` rows are cut into pieces: the right row is copied once per piece
-    and left rows pick a piece at random by hash. At most (left rows / spread)
-    keys are that large, and that list alone is offered for broadcast.
+    Keys above ``spread`` rows are found first (``counts`` is ``(key, n_rows)``
+    when already known); there are at most (left rows / spread) of them. Their
+    right rows are copied once per piece of ``spread`` rows, and left rows pick a
+    piece by hash of ``row_id``. Without such keys this is an ordinary join.
     """
-    pieces = F.ceil(F.col("n_rows") / F.lit(spread)).cast("int")
-    heavy = right.where(F.col("n_rows") > spread).select(key, pieces.alias("_pieces"))
-    salted_left = (
-        left.join(heavy, key, "left")
-        .withColumn(
-            "_piece",
-            F.when(F.col("_pieces").isNull(), 0).otherwise(
-                F.pmod(F.xxhash64("row_id"), F.coalesce("_pieces", F.lit(1))).cast("int")
-            ),
+    if counts is None:
+        counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
+    heavy = cut_lineage(
+        counts.where(F.col("n_rows") > spread).select(
+            key, F.ceil(F.col("n_rows") / F.lit(spread)).cast("int").alias("_pieces")
         )
+    )
+    if not heavy.limit(1).count():
+        return left.join(right, key)
+    pick = F.pmod(F.xxhash64("row_id"), F.col("_pieces")).cast("int")
+    salted = left.join(heavy, key, "left").withColumn("_piece", F.coalesce(pick, F.lit(0))).drop("_pieces")
+    last = F.coalesce(F.col("_pieces"), F.lit(1)) - 1
+    copied = (
+        right.join(heavy, key, "left")
+        .withColumn("_piece", F.explode(F.sequence(F.lit(0), last)))
         .drop("_pieces")
     )
-    salted_right = right.withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
-    return salted_left.join(salted_right, [key, "_piece"]).drop("_piece", "n_rows")
+    return salted.join(copied, [key, "_piece"]).drop("_piece")
