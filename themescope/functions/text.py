@@ -33,8 +33,10 @@ def words(col: Column) -> Column:
 
 
 def _has_any(raw: Column, lowered: Column, tokens: list[str]) -> Column:
+    # A token that contains another one can only match where that one does.
+    needed = [t for t in dict.fromkeys(tokens) if not any(o != t and o in t for o in tokens)]
     tests = []
-    for token in tokens:
+    for token in needed:
         tests.append(lowered.contains(token))
         if token != token.lower():  # a lower-case token cannot hit raw text only
             tests.append(raw.contains(token))
