@@ -181,11 +181,12 @@ def test_label_clashes(spark):
 
 
 def test_summary_with_labeller_and_categories(spark):
-    rows = [(i, 0, f"parcel late again {i}", "a b") for i in range(12)] + [(20, 1, "hello", "c"), (21, -1, "noise", "c"), (22, 1, " ", None)]
+    rows = [(i, 0, f"parcel late again {i}", "a b") for i in range(12)] + [(20, 1, "hello", "c"), (21, -1, "noise", "d"), (22, 1, " ", None)]
     df = frame(spark, rows, "row_id bigint, cluster int, text string, `my col` string")
     out = summary.cluster_summary(df, lambda prompts: ['"Late   parcels" and more words' for _ in prompts], ["my col"])
     got = {r["Cluster_ID"]: r for r in out.collect()}
     assert got[0]["Cluster_Label"] == "Late parcels and more" and got[0]["my_col__a_b_Count"] == 12
+    assert got[0]["my_col__d_Count"] == 0 and got[1]["my_col__c_Count"] == 1
     assert got[1]["Cluster_Label"] == "Cluster 2" and got[1]["Top_Keywords"] == "" and got[1]["Message_Count"] == 1
     assert got[0]["Top_Keywords"].split(", ") == ["parcel", "late", "again"]
     assert len(got[0]["Sample_Messages"].split(" | ")) == 5
@@ -208,7 +209,8 @@ def test_cluster_step_end_to_end(spark):
     rows = [(i, words[i % 3] + f" {'good'} number", "ab"[i % 2]) for i in range(60)]
     df = embed_text(frame(spark, rows, "row_id bigint, text string, grp string"))
     for algorithm in ("kmeans", "agglomerative"):
-        done = cluster_step(df, algorithm, k=3, components=10, category_columns=["grp"])
+        done = cluster_step(df, algorithm, k=3, components=10)
+        assert [c for c in done.summary.columns if c.endswith("_Count")][1:] == ["grp__a_Count", "grp__b_Count"]
         assert sorted(r["Message_Count"] for r in done.summary.collect()) == [20, 20, 20]
         assert done.explained is not None
     with pytest.raises(ValueError):

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 
 from themescope.operators.components import connected, follow
 from themescope.operators.neighbors import Index, build_index, knn, search
-from themescope.operators.rows import join_repeated
+from themescope.operators.rows import join_repeated, rank_in_group
 from themescope.session import cut_lineage
 
 # Edges of the spanning tree put in order by one task at a time.
@@ -486,8 +486,8 @@ def _select_by_level(tree: DataFrame) -> DataFrame:
 def number_labels(found: DataFrame) -> DataFrame:
     """Clusters numbered from 0 by their lowest row id; no cluster is -1."""
     firsts = found.where(F.col("chosen").isNotNull()).groupBy("chosen").agg(F.min("row_id").alias("_first"))
-    numbers = firsts.select(
-        "chosen", (F.row_number().over(W.orderBy("_first")) - 1).cast("int").alias("cluster")
+    numbers = rank_in_group(firsts, [], "_first", "cluster").select(
+        "chosen", F.col("cluster").cast("int").alias("cluster")
     )
     return found.join(numbers, "chosen", "left").select(
         "row_id", F.coalesce("cluster", F.lit(-1)).alias("cluster")

@@ -14,9 +14,12 @@ RESERVED = ("text", "Message", "Cluster", "cluster", "Cluster_ID", "Cluster_Labe
 MAX_COMPARE_VALUES = 50
 MAX_SUMMARY_VALUES = 200
 SAMPLE_ROWS = 500
+# A comparison has two columns per group; more than this is not one table.
+MAX_GROUPS = 10_000
 
 # One bit per hash value: a bitmap aggregate of fixed size per column.
 _BITS = 32768
+_HEAD_ROWS = 5000
 
 
 def _text(name: str) -> Column:
@@ -94,7 +97,9 @@ def category_values(
 
     A fixed-size bitmap of value hashes is filled for all columns in one pass.
     Its bit count never exceeds the distinct count, so a column with more than
-    ``high`` bits is out for certain; the few left are then counted exactly.
+    ``high`` bits is out for certain; the few left are then counted exactly. The
+    same test on the first rows comes first: it rules out columns of free text
+    or ids before they are read in full.
     """
     columns = columns or [c for c in df.columns if c not in skip]
 
@@ -103,11 +108,12 @@ def category_values(
         slot = F.pmod(F.xxhash64(value), F.lit(_BITS))
         return F.bitmap_count(F.bitmap_construct_agg(F.when(F.length(value) > 0, slot)))
 
-    narrow = [
-        r["column"]
-        for r in _per_column(df, columns, bits, "bits").collect()
-        if r["bits"] is not None and 0 < r["bits"] <= high
-    ]
+    def within(rows: DataFrame, names: list[str], least: int) -> list[str]:
+        found = _per_column(rows, names, bits, "bits").collect() if names else []
+        return [r["column"] for r in found if least <= (r["bits"] or 0) <= high]
+
+    head = df.select(*[F.col(f"`{c}`") for c in columns]).limit(_HEAD_ROWS)
+    narrow = within(df, within(head, columns, 0), 1)
     if not narrow:
         return df.sparkSession.createDataFrame([], "column string, value string")
     distinct = (
@@ -141,10 +147,14 @@ def compare_columns_quick(df: DataFrame, sample_rows: int = 1000) -> list[str]:
     return [r["column"] for r in counts if r["n"] <= MAX_COMPARE_VALUES]
 
 
-def summary_columns(df: DataFrame, skip: tuple = ("Cluster", "cluster", "text", "Message")) -> DataFrame:
+def summary_columns(
+    df: DataFrame,
+    columns: list[str] | None = None,
+    skip: tuple = ("Cluster", "cluster", "text", "Message"),
+) -> DataFrame:
     """``(column, values)`` with the sorted values of each summary column."""
     return (
-        category_values(df, 2, MAX_SUMMARY_VALUES, skip=skip)
+        category_values(df, 2, MAX_SUMMARY_VALUES, columns, skip)
         .groupBy("column")
         .agg(F.sort_array(F.collect_set("value")).alias("values"))
     )
@@ -185,7 +195,9 @@ def select_groups(df: DataFrame, group_col: str, asked: list[str] | None = None)
         if missing:
             raise ValueError(f"not in {group_col!r}: {[n for n in names if n in missing]}")
     else:
-        names = [r["grp"] for r in group_values(df, group_col).collect()]
+        names = [r["grp"] for r in group_values(df, group_col).limit(MAX_GROUPS + 1).collect()]
+        if len(names) > MAX_GROUPS:
+            raise ValueError(f"{group_col!r} has more than {MAX_GROUPS} values; name the groups to compare")
     if len(names) < 2:
         raise ValueError(f"{group_col!r} gives {names}; at least two groups are needed")
     return names

@@ -17,12 +17,14 @@ from themescope.functions.text import (
     title_label,
 )
 from themescope.operators.keywords import keyword_lists, top_keywords
+from themescope.operators.profile import summary_columns
 from themescope.operators.rows import first_in_group, rank_in_group, seeded_hash
 from themescope.session import cut_lineage
 
 PICKED = 8
 SHORTEST, LONGEST = 20, 200
 SAMPLES = 5
+NOT_CATEGORIES = ("row_id", "cluster", "Cluster", "text", "Message", "embedding", "failed")
 
 
 def messages(rows: DataFrame) -> DataFrame:
@@ -247,12 +249,13 @@ def category_counts_wide(long: DataFrame, values: list[tuple[str, str]]) -> Data
 def cluster_summary(
     rows: DataFrame,
     labeller: Labeller | None = None,
-    category_columns: list[str] | None = None,
+    category_columns: list[str] | str | None = None,
 ) -> DataFrame:
     """Label, keywords, size and samples of each cluster that has a text.
 
     Columns: Cluster_ID, Cluster_Label, Top_Keywords, Message_Count,
-    Sample_Messages, then one count per category value when columns are named.
+    Sample_Messages, then one count per value of the category columns: those
+    named, or with "auto" every column of 2 to 200 values.
     """
     msgs = messages(rows)
     sizes = msgs.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
@@ -290,13 +293,21 @@ def cluster_summary(
         F.col("samples").alias("Sample_Messages"),
     )
     if category_columns:
-        long = category_counts(rows, category_columns)
-        found = long.select("col", "val").distinct().orderBy("col", "val").collect()
-        wide = category_counts_wide(long, [(r["col"], r["val"]) for r in found])
-        counts = [c for c in wide.columns if c != "cluster"]
-        result = result.join(
-            wide.withColumnRenamed("cluster", "Cluster_ID"), "Cluster_ID", "left"
-        ).fillna(0, counts)
+        named_columns = (
+            [c for c in rows.columns if c not in NOT_CATEGORIES]
+            if category_columns == "auto"
+            else category_columns
+        )
+        # Values are those of the whole table, noise included.
+        found = summary_columns(rows, named_columns).orderBy("column").collect() if named_columns else []
+        pairs = [(r["column"], v) for r in found for v in r["values"]]
+        if pairs:
+            long = category_counts(rows, [r["column"] for r in found])
+            wide = category_counts_wide(long, pairs)
+            counts = [c for c in wide.columns if c != "cluster"]
+            result = result.join(
+                wide.withColumnRenamed("cluster", "Cluster_ID"), "Cluster_ID", "left"
+            ).fillna(0, counts)
     return result
 
 

@@ -14,7 +14,12 @@ from themescope.operators.embed import Embedder, embed_text
 from themescope.operators.kmeans import choose_k, kmeans, score_ks
 from themescope.operators.linkage import agglomerative
 from themescope.operators.neighbors import nearest_label
-from themescope.operators.profile import choose_group_column, keep_groups, select_groups
+from themescope.operators.profile import (
+    choose_group_column,
+    keep_groups,
+    select_groups,
+    text_column_name,
+)
 from themescope.operators.reduce import COMPONENTS, augment, pca_reduce, unit_length
 from themescope.operators.rows import slice_rows
 from themescope.operators.summary import Labeller, cluster_summary
@@ -76,13 +81,15 @@ def cluster_step(
     sentiment: bool = True,
     lexicon: Lexicon | None = None,
     labeller: Labeller | None = None,
-    category_columns: list[str] | None = None,
+    category_columns: list[str] | str | None = "auto",
     stored_k: str | None = None,
     **options,
 ) -> Clustering:
     """Vectors with metadata to rows with ``cluster`` and one summary row per cluster."""
     if algorithm not in ("hdbscan", "kmeans", "agglomerative"):
         raise ValueError(f"unknown algorithm {algorithm!r}: use hdbscan, kmeans or agglomerative")
+    if "text" not in rows.columns and text_column_name(rows):
+        rows = rows.withColumnRenamed(text_column_name(rows), "text")
     if algorithm != "hdbscan":
         k = resolve_k(rows, k, stored_k)
     prepared = augment(rows, lexicon) if sentiment and "text" in rows.columns else rows
