@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from themescope.functions.text import WHITESPACE
 from themescope.functions.words import STOPWORDS
+from themescope.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -71,8 +72,8 @@ CONV = (
 
 
 def conv_clusters(rows: DataFrame) -> DataFrame:
-    """``(cluster, label)`` of the clusters that occur."""
-    return (
+    """``(cluster, label)`` of the clusters that occur, written once."""
+    return cut_lineage(
         rows.where(F.col("cluster") >= 0)
         .select("cluster")
         .distinct()

@@ -47,8 +47,13 @@ def tallies(rows: DataFrame) -> DataFrame:
 
 
 def sample_messages(msgs: DataFrame, n: int = SAMPLES) -> DataFrame:
-    """``(cluster, samples)``: the first n texts in row order, bar-separated."""
-    first = first_in_group(msgs, ["cluster"], [F.asc("row_id")], n)
+    """``(cluster, samples)``: the first n texts in row order, bar-separated.
+
+    Keys are picked first, so no text is sorted; the few lines found are written
+    once and fetch their texts by a join planned from that size.
+    """
+    keys = first_in_group(msgs.select("cluster", "row_id"), ["cluster"], [F.asc("row_id")], n)
+    first = cut_lineage(keys).join(msgs, ["cluster", "row_id"])
     ordered = F.array_sort(F.collect_list(F.struct("rank", "text")))
     return first.groupBy("cluster").agg(
         F.array_join(F.transform(ordered, lambda s: s["text"]), " | ").alias("samples")
@@ -283,6 +288,7 @@ def cluster_summary(
             )
             .drop("model_label")
         )
+    joined = cut_lineage(joined)  # one line per cluster, used several times below
     named = dedup_labels(joined.select("cluster", "label"))
     out = joined.drop("label").join(named, "cluster")
     result = out.select(

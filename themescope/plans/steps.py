@@ -140,6 +140,7 @@ def compare_step(
     names = select_groups(rows, column, groups)
     counts = compare.cells(keep_groups(rows, column, names), column, names).persist()
     totals = compare.totals_of(counts, names)
+    clusters = cut_lineage(clusters.select("cluster", "label"))  # one line each, used by every table
     wide = compare.z_tests(compare.proportions(counts, clusters, totals), totals)
     grid = compare.expected(counts, names)
     return Comparison(
