@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from themescope.llm import suffix
+from themescope.llm import bpe, suffix
 from themescope.llm.common import read
 
+#: Rank file of the byte-level queries, found by the public_tokenizers package.
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -21,3 +25,8 @@ def query(fn):
 @query
 def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix.digests(read(spark, folder, "documents"))
+
+
+@query
+def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digests(read(spark, folder, "documents"), tokenizers.path(VOCABULARY), tokenizers.PATTERN)
