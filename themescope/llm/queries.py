@@ -7,14 +7,14 @@ from collections.abc import Callable
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from themescope.llm import bpe, suffix
+from themescope.llm import bpe, langid, license, quality, rules, rules_sql, suffix, toxicity
 from themescope.llm.common import read
 
 #: Rank file of the byte-level queries, found by the public_tokenizers package.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_quality_rules": rules_sql.SQL}
 
 
 def query(fn):
@@ -30,3 +30,28 @@ def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(read(spark, folder, "documents"), tokenizers.path(VOCABULARY), tokenizers.PATTERN)
+
+
+@query
+def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license.scan(read(spark, folder, "documents"))
+
+
+@query
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.predict(read(spark, folder, "documents"))
+
+
+@query
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.predict(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+@query
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.judge(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+@query
+def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.predict(read(spark, folder, "documents"), read(spark, folder, "labels"))
