@@ -179,20 +179,20 @@ def load(path: str, pattern: str) -> Encoder:
     return Encoder(read_ranks(path), pattern)
 
 
-#: Encoders of this worker by their broadcast, so that tasks after the first keep the memo.
+#: This worker's encoder by a digest of its vocabulary, so that tasks after the first keep the memo.
 _HERE: dict = {}
 
 
 def _shared(spark, encoder: Encoder):
     kept = spark.sparkContext.broadcast(encoder)
+    name = hashlib.sha256(b"\0".join(encoder.tokens) + encoder.pattern.encode()).hexdigest()
 
     def here() -> Encoder:
-        if kept.id not in _HERE:
+        if name not in _HERE:
             _HERE.clear()
-            _HERE[kept.id] = kept.value
-        return _HERE[kept.id]
+            _HERE[name] = kept.value
+        return _HERE[name]
 
-    kept.id = hashlib.sha256(b"\0".join(encoder.tokens) + encoder.pattern.encode()).hexdigest()
     return here
 
 
