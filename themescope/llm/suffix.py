@@ -5,16 +5,18 @@ repeat covers is removed. Places are in the UTF-8 bytes of the whole text and st
 never cross documents.
 
 1. *Places.* Each window of ``WINDOW`` places has the place with the least hash of its
-   ``GRAM`` bytes as its anchor. Equal strings have equal anchors, so only anchors (one in
-   about 48 bytes) need ranks, not every byte. The text between two anchors is a phrase.
-2. *Prefix doubling.* Rank 1 stands for a phrase, then pairs ``(rank[i], rank[i + h])``
-   at offsets h = 1, 2, 4, ... phrases are sorted and ranked again. A place whose pair is
-   unique goes; a place past the threshold (the phrases that every repeat around it must
-   share) leaves with its rank.
-3. *Blocks.* An anchor owns the starts whose first window has it as anchor. Blocks (all
-   bytes of the strings from those starts) that are equal decide all their starts at once.
-4. *Edges.* Where blocks share ranks but differ, one block of each kind gives the digests
-   of its single strings; digests that occur twice decide the rest.
+   ``GRAM`` bytes as its anchor, and an anchor owns the starts whose first window has it.
+   Equal strings have equal anchors, so only anchors (one in about 55 bytes) are ranked, not
+   every byte, and a document sends each different one once.
+2. *Prefix doubling.* Rank 0 stands for the first bytes after an anchor. Then the pairs
+   ``(rank of the first h bytes, digest of the next h bytes)`` at growing offsets h are
+   sorted and ranked again. An anchor whose pair is unique goes; ranks stop at the bytes that
+   every repeat around an anchor must share.
+3. *Blocks.* A block holds all bytes of the strings from an anchor's starts. Blocks that are
+   equal decide all their starts at once.
+4. *Edges.* Where blocks share ranks but differ, one block of each kind is split into steps
+   of ``STEP`` starts. What all strings of a step share must occur twice, then the digests of
+   single strings decide.
 
 Digests of blocks and strings have 128 bits. Groups are counted with partial sums and joined
 back with plain joins, which Spark splits when one phrase holds most rows; no group is
@@ -40,8 +42,10 @@ from themescope.llm.rolling import Prefix, grams, mix, window_min
 from themescope.session import cut_lineage
 
 MIN_BYTES = 400
-WINDOW = 96
+WINDOW = 128
 GRAM = 16
+#: Starts that are checked together at the edges of repeats.
+STEP = 16
 
 
 def _reach(min_bytes: int) -> int:
@@ -93,9 +97,22 @@ def _joined(texts: list[bytes], part: list[int]):
     return data, ends - [len(texts[i]) for i in part], ends
 
 
-def _phrases(docs: DataFrame, min_bytes: int) -> DataFrame:
-    """``(d1, i, pos, need, own, name)`` of each anchor; need: phrases that a repeat must share."""
+def _pieces(min_bytes: int) -> list[tuple[int, int]]:
+    """Parts after an anchor that are named: first h bytes, then the next h, 2h, 4h, ..."""
     reach = _reach(min_bytes)
+    rounds = max(1, (reach // 64).bit_length() - 1)
+    h = reach >> rounds
+    return [(0, h)] + [(h << j, h << (j + 1)) for j in range(rounds)]
+
+
+def _names(data: np.ndarray, at: np.ndarray, min_bytes: int) -> list[np.ndarray]:
+    prefix = Prefix(data)
+    return [prefix.of(at + a, at + b).view(np.int64) for a, b in _pieces(min_bytes)]
+
+
+def _places(docs: DataFrame, min_bytes: int) -> DataFrame:
+    """``(d1, n0, n1, ..., many)``: names after each anchor that owns starts; many: twice in the text."""
+    columns = [f"n{j}" for j in range(len(_pieces(min_bytes)))]
 
     def run(batches):
         for batch in batches:
@@ -103,33 +120,18 @@ def _phrases(docs: DataFrame, min_bytes: int) -> DataFrame:
             for part in _chunked(texts, min_bytes):
                 data, starts, ends = _joined(texts, part)
                 at, of, lo, hi = anchors(data, starts, ends, min_bytes)
-                number = np.arange(len(at)) - np.searchsorted(of, of)
-                # places of different texts never meet: the shift is larger than any reach
-                shifted = at + of * (reach + 1)
-                until = np.searchsorted(shifted, shifted + reach, "right") - 1
-                need = np.minimum(until, np.searchsorted(of, of, "right") - 1) - np.arange(len(at))
-                keep = np.append(of[1:] == of[:-1], False) if len(of) else np.zeros(0, bool)
-                here = np.flatnonzero(keep)
-                name = Prefix(data).of(at[here], at[here + 1]).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids[np.array(part)[of[here]]]), pa.array(number[here].astype(np.int32)),
-                        pa.array((at - starts[of])[here].astype(np.int32)), pa.array(need[here].astype(np.int32)),
-                        pa.array((hi >= lo)[here]), pa.array(name),
-                    ],
-                    names=["d1", "i", "pos", "need", "own", "name"],
-                )
-
-    return docs.select("d1", "text").mapInArrow(run, "d1 long, i int, pos int, need int, own boolean, name long")
-
+                own = hi >= lo
+                at, of = at[own], of[own]
+                names = _names(data, at, min_bytes)
+                key = of.astype(np.uint64)
+                for n in names:
+                    key = mix(key + n.view(np.uint64))
+                _, first, times = np.unique(key, return_index=True, return_counts=True)
+                arrays = [pa.array(ids[np.array(part)[of[first]]]), *[pa.array(n[first]) for n in names]]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(times > 1)], names=["d1", *columns, "many"])
 
-def _repeated(df: DataFrame, keys: list[str], place: list[str]) -> DataFrame:
-    """Keys that occur at two or more different places."""
-    ends = [f(c).alias(f"__{n}{c}") for c in place for n, f in (("a", F.min), ("b", F.max))]
-    differ = F.lit(False)
-    for c in place:
-        differ = differ | (F.col(f"__a{c}") != F.col(f"__b{c}"))
-    return df.groupBy(*keys).agg(*ends).where(differ).select(*keys)
+    kinds = ", ".join(f"{c} long" for c in columns)
+    return docs.select("d1", "text").mapInArrow(run, f"d1 long, {kinds}, many boolean")
 
 
 def _ranked(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -141,33 +143,22 @@ def _ranked(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def candidates(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """``(d1, pos, core)``: anchors whose following phrases repeat; core is their last rank."""
-    rows = _phrases(docs, min_bytes)
-    names = _ranked(_repeated(rows, ["name"], ["d1", "i"]), ["name"])
-    level = cut_lineage(rows.join(names, "name").select("d1", "i", "pos", "need", "own", "rank").distinct())
-    h, done = 1, None
-    while True:
-        # past the threshold: h phrases from here and the last h phrases cover what must repeat
-        tails = level.select("d1", F.col("i").alias("end"), F.col("rank").alias("tail"))
-        ripe = (
-            level.where(F.col("own") & (F.col("need") >= h) & (F.col("need") < 2 * h))
-            .withColumn("end", F.col("i") + F.col("need") - h)
-            .join(tails, ["d1", "end"])
-            .select("d1", "pos", "need", "rank", "tail")
+    """``(d1, n0, n1, ..., core)``: names of anchors whose following bytes repeat, and their rank."""
+    level = _places(docs, min_bytes)
+    columns = [c for c in level.columns if c.startswith("n")]
+    keys = [columns[0]]
+    for after in [*columns[1:], None]:  # the next part at the doubled offset
+        twice = (
+            level.groupBy(*keys)
+            .agg(F.min("d1").alias("a"), F.max("d1").alias("b"), F.max("many").alias("many"))
+            .where("many OR a <> b")
+            .select(*keys)
         )
-        done = ripe if done is None else done.unionByName(ripe)
-        if level.where(F.col("own") & (F.col("need") >= 2 * h)).isEmpty():
-            break
-        after = level.select("d1", (F.col("i") - h).alias("i"), F.col("rank").alias("next"))
-        pairs = cut_lineage(level.join(after, ["d1", "i"]).withColumnRenamed("rank", "first"))
-        ranks = _ranked(_repeated(pairs, ["first", "next"], ["d1", "i"]), ["first", "next"])
-        level = cut_lineage(pairs.join(ranks, ["first", "next"]).select("d1", "i", "pos", "need", "own", "rank"))
-        h *= 2
-    keys = ["need", "rank", "tail"]
-    done = cut_lineage(done)
-    cores = _repeated(done, keys, ["d1", "pos"])
-    cores = cut_lineage(cores.withColumn("core", F.xxhash64(*keys)))
-    return done.join(cores, keys).select("d1", "pos", "core")
+        level = level.join(_ranked(twice, keys), keys)
+        if after is None:
+            return level.select("d1", *columns, F.col("rank").alias("core"))
+        level = cut_lineage(level.drop("r").withColumnRenamed("rank", "r"))
+        keys = ["r", after]
 
 
 def _digests(data: bytes, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -189,8 +180,9 @@ class Repeats(NamedTuple):
 def repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> Repeats:
     """Repeats of all different texts of ``(doc_id, text)``, each text once."""
     keyed = docs.select("doc_id", "text", *text_key()).withColumn("key", F.coalesce("doc_id", "d1"))
-    found = candidates(keyed, min_bytes)
-    lists = found.groupBy("d1").agg(F.collect_list(F.struct("pos", "core")).alias("found"))
+    found = candidates(keyed, min_bytes).distinct()
+    names = [c for c in found.columns if c.startswith("n")]
+    lists = found.groupBy("d1").agg(F.collect_list(F.struct(*names, "core")).alias("found"))
     one = keyed.groupBy("d1", "d2").agg(F.min("key").alias("key"))  # the row that stands for a text
     wanted = cut_lineage(one.join(lists, "d1"))
     texts = cut_lineage(keyed.join(wanted, ["d1", "d2", "key"]).select("d1", "d2", "text", "found"))
@@ -203,63 +195,128 @@ def repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> Repeats:
                     continue
                 data = np.frombuffer(x, np.uint8)
                 at, _, lo, hi = anchors(data, np.array([0]), np.array([len(x)]), min_bytes)
-                pos = np.array([f["pos"] for f in found], np.int64)
-                core = np.array([f["core"] for f in found], np.int64)
-                j = np.minimum(np.searchsorted(at, pos), max(len(at) - 1, 0))
-                good = (at[j] == pos) & (hi[j] >= lo[j]) if len(at) else np.zeros(0, bool)
-                j, core = j[good], core[good]
+                own = hi >= lo
+                at, lo, hi = at[own], lo[own], hi[own]
+                cores = {tuple(f[n] for n in names): f["core"] for f in found}
+                each = [cores.get(n) for n in zip(*[n.tolist() for n in _names(data, at, min_bytes)], strict=True)]
+                j = np.array([i for i, c in enumerate(each) if c is not None], np.int64)
                 if not len(j):
                     continue
-                lo, hi = lo[j], hi[j]
+                at, lo, hi = at[j], lo[j], hi[j]
+                core = np.array([each[i] for i in j.tolist()], np.int64)
                 both = _digests(x, lo, hi - lo + min_bytes)
-                own = [pa.array([batch.column(c)[k].as_py()] * len(j), pa.int64()) for c in (0, 1)]
-                numbers = [pa.array(v.astype(np.int32)) for v in (lo, hi)]
-                longs = [pa.array(np.ascontiguousarray(v)) for v in (core, both[:, 0], both[:, 1])]
+                _, first, kind, times = np.unique(
+                    mix(both[:, 0].view(np.uint64) + np.uint64(1) * (hi - lo).astype(np.uint64)),
+                    return_index=True, return_inverse=True, return_counts=True,
+                )
+                again = times[kind] > 1  # blocks that this text holds twice are decided here
+                runs = _merged(lo[again], hi[again])
+                n = len(first) + len(runs)
+                own = [pa.array([batch.column(c)[k].as_py()] * n, pa.int64()) for c in (0, 1)]
+                numbers = [
+                    np.concatenate([v[first], r]).astype(np.int32)
+                    for v, r in ((at, runs[:, 0]), (lo, runs[:, 0]), (hi, runs[:, 1]))
+                ]
+                decided = pa.array(np.arange(n) >= len(first))
+                longs = [np.concatenate([v[first], np.zeros(len(runs), np.int64)]) for v in (core, both[:, 0], both[:, 1])]
+                here = np.concatenate([times > 1, np.ones(len(runs), bool)])
                 yield pa.RecordBatch.from_arrays(
-                    [*own, *numbers, *longs], names=["d1", "d2", "lo", "hi", "core", "h1", "h2"]
+                    [*own, *map(pa.array, numbers), *map(pa.array, longs), pa.array(here), decided],
+                    names=["d1", "d2", "at", "lo", "hi", "core", "h1", "h2", "here", "decided"],
                 )
 
-    place = ["d1", "d2", "lo"]
-    rows = texts.mapInArrow(blocks, "d1 long, d2 long, lo int, hi int, core long, h1 long, h2 long")
-    rows = cut_lineage(rows)
-    ends = [f(c).alias(f"__{n}{c}") for c in place for n, f in (("a", F.min), ("b", F.max))]
-    differ = (F.col("__ad1") != F.col("__bd1")) | (F.col("__ad2") != F.col("__bd2")) | (F.col("__alo") != F.col("__blo"))
+    rows = cut_lineage(
+        texts.mapInArrow(
+            blocks,
+            "d1 long, d2 long, at int, lo int, hi int, core long, h1 long, h2 long, here boolean, decided boolean",
+        )
+    )
+    open_rows = rows.where("NOT decided")
     kinds = cut_lineage(
-        rows.groupBy("h1", "h2")
-        .agg(F.min("core").alias("core"), F.min(F.struct("d1", "d2", "lo", "hi")).alias("first"), *ends)
-        .select("h1", "h2", "core", "first", differ.alias("twice"))
+        open_rows.groupBy("h1", "h2").agg(
+            F.min("core").alias("core"),
+            F.min(F.struct("d1", "d2", "at", "lo", "hi")).alias("first"),
+            (F.max("here") | _differ()).alias("twice"),
+        )
+    )
+    whole = (
+        open_rows.where("NOT here").join(kinds.where("twice").select("h1", "h2"), ["h1", "h2"]).select("d1", "d2", "lo", "hi")
     )
-    whole = rows.join(kinds.where("twice").select("h1", "h2"), ["h1", "h2"]).select("d1", "d2", "lo", "hi")
     mixed = kinds.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
     asked = (
         kinds.join(mixed, "core")
         .select("first.*", "twice")
         .groupBy("d1", "d2")
-        .agg(F.collect_list(F.struct("lo", "hi", "twice")).alias("asked"))
+        .agg(F.collect_list(F.struct("at", "lo", "hi", "twice")).alias("asked"))
+    )
+    held = cut_lineage(texts.select("d1", "d2", "text").join(asked, ["d1", "d2"]))
+    steps = cut_lineage(held.mapInArrow(_digester(_steps, min_bytes), _DIGESTED))
+    close = steps.join(_twice(steps), ["h1", "h2"])
+    near = close.groupBy("d1", "d2").agg(F.collect_list(F.struct("at", "lo", "hi", "twice")).alias("asked"))
+    edges = cut_lineage(
+        held.select("d1", "d2", "text").join(near, ["d1", "d2"]).mapInArrow(_digester(_singles, min_bytes), _DIGESTED)
     )
+    parts = edges.where("NOT twice").join(_twice(edges), ["h1", "h2"]).select("d1", "d2", "lo", "hi")
+    spans = rows.where("decided").select("d1", "d2", "lo", "hi").unionByName(whole).unionByName(parts)
+    return Repeats(texts.select("d1", "d2", "text"), spans)
+
 
-    def single(batches):
+def _differ():
+    """Whether the rows of a group lie at two or more different places."""
+    place = ("d1", "d2", "lo")
+    return F.min(F.struct(*place)) != F.max(F.struct(*place))
+
+
+def _twice(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("h1", "h2").agg(_differ().alias("__differ")).where("__differ").select("h1", "h2")
+
+
+def _merged(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Runs of starts as rows (first, last)."""
+    if not len(lo):
+        return np.zeros((0, 2), np.int64)
+    order = np.argsort(lo)
+    lo, hi = lo[order], hi[order]
+    new = np.flatnonzero(np.append(True, lo[1:] > np.maximum.accumulate(hi)[:-1] + 1))
+    return np.column_stack([lo[new], np.maximum.reduceat(hi, new)])
+
+
+_DIGESTED = "d1 long, d2 long, at int, lo int, hi int, twice boolean, h1 long, h2 long"
+
+
+def _steps(asked: list, min_bytes: int):
+    """Starts of a block by their distance to the anchor, in fixed steps; all strings of a step
+    share the bytes from its last start to the end of its first start's string."""
+    rows = []
+    for a in asked:
+        for b in range((a["at"] - a["hi"]) // STEP, (a["at"] - a["lo"]) // STEP + 1):
+            last, first = a["at"] - b * STEP, a["at"] - b * STEP - STEP + 1
+            # first: where the shared bytes begin; the starts themselves are kept in lo and hi
+            rows.append((a["at"], max(first, a["lo"]), min(last, a["hi"]), a["twice"], last, min_bytes - STEP + 1))
+    return rows
+
+
+def _singles(asked: list, min_bytes: int):
+    return [(a["at"], p, p, a["twice"], p, min_bytes) for a in asked for p in range(a["lo"], a["hi"] + 1)]
+
+
+def _digester(split, min_bytes: int):
+    def run(batches):
         for batch in batches:
             raw = raw_texts(batch.column(2))
             for k, (x, asked) in enumerate(zip(raw, batch.column(3).to_pylist(), strict=True)):
-                lo = np.concatenate([np.arange(a["lo"], a["hi"] + 1) for a in asked])
-                twice = np.concatenate([np.full(a["hi"] + 1 - a["lo"], a["twice"]) for a in asked])
-                both = _digests(x, lo, np.full(len(lo), min_bytes))
-                own = [pa.array([batch.column(c)[k].as_py()] * len(lo), pa.int64()) for c in (0, 1)]
+                rows = split(asked, min_bytes)
+                at, lo, hi, twice, start, size = (np.array(c) for c in zip(*rows, strict=True))
+                both = _digests(x, start, size)
+                own = [pa.array([batch.column(c)[k].as_py()] * len(rows), pa.int64()) for c in (0, 1)]
+                numbers = [pa.array(v.astype(np.int32)) for v in (at, lo, hi)]
                 longs = [pa.array(np.ascontiguousarray(both[:, c])) for c in (0, 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [*own, pa.array(lo.astype(np.int32)), pa.array(twice), *longs],
-                    names=["d1", "d2", "lo", "twice", "h1", "h2"],
+                    [*own, *numbers, pa.array(twice.astype(bool)), *longs],
+                    names=["d1", "d2", "at", "lo", "hi", "twice", "h1", "h2"],
                 )
 
-    edges = cut_lineage(
-        texts.select("d1", "d2", "text")
-        .join(asked, ["d1", "d2"])
-        .mapInArrow(single, "d1 long, d2 long, lo int, twice boolean, h1 long, h2 long")
-    )
-    again = _repeated(edges, ["h1", "h2"], place)
-    parts = edges.where("NOT twice").join(again, ["h1", "h2"]).select("d1", "d2", "lo", F.col("lo").alias("hi"))
-    return Repeats(texts.select("d1", "d2", "text"), whole.unionByName(parts))
+    return run
 
 
 def _cut(text: bytes, spans: list, min_bytes: int) -> tuple[int, int, bytes]:
@@ -337,7 +394,8 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     found = repeats(docs, min_bytes)
     lists = _lists(found.spans).select(F.col("d1").alias("__d1"), F.col("d2").alias("__d2"), F.col("spans").alias("__spans"))
     marked = keyed.join(cut_lineage(lists.join(copies, ["__d1", "__d2"], "full_outer")), ["__d1", "__d2"], "left")
-    at = marked.columns.index("text")
+    names, at = docs.columns, marked.columns.index("text")
+    keep = [marked.columns.index(c) for c in names]
 
     def cut(batches):
         for batch in batches:
@@ -347,7 +405,6 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
                 left = b"" if c and len(x) >= min_bytes else _cut(x, s, min_bytes)[2] if s else x
                 out.append(left.decode("utf-8", "ignore"))
             columns = [pa.array(out, pa.string()) if i == at else batch.column(i) for i in keep]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    keep = [marked.columns.index(c) for c in docs.columns]
     return marked.mapInArrow(cut, docs.schema)
