@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from themescope.llm import bpe, langid, license, quality, rules, rules_sql, suffix, toxicity
+from themescope.llm import bpe, decontam, langid, license, neardup, packing, quality, rules, rules_sql, suffix, toxicity
 from themescope.llm.common import read
 
 #: Rank file of the byte-level queries, found by the public_tokenizers package.
@@ -55,3 +55,18 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality.predict(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+@query
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.matches(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+@query
+def op7_token_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(read(spark, folder, "documents"), tokenizers.path(VOCABULARY), tokenizers.PATTERN)
+
+
+@query
+def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.classes(read(spark, folder, "documents"))
