@@ -237,6 +237,48 @@ def test_chi_square_tail(spark):
     assert tail(5.0, 1) == pytest.approx(math.erfc(math.sqrt(2.5)))
     assert tail(7.0, 3) == pytest.approx(math.erfc(math.sqrt(3.5)) + math.sqrt(14 / math.pi) * math.exp(-3.5))
     assert tail(900.0, 1000) == pytest.approx(0.98935, abs=1e-3)
+    # far tails keep their digits, and large degrees of freedom cost no more
+    assert tail(100.0, 1) == pytest.approx(math.erfc(math.sqrt(50)), rel=1e-9)
+    assert tail(1600.0, 1000) == pytest.approx(7.9e-31, rel=0.5)
+    for dof in (4_999, 5_001, 1_000_000, 10_000_000_000):
+        assert tail(float(dof), dof) == pytest.approx(0.5 - 1 / (3 * math.sqrt(math.pi * dof)), abs=1e-5)
+        above = dof + 2 * math.sqrt(2 * dof)  # two standard deviations
+        assert tail(above, dof) == pytest.approx(0.02275, abs=0.003)
+
+
+def test_many_groups_stay_one_expression(spark):
+    groups = [f"g{i}" for i in range(2000)]
+    counts = spark.range(6000).selectExpr("cast(id % 3 as int) AS cluster", "concat('g', id div 3) AS grp", "id % 7 + 1 AS n")
+    grid = compare.expected(counts, groups)
+    row = compare.chi_square(grid).first()
+    assert row["dof"] == 2 * 1999 and 0 <= row["p_value"] <= 1
+    clusters = frame(spark, [(0, "a"), (1, "b"), (2, "c")], "cluster int, label string")
+    assert compare.shares(counts, clusters, compare.totals_of(counts, groups)).count() == 6000
+
+
+def test_labeller_falls_back_prompt_by_prompt(spark):
+    prompts = frame(spark, [(0, "- fine"), (1, "- bad"), (2, "- worse")], "cluster int, prompt_lines string")
+
+    def first(asked):
+        if any("bad" in q or "worse" in q for q in asked):
+            raise RuntimeError("no")
+        return ["First"] * len(asked)
+
+    def second(asked):
+        if any("worse" in q for q in asked):
+            raise RuntimeError("no")
+        return ["Second"] * len(asked)
+
+    got = {r["cluster"]: r["model_label"] for r in summary.model_labels(prompts, first, second).collect()}
+    assert got == {0: "First", 1: "Second", 2: None}
+
+
+def test_append_table_reports_a_missing_key(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.append_table(frame(spark, [(1,)], "a int"), path, "a")
+    with pytest.raises(Exception, match="b"):
+        tables.append_table(frame(spark, [(1,)], "b int"), path, "b")
+    assert tables.load_chosen_k(spark, str(tmp_path / "none")) is None
 
 
 def test_zero_error_gives_nulls(spark):
@@ -276,26 +318,26 @@ def lines(df):
 def test_comparison_report(spark):
     _, _, done = comparison(spark)
     got = lines(report.comparison_lines(done))
-    assert got[1] == "CLUSTER COMPARISON BY 'grp'" and "  a: 63" in got
-    assert "Highest share in b:" in got and got[-1] == "=" * 60
-    top = got[got.index("Highest share in a:") + 1]
+    assert got[1] == "HOW CLUSTERS DIFFER BY 'grp'" and "  a: 63" in got
+    assert "Largest in b:" in got and got[-1] == "=" * 60
+    top = got[got.index("Largest in a:") + 1]
     assert top.startswith("  Parcel / Number: 47.62% (p=0.0000)")
-    found = got[got.index("SIGNIFICANT DIFFERENCES (p < 0.05):") + 1 :]
+    found = got[got.index("CLUSTERS WITH DIFFERENT SHARES (p below 0.05)") + 1 :]
     assert "more in b" in found[0] + found[1] and "more in a" in found[0] + found[1]
     _, _, three = comparison(spark, True)
     got = lines(report.comparison_lines(three))
-    assert any(line.startswith("  Note: For 3+ groups") for line in got)
-    cells = got[got.index("CELLS WITH LARGEST STANDARDIZED RESIDUALS (interpretation aid):") + 1 :]
-    assert "represented vs expected)" in cells[0] and len(cells) == 10 + 2
+    assert any(line.startswith("  With more than two groups") for line in got)
+    cells = got[got.index("CELLS FURTHEST FROM INDEPENDENCE") + 1 :]
+    assert "its expected count)" in cells[0] and len(cells) == 10 + 2
 
 
 def test_overview_report_and_outputs(spark, tmp_path):
     df, out, done = comparison(spark)
     got = lines(report.overview_lines(out, 111, "grp", {"a": 60, "b": 51}, (1.5, 0.25), "2020-01-01 00:00:00"))
-    assert got[3:6] == ["Generated at: 2020-01-01 00:00:00", "Total rows in clusters: 111", "Number of clusters: 3"]
-    assert "  a: 60 (54.1%)" in got and "  P-value: 0.250000" in got
-    first = got.index("Clusters (by size, largest first)") + 2
-    assert got[first + 1] == "    Count: 41 (36.9%)" and got[first + 2] == "    Keywords: parcel, number"
+    assert got[3:6] == ["Written: 2020-01-01 00:00:00", "Rows with a cluster: 111", "Clusters: 3"]
+    assert "  a: 60 (54.1%)" in got and "  p = 0.250000" in got
+    first = got.index("Largest cluster first") + 2
+    assert got[first + 1] == "    Rows: 41 (36.9%)" and got[first + 2] == "    Words: parcel, number"
     assert got[first + 3] == "" and got[-1] == "=" * 60
 
     def broken():
@@ -305,7 +347,7 @@ def test_overview_report_and_outputs(spark, tmp_path):
     assert not status["broken"]["ok"] and "no chart" in status["broken"]["error"]
     assert all(r["ok"] for n, r in status.items() if n != "broken")
     written = [r["value"] for r in spark.read.text(f"{tmp_path}/comparison_report").collect()]
-    assert written[1] == "CLUSTER COMPARISON BY 'grp'"
+    assert written[1] == "HOW CLUSTERS DIFFER BY 'grp'"
     assert spark.read.parquet(f"{tmp_path}/cluster_sankey").count() > 0
 
 
@@ -322,7 +364,7 @@ def test_csv_quirks(spark, tmp_path):
     path = tmp_path / "in.csv"
     body = b'\xef\xbb\xbftext,n\n"two\nlines",1\n"say ""hi""",2\nbad\xff\xfebyte,3\nshort\n"a,b",5\n'
     path.write_bytes(body)
-    df = text_csv.read_text_csv(spark, str(path))
+    df = text_csv.read_text_csv(spark, str(path), multi_line=True)
     assert df.columns == ["text", "n", "row_id"]
     got = [(r["row_id"], r["text"], r["n"]) for r in df.orderBy("row_id").collect()]
     assert got == [(0, "two\nlines", "1"), (1, 'say "hi"', "2"), (2, "badbyte", "3"), (3, "short", None), (4, "a,b", "5")]

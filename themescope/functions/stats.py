@@ -10,66 +10,80 @@ from pyspark.sql import functions as F
 # Two-sided 95 % point of the standard normal. Fixed value.
 Z_95 = 1.959963984540054
 
-_SERIES_TERMS = 200
+# Terms of the incomplete gamma function; enough for shapes up to LARGE_DOF / 2.
+_TERMS = 400
+#: Degrees of freedom from which the cube-root normal approximation is used (error below 1e-5).
+LARGE_DOF = 5_000
 
 
-def erf(x: Column) -> Column:
-    """Error function for x >= 0 by its all-positive power series.
+def _log_gamma(a: Column) -> Column:
+    """Logarithm of the gamma function for a > 0: Stirling's series eight places up."""
+    z = a + 8
+    series = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z)
+    shift = F.lit(0.0)
+    for i in range(8):
+        shift = shift + F.log(a + i)
+    return series + 1 / (1260 * z * z * z * z * z) - shift
 
-    Give it a plain column: the series refers to it many times.
+
+def gamma_tail(a: Column, x: Column) -> Column:
+    """Upper regularised incomplete gamma function for a > 0, x > 0, in a fixed number of steps.
+
+    A power series below a + 1, a continued fraction above, so that small tails
+    keep their digits.
     """
-    def grow(acc: Column, i: Column) -> Column:
-        term = acc["term"] * acc["twice"] / (2 * i + 1)
+    log_front = a * F.log(x) - x - _log_gamma(a)
+    steps = F.sequence(F.lit(1), F.lit(_TERMS))
+    start = F.struct(a.alias("a"), x.alias("x"), (1 / a).alias("term"), (1 / a).alias("total"))
+    series = F.aggregate(
+        steps,
+        start,
+        lambda s, i: F.struct(
+            s["a"].alias("a"),
+            s["x"].alias("x"),
+            (s["term"] * s["x"] / (s["a"] + i)).alias("term"),
+            (s["total"] + s["term"] * s["x"] / (s["a"] + i)).alias("total"),
+        ),
+        lambda s: s["total"],
+    )
+
+    def fraction(s: Column, i: Column) -> Column:
+        # one step of Lentz's method; h holds the value so far
+        n = i.cast("double")
+        top, bottom = -n * (n - s["a"]), s["b"] + 2
+        d = 1 / (top * s["d"] + bottom)
+        c = bottom + top / s["c"]
         return F.struct(
-            term.alias("term"), (acc["total"] + term).alias("total"), acc["twice"].alias("twice")
+            s["a"].alias("a"), bottom.alias("b"), c.alias("c"), d.alias("d"), (s["h"] * d * c).alias("h")
         )
 
-    series = F.aggregate(
-        F.sequence(F.lit(1), F.lit(_SERIES_TERMS)),
-        F.struct(x.alias("term"), x.alias("total"), (2 * x * x).alias("twice")),
-        grow,
-        lambda acc: acc["total"],
+    b = x + 1 - a
+    first = F.struct(
+        a.alias("a"), b.alias("b"), F.lit(1e300).alias("c"), (1 / b).alias("d"), (1 / b).alias("h")
     )
-    value = series * F.exp(-x * x) * (2.0 / math.sqrt(math.pi))
-    return F.when(x > 6, F.lit(1.0)).otherwise(value)
+    continued = F.aggregate(steps, first, fraction, lambda s: s["h"])
+    front = F.exp(log_front)
+    return F.when(x < a + 1, 1 - front * series).otherwise(front * continued)
 
 
 def two_sided_p(z: Column) -> Column:
-    """2 * (1 - cdf(|z|)), never below zero."""
-    return F.greatest(F.lit(0.0), 1.0 - erf(F.abs(z) / math.sqrt(2.0)))
+    """2 * (1 - cdf(|z|)), with its digits kept far out; 1 at z = 0."""
+    return chi_square_p(z * z, F.lit(1))
 
 
 def chi_square_p(x: Column, dof: Column) -> Column:
-    """Upper tail of chi-square as a finite sum, terms kept as logarithms.
+    """Upper tail of chi-square; the work does not depend on ``dof``.
 
-    Even dof: Poisson sum. Odd dof: normal tail plus half-integer terms.
+    Give it plain columns: the terms refer to them many times.
     """
-    h = x / 2
-    even_last = (dof / 2 - 1).cast("int")
-    even = F.aggregate(
-        F.when(even_last >= 1, F.sequence(F.lit(1), even_last)).otherwise(F.array().cast("array<int>")),
-        F.struct((-h).alias("log"), F.exp(-h).alias("total")),
-        lambda acc, i: F.struct(
-            (acc["log"] + F.log(h) - F.log(i.cast("double"))).alias("log"),
-            (acc["total"] + F.exp(acc["log"] + F.log(h) - F.log(i.cast("double")))).alias("total"),
-        ),
-        lambda acc: acc["total"],
-    )
-    odd_last = ((dof - 1) / 2).cast("int")
-    # term i: exp(-h) h^(i-1/2) / Gamma(i+1/2), Gamma(1/2) = sqrt(pi)
-    odd = F.aggregate(
-        F.when(odd_last >= 1, F.sequence(F.lit(1), odd_last)).otherwise(F.array().cast("array<int>")),
-        F.struct(
-            (-h - F.log(h) / 2 - math.log(math.pi) / 2).alias("log"),
-            F.lit(0.0).alias("total"),
-        ),
-        lambda acc, i: F.struct(
-            (acc["log"] + F.log(h) - F.log(i - F.lit(0.5))).alias("log"),
-            (acc["total"] + F.exp(acc["log"] + F.log(h) - F.log(i - F.lit(0.5)))).alias("total"),
-        ),
-        lambda acc: acc["total"],
-    ) + (1.0 - erf(F.sqrt(h)))
-    tail = F.when(dof % 2 == 0, even).otherwise(odd)
+    shape = dof.cast("double") / 2
+    exact = gamma_tail(shape, x / 2)
+    n = dof.cast("double")
+    spread = 2 / (9 * n)
+    z = (F.cbrt(x / n) - (1 - spread)) / F.sqrt(spread)
+    far = gamma_tail(F.lit(0.5), z * z / 2) / 2
+    large = F.when(z == 0, F.lit(0.5)).when(z > 0, far).otherwise(1 - far)
+    tail = F.when(n > LARGE_DOF, large).otherwise(exact)
     return F.when((dof <= 0) | (x <= 0), F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), tail)))
 
 

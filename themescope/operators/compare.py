@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,11 +59,9 @@ def _counts_by_cluster(counts: DataFrame) -> DataFrame:
     )
 
 
-def _constant_map(values: dict[str, int]) -> Column:
-    parts: list[Column] = []
-    for key, value in values.items():
-        parts += [F.lit(key), F.lit(value).cast("bigint")]
-    return F.create_map(*parts)
+def _group_lines(lines: list[dict], schema: str) -> Column:
+    """The groups as one array of structs: a single constant, however many groups there are."""
+    return F.from_json(F.lit(json.dumps(lines)), f"array<struct<{schema}>>")
 
 
 def shares(counts: DataFrame, clusters: DataFrame, totals: dict[str, int]) -> DataFrame:
@@ -70,24 +70,17 @@ def shares(counts: DataFrame, clusters: DataFrame, totals: dict[str, int]) -> Da
     Clusters without rows keep zero counts. Percent is of all rows of the
     group, noise included; 0 for an empty group.
     """
-    groups = list(totals)
-    listed = clusters.join(_counts_by_cluster(counts), "cluster", "left")
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(g).alias("grp"),
-                F.lit(i).alias("grp_ord"),
-                F.coalesce(F.try_element_at("_by_group", F.lit(g)), F.lit(0)).cast("bigint").alias("n"),
-                F.lit(totals[g]).alias("_total"),
-            )
-            for i, g in enumerate(groups)
-        ]
+    groups = _group_lines(
+        [{"grp": g, "grp_ord": i, "_total": n} for i, (g, n) in enumerate(totals.items())],
+        "grp: string, grp_ord: int, _total: bigint",
     )
     pct = F.when(F.col("_total") > 0, F.col("n") / F.col("_total") * 100).otherwise(F.lit(0.0))
     return (
-        listed.select("cluster", "label", F.inline(entries))
+        clusters.select("cluster", "label", F.inline(groups))
+        .join(counts.select("cluster", "grp", "n"), ["cluster", "grp"], "left")
+        .withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))
         .withColumn("pct", pct)
-        .drop("_total")
+        .select("cluster", "label", "grp", "grp_ord", "n", "pct")
     )
 
 
@@ -126,21 +119,22 @@ def z_tests(wide: DataFrame, totals: dict[str, int]) -> DataFrame:
     return with_two_proportion_test(wide, n_a, F.col(f"`{a}_Count`"), n_b, F.col(f"`{b}_Count`"), TESTS)
 
 
+def _grid(counts: DataFrame, lines: list[dict], schema: str) -> DataFrame:
+    """Every cluster with every group, and the observed count or 0."""
+    known = counts.where(F.col("cluster").isNotNull())
+    return (
+        known.groupBy("cluster")
+        .agg(F.sum("n").alias("_n_cluster"))
+        .select("cluster", "_n_cluster", F.inline(_group_lines(lines, schema)))
+        .join(known.select("cluster", "grp", F.col("n").alias("observed")), ["cluster", "grp"], "left")
+        .withColumn("observed", F.coalesce("observed", F.lit(0)).cast("bigint"))
+    )
+
+
 def crosstab(counts: DataFrame, groups: list[str]) -> DataFrame:
     """``(cluster, grp, observed)`` with zeros, noise row included, null cluster dropped."""
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(g).alias("grp"),
-                F.coalesce(F.try_element_at("_by_group", F.lit(g)), F.lit(0))
-                .cast("bigint")
-                .alias("observed"),
-            )
-            for g in groups
-        ]
-    )
-    known = _counts_by_cluster(counts.where(F.col("cluster").isNotNull()))
-    return known.select("cluster", F.inline(entries))
+    grid = _grid(counts, [{"grp": g} for g in groups], "grp: string")
+    return grid.select("cluster", "grp", "observed")
 
 
 def expected(counts: DataFrame, groups: list[str]) -> DataFrame:
@@ -154,23 +148,10 @@ def expected(counts: DataFrame, groups: list[str]) -> DataFrame:
     total = sum(present.values())
     if not present:
         raise ValueError(f"no clustered rows in any of the groups {groups}")
-    n_cluster = F.aggregate(F.map_values("_by_group"), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(g).alias("grp"),
-                F.coalesce(F.try_element_at("_by_group", F.lit(g)), F.lit(0))
-                .cast("bigint")
-                .alias("observed"),
-                (F.col("_n_cluster") * F.lit(n / total)).alias("expected"),
-            )
-            for g, n in present.items()
-        ]
-    )
-    grid = (
-        _counts_by_cluster(known)
-        .withColumn("_n_cluster", n_cluster)
-        .select("cluster", F.inline(entries))
+    inside = known.where(F.col("grp").isin(list(present))) if len(found) > len(present) else known
+    grid = _grid(inside, [{"grp": g, "_n": n} for g, n in present.items()], "grp: string, _n: bigint")
+    grid = grid.select(
+        "cluster", "grp", "observed", (F.col("_n_cluster") * (F.col("_n") / F.lit(total))).alias("expected")
     )
     gap = F.col("observed") - F.col("expected")
     return grid.withColumn("residual", finite_or_null(gap / F.sqrt("expected")))

@@ -354,7 +354,7 @@ def condense(merges: DataFrame, points: DataFrame, min_cluster_size: int) -> tup
     mcs = min_cluster_size
     parts = merges.withColumns(
         {
-            "lam": 1.0 / F.col("w"),
+            "lam": F.when(F.col("w") > 0, F.try_divide(F.lit(1.0), F.col("w"))).otherwise(F.lit(float("inf"))),
             "split": (F.col("left_size") >= mcs) & (F.col("right_size") >= mcs),
         }
     )
@@ -394,7 +394,12 @@ def condense(merges: DataFrame, points: DataFrame, min_cluster_size: int) -> tup
         falls.join(births.select(F.col("cid").alias("root"), "birth"), "root", "left")
         .groupBy(F.col("root").alias("cid"))
         .agg(
-            F.sum((F.col("lam") - F.coalesce("birth", F.lit(0.0))) * F.col("gone")).alias("stability")
+            F.sum(
+                # parts that leave where their cluster was born, both at distance 0, add nothing
+                F.when(F.col("lam") == F.col("birth"), F.lit(0.0)).otherwise(
+                    (F.col("lam") - F.coalesce("birth", F.lit(0.0))) * F.col("gone")
+                )
+            ).alias("stability")
         )
     )
     parents = births.join(member.select(F.col("node").alias("_via"), F.col("root").alias("parent")), "_via")

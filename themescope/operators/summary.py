@@ -203,18 +203,44 @@ def dedup_labels(labels: DataFrame) -> DataFrame:
 Labeller = Callable[[list[str]], list[str | None]]
 
 
-def model_labels(prompts: DataFrame, labeller: Labeller) -> DataFrame:
+LABEL_ATTEMPTS = 3
+
+
+def model_labels(
+    prompts: DataFrame,
+    labeller: Labeller,
+    second: Labeller | None = None,
+    attempts: int = LABEL_ATTEMPTS,
+) -> DataFrame:
     """``(cluster, model_label)`` from a user's labeller; failures give null.
 
-    The labeller gets a list of prompts and returns one answer per prompt.
+    The labeller gets a list of prompts and returns one answer per prompt. When a
+    list fails, or an answer in it is blank, those prompts are asked one by one, with
+    the second labeller from the second attempt on; a prompt that never succeeds
+    loses only its own label.
     """
+    later = second or labeller
+
+    def one(prompt: str) -> str | None:
+        for attempt in range(attempts):
+            try:
+                answer = list((labeller if attempt == 0 else later)([prompt]))[0]
+            except Exception:
+                continue
+            if answer and str(answer).strip():
+                return str(answer)
+        return None
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            asked = batch["prompt_lines"].tolist()
             try:
-                answers = list(labeller(batch["prompt_lines"].tolist()))
+                answers = list(labeller(asked))
+                if len(answers) != len(asked):
+                    raise ValueError("one answer per prompt is needed")
             except Exception:
-                answers = [None] * len(batch)
+                answers = [None] * len(asked)
+            answers = [a if a and str(a).strip() else one(q) for q, a in zip(asked, answers)]
             yield pd.DataFrame({"cluster": batch["cluster"], "model_label": pd.Series(answers, dtype=object)})
 
     kind = prompts.schema["cluster"].dataType.simpleString()
@@ -255,6 +281,7 @@ def cluster_summary(
     rows: DataFrame,
     labeller: Labeller | None = None,
     category_columns: list[str] | str | None = None,
+    second_labeller: Labeller | None = None,
 ) -> DataFrame:
     """Label, keywords, size and samples of each cluster that has a text.
 
@@ -275,7 +302,7 @@ def cluster_summary(
         # Clusters of fewer than three texts get a numbered name and no keywords.
         small = F.col("n") < 3
         asked = representatives(msgs.join(sizes.where(~small).select("cluster"), "cluster", "left_semi"))
-        answers = model_labels(label_prompts(asked), labeller)
+        answers = model_labels(label_prompts(asked), labeller, second_labeller)
         none = F.array().cast("array<string>")
         joined = (
             joined.join(answers, "cluster", "left")

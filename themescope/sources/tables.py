@@ -22,15 +22,22 @@ def stack(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new, allowMissingColumns=True)
 
 
+def _existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None when there is no such path; other errors pass."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def append_table(df: DataFrame, path: str, dedup_on: str | None = None) -> None:
     """Add rows to a Parquet table. A rerun adds them again unless ``dedup_on`` is given."""
     if dedup_on:
-        try:
-            known = df.sparkSession.read.parquet(path).select(dedup_on)
-        except AnalysisException:
-            known = None
-        if known is not None:
-            df = df.join(known, dedup_on, "left_anti")
+        old = _existing(df.sparkSession, path)
+        if old is not None:
+            df = df.join(old.select(dedup_on), dedup_on, "left_anti")
     df.write.mode("append").option("mergeSchema", True).parquet(path)
 
 
@@ -60,10 +67,8 @@ def save_chosen_k(spark: SparkSession, k: int, path: str) -> None:
 
 def load_chosen_k(spark: SparkSession, path: str) -> int | None:
     """The stored k, or None when nothing was stored yet."""
-    try:
-        row = spark.read.parquet(path).first()
-    except AnalysisException:
-        return None
+    stored = _existing(spark, path)
+    row = None if stored is None else stored.first()
     return None if row is None else int(row["k"])
 
 

@@ -9,11 +9,11 @@ from pyspark.sql import Window as W
 _BAD_BYTE = "\ufffd"
 
 
-def read_text_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_text_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Every column a string; undecodable bytes removed; ``row_id`` in file order.
 
-    Quoted line breaks need ``multi_line``, which makes one task per file. Turn
-    it off for data without them, so that large files are split.
+    Large files are split. Quoted line breaks need ``multi_line``, which makes one
+    task per file.
     """
     raw = (
         spark.read.option("header", True)
