@@ -12,9 +12,9 @@ corpus in ``2**BITS`` hashed buckets, rounded to steps of ``GRAIN`` in the logar
    for ``ENTRIES`` hash values of a shingle. Samples of two texts agree with the probability
    of their weighted Jaccard similarity; texts that agree on a whole band are candidates
    (similarity 0.8: all but 1 in 90,000 pairs share a band of 16).
-3. *Stars.* Texts with the same shingles are one node from here on. In each bucket one node
-   is compared with all others that are not yet in its class, a few rounds long; linked
-   groups, however large, take one comparison a node.
+3. *Stars.* Texts with the same shingles are one node from here on. In each bucket the node
+   that meets most others in all its buckets is compared with those that are not yet in its
+   class, a few rounds long; linked groups, however large, take few comparisons a node.
 4. *Rest.* Where a bucket still holds several classes, the nodes outside its largest class
    are compared with the others, block against block, so a task holds two blocks of
    ``BLOCK`` nodes and no pair is written that is no link.
@@ -211,8 +211,9 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, idf) -> DataFrame:
                 )
 
     rows = docs.select("text", *text_key(), _key())
-    texts = rows.join(wanted, ["key", "d1", "d2"]).select("node", "text")
-    return texts.mapInArrow(run, "node long, ids binary, levels binary").dropDuplicates(["node"])
+    # a row that repeats as a whole counts once; the join has dealt rows by these columns already
+    texts = rows.join(wanted, ["key", "d1", "d2"]).dropDuplicates(["key", "d1", "d2"]).select("node", "text")
+    return texts.mapInArrow(run, "node long, ids binary, levels binary")
 
 
 def similar(a: tuple, b: tuple) -> float:
@@ -311,12 +312,16 @@ def _open(members: DataFrame) -> DataFrame:
 
 
 def find_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` that join the nodes of each bucket of ``(bucket, node)`` into its classes."""
+    """Links ``(a, b)`` that join the nodes of each bucket of ``(bucket, node, near)`` into its classes.
+
+    near: how many nodes a node meets in all its buckets. The best-connected node of a bucket
+    is its centre, so that buckets of one family tend to have the same.
+    """
     found, label = None, None
-    for star in range(STARS):
+    for _ in range(STARS):
         rows = cut_lineage(_open(_classed(members, label)))
         centre = cut_lineage(
-            rows.groupBy("bucket").agg(F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(star))).alias("c"))
+            rows.groupBy("bucket").agg(F.max_by(F.struct("node", "comp"), F.struct("near", "node")).alias("c"))
             .select("bucket", F.col("c.node").alias("a"), F.col("c.comp").alias("ac"))
         )
         pairs = rows.join(centre, "bucket").where("comp <> ac").select("a", F.col("node").alias("b")).distinct()
@@ -324,7 +329,7 @@ def find_links(members: DataFrame, sets: DataFrame) -> DataFrame:
         found = links if found is None else cut_lineage(found.union(links))
         label = components(found)
         # a centre has met everybody in its bucket
-        members = rows.join(centre.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node")
+        members = rows.join(centre.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "near")
     rows = cut_lineage(_open(_classed(members, label)))
     sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     most = cut_lineage(
@@ -372,8 +377,10 @@ def _classed_rows(docs: DataFrame) -> DataFrame:
     rows = cut_lineage(signatures(docs, idf))
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"))
     banded = nodes.select("node", F.posexplode("bands")).select("node", F.xxhash64("pos", "col").alias("bucket"))
-    several = banded.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
-    members = cut_lineage(banded.join(several, "bucket").select("bucket", "node"))
+    several = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = cut_lineage(banded.join(several, "bucket").select("bucket", "node", "n"))
+    near = members.groupBy("node").agg(F.sum("n").alias("near"))
+    members = cut_lineage(members.join(near, "node").select("bucket", "node", "near"))
     one = rows.select("node", F.struct(_key(), "d1", "d2").alias("t")).groupBy("node").agg(F.min("t").alias("t"))
     wanted = cut_lineage(one.join(members.select("node").distinct(), "node").select("t.*", "node"))
     sets = cut_lineage(_shingle_sets(docs, wanted, idf))
