@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from themescope.llm.common import field, fold, lowest, one_label, per_text, raw_texts
 from themescope.llm.license import words
+from themescope.session import cut_lineage
 
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 2500
 BITS = 18
 #: Bytes of a word's beginnings that are features too.
 BEGINNINGS = (4, 5, 6)
@@ -94,12 +95,13 @@ def fit(rows: list[np.ndarray], swapped: list[np.ndarray | None], label: np.ndar
     """Full-batch Adam on features that stand in LEAST_TEXTS texts and more."""
     texts = np.bincount(np.concatenate(rows) if rows else [], minlength=1 << BITS)
     kept = np.flatnonzero(texts >= min(LEAST_TEXTS, max(1, len(rows) // 4)))
-    place = np.full(1 << BITS, -1, np.int64)
+    place = np.full(1 << BITS, -1, np.int32)
     place[kept] = np.arange(len(kept))
 
     def matrix(lists):
         at = [place[x][place[x] >= 0] for x in lists]
-        return np.concatenate([*at, np.zeros(0, np.int64)]), np.repeat(np.arange(len(at)), [len(x) for x in at])
+        sizes = [len(x) for x in at]
+        return np.concatenate([*at, np.zeros(0, np.int32)]), np.repeat(np.arange(len(at), dtype=np.int32), sizes)
 
     # a feature enters by how unevenly it stands in the two kinds of texts, so common words count little
     toxic = np.bincount(np.concatenate([x for x, y in zip(rows, label, strict=True) if y == 1] or [kept[:0]]), minlength=1 << BITS)
@@ -168,10 +170,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         .mapInArrow(made, "doc_id long, label int, plain binary, other binary")
         .groupBy("doc_id").agg(F.max("label").alias("label"), F.min("plain").alias("plain"), F.min("other").alias("other"))
     )
-    rows = sorted(found.collect(), key=lambda r: r["doc_id"])
-    plain = [np.frombuffer(r["plain"], np.int32) for r in rows]
-    other = [None if r["other"] is None else np.frombuffer(r["other"], np.int32) for r in rows]
-    label = np.array([r["label"] for r in rows], np.float64)
+    # in id order, one at a time; only the features are held
+    label, plain, other = [], [], []
+    for r in cut_lineage(found).orderBy("doc_id").toLocalIterator():
+        label.append(float(r["label"]))
+        plain.append(np.frombuffer(bytes(r["plain"]), np.int32))
+        other.append(None if r["other"] is None else np.frombuffer(bytes(r["other"]), np.int32))
+    label = np.array(label)
     taken = {c: max(1, int((label == c).sum())) for c in (0, 1)}
     weight = np.where(label == 1, counts[1] / taken[1], counts[0] / taken[0])
     return fit(plain, other, label, weight)
