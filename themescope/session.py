@@ -44,6 +44,11 @@ def _shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new path for a table that other tasks and the driver read back."""
+    return f"{_shared_folder(spark)}/themescope/{kind}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read on from there.
 
@@ -52,6 +57,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     is done once, and later joins know the real size of the table.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/themescope/{uuid.uuid4().hex}"
+    path = shared_path(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
