@@ -167,12 +167,22 @@ def test_unit_length_keeps_zero(spark):
     assert [r["vec"] for r in out] == [[0.6, 0.8], [0.0, 0.0]]
 
 
-def test_silhouette_matches_brute_force(spark):
+def test_two_vectors_closer_than_squares_can_tell(spark):
+    rows = [(i, [1e-170 * (i % 2), 0.0]) for i in range(4)] + [(4 + i, [5.0 + i, 1.0]) for i in range(4)]
+    df = spark.createDataFrame(rows, "row_id bigint, vec array<double>")
+    assert density_cluster(df, 2).count() == 8
+
+
+def test_silhouette_matches_brute_force(spark, monkeypatch):
     x = brute.blobs(8, 60, 0)
     label = [i % 4 for i in range(59)] + [9]
     rows = [(i, [float(v) for v in r], label[i]) for i, r in enumerate(x)]
     df = spark.createDataFrame(rows, "row_id bigint, vec array<double>, cluster int")
     assert km.silhouette(df).first()["silhouette"] == pytest.approx(brute.silhouette(x, label))
+    # the number of blocks does not change the result, and no size switches to a sample
+    monkeypatch.setattr(km, "BLOCK_ROWS", 17)
+    assert km.silhouette(df).first()["silhouette"] == pytest.approx(brute.silhouette(x, label))
+    assert km.silhouette(df, sample_rows=20).first()["n"] == 20
 
 
 def test_k_search_finds_separated_blobs(spark):
@@ -180,7 +190,9 @@ def test_k_search_finds_separated_blobs(spark):
     scores = km.score_ks(vectors(spark, x), 5, 8, restarts=6)
     best = km.choose_k(scores).first()
     assert best["optimal_k"] == 6 and best["method"] == "silhouette"
-    assert scores.orderBy("k").collect() == km.score_ks(vectors(spark, x), 5, 8, restarts=6).orderBy("k").collect()
+    again = km.score_ks(vectors(spark, x), 5, 8, restarts=6).orderBy("k").collect()
+    for a, b in zip(scores.orderBy("k").collect(), again, strict=True):
+        assert a["k"] == b["k"] and a["inertia"] == pytest.approx(b["inertia"])
 
 
 def test_k_choice_rules(spark):

@@ -85,4 +85,4 @@ def density(spark, folder):
 def clustered(spark, folder):
     """Sentiment dimension, PCA, unit length, k-means and the cluster summary."""
     rows = meta(spark, folder).where(F.col("embedding").isNotNull()).drop("cluster")
-    return cluster_step(rows, "kmeans", k=8, components=16, restarts=3).summary
+    return cluster_step(rows, "kmeans", k=8, components=16).summary

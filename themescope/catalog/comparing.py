@@ -23,6 +23,7 @@ from themescope.operators import charts, compare
 from themescope.operators.profile import group_values
 from themescope.operators.summary import by_size
 from themescope.plans.steps import compare_step
+from themescope.session import cut_lineage
 
 TWO = ["user", "assistant"]
 THREE = ["user", "assistant", "system"]
@@ -38,9 +39,10 @@ def _counts(rows, group, groups=None, name="counts"):
   SELECT cluster, {strip_sql(group)} AS grp, count(*) AS n FROM {rows} {where} GROUP BY ALL)"""
 
 
-def _grid(groups):
-    """One line per listed cluster and group, with percent of the group."""
-    names = " UNION ALL ".join(f"SELECT '{g}' AS grp, {i} AS grp_ord" for i, g in enumerate(groups))
+def _grid(groups=None):
+    """One line per listed cluster and group, with percent of the group; all groups if none are named."""
+    names = " UNION ALL ".join(f"SELECT '{g}' AS grp, {i} AS grp_ord" for i, g in enumerate(groups or []))
+    names = names or "SELECT grp, row_number() OVER (ORDER BY grp) - 1 AS grp_ord FROM (SELECT DISTINCT grp FROM counts WHERE grp IS NOT NULL)"
     return f"""names AS ({names}),
 totals AS (SELECT grp, sum(n) AS n_group FROM counts GROUP BY grp),
 shares AS (
@@ -80,8 +82,8 @@ tests AS (
          (p1 - p2 - me) * 100 AS "CI_Lower", (p1 - p2 + me) * 100 AS "CI_Upper" FROM tested)"""
 
 
-def _expected(groups):
-    names = " UNION ALL ".join(f"SELECT '{g}' AS grp" for g in groups)
+def _expected(groups=None):
+    names = " UNION ALL ".join(f"SELECT '{g}' AS grp" for g in groups or []) or "SELECT DISTINCT grp FROM counts"
     return f"""known AS (SELECT * FROM counts WHERE cluster IS NOT NULL),
 rowsum AS (SELECT cluster, sum(n) AS r FROM known GROUP BY cluster),
 colsum AS (SELECT grp, sum(n) AS c FROM known GROUP BY grp),
@@ -121,13 +123,13 @@ THREE_LONG = [CONV, CONV_CLUSTERS, _counts("conv", "role", THREE), _grid(THREE)]
 
 def _two(spark, folder):
     rows = conv(spark, folder)
-    counts = compare.cells(rows, "role", TWO).persist()
+    counts = cut_lineage(compare.cells(rows, "role", TWO))
     return rows, conv_clusters(rows), counts, compare.totals_of(counts, TWO)
 
 
 def _three(spark, folder):
     rows = conv(spark, folder)
-    counts = compare.cells(rows, "role", THREE).persist()
+    counts = cut_lineage(compare.cells(rows, "role", THREE))
     return rows, conv_clusters(rows), counts, compare.totals_of(counts, THREE)
 
 
@@ -293,13 +295,13 @@ def chi_square_yates(spark, folder):
 
 @query(
     "chi_square_many_groups",
-    _with(META, _counts("meta", "source"), _expected([f"src{i}" for i in range(20)]), _chi())
+    _with(META, _counts("meta", "source"), _expected(), _chi())
     + f"SELECT {r6('chi2')} AS chi2, {r6('p_value')} AS p_value, CAST(dof AS BIGINT) AS dof FROM answer",
 )
 def chi_square_many_groups(spark, folder):
-    """Noise row kept, twenty groups: many degrees of freedom."""
+    """Noise row kept, every source a group: many degrees of freedom."""
     rows = meta(spark, folder)
-    names = [f"src{i}" for i in range(20)]
+    names = _all_groups(rows, "source")
     return rounded(
         compare.chi_square(compare.expected(compare.cells(rows, "source", names), names)), "chi2", "p_value"
     )
@@ -405,17 +407,22 @@ def _sizes(rows):
     )
 
 
+def _all_groups(rows, column):
+    return [r["grp"] for r in group_values(rows, column).collect()]  # one short line per group
+
+
 def _finer(spark, folder):
     """Documents clustered by vector label and language: enough clusters for a tail."""
     rows = meta(spark, folder).where(F.col("cluster") >= 0)
-    order = F.array_position(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")]), F.col("lang"))
-    return rows.withColumn("cluster", (F.col("cluster") * 10 + order).cast("int"))
+    languages = rows.select("lang").distinct().withColumn("code", F.row_number().over(W.orderBy("lang")))
+    coded = rows.join(languages, "lang")
+    return coded.withColumn("cluster", (F.col("cluster") * 1000 + F.col("code")).cast("int")).drop("code")
 
 
-FINER = """meta0 AS (
-  SELECT d.doc_id AS row_id, d.lang, d.source, e.label * 10 +
-         CASE d.lang WHEN 'de' THEN 1 WHEN 'en' THEN 2 WHEN 'es' THEN 3 WHEN 'fr' THEN 4 ELSE 0 END AS cluster
-  FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id)"""
+FINER = """labelled AS (SELECT d.doc_id AS row_id, d.lang, d.source, e.label
+  FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id),
+codes AS (SELECT lang, row_number() OVER (ORDER BY lang) AS code FROM (SELECT DISTINCT lang FROM labelled)),
+meta0 AS (SELECT row_id, lang, source, CAST(label * 1000 + code AS INTEGER) AS cluster FROM labelled JOIN codes USING (lang))"""
 FINER_SUMMARY = """summary AS (SELECT cluster AS "Cluster_ID", 'Cluster ' || CAST(cluster + 1 AS VARCHAR) AS "Cluster_Label",
        count(*) AS "Message_Count" FROM meta0 GROUP BY cluster)"""
 
@@ -469,13 +476,13 @@ def summary_sorted(spark, folder):
     return ordered.select("Cluster_ID", "Message_Count", _place().alias("place"))
 
 
-FINER_SHARES = [FINER, CLUSTERS.format(rows="meta0"), _counts("meta0", "lang"), _grid(["de", "en", "es", "fr"])]
+FINER_SHARES = [FINER, CLUSTERS.format(rows="meta0"), _counts("meta0", "lang"), _grid()]
 
 
 def _finer_shares(spark, folder):
     rows = _finer(spark, folder)
-    groups = ["de", "en", "es", "fr"]
-    counts = compare.cells(rows, "lang", groups).persist()
+    groups = _all_groups(rows, "lang")
+    counts = cut_lineage(compare.cells(rows, "lang", groups))
     return compare.shares(counts, conv_clusters(rows), compare.totals_of(counts, groups))
 
 
@@ -523,20 +530,18 @@ def heatmap_table(spark, folder):
     return rounded(out, *[f"{g}_Percent" for g in THREE])
 
 
-SOURCES = [f"src{i}" for i in range(20)]
-
-
 @query(
     "facet_topk",
-    _with(META, META_CLUSTERS, _counts("meta", "source"), _grid(SOURCES))
+    _with(META, META_CLUSTERS, _counts("meta", "source"), _grid())
     + f"""SELECT s.grp, s.place, s.cluster, s.label, {r6('s.pct')} AS pct
 FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY pct DESC, cluster) AS place FROM shares) s
 WHERE s.place <= 12 AND s.grp IN (SELECT grp FROM shares GROUP BY grp, grp_ord ORDER BY sum(n) DESC, grp_ord LIMIT 5)""",
 )
 def facet_topk(spark, folder):
     rows = meta(spark, folder)
-    counts = compare.cells(rows, "source", SOURCES).persist()
-    share = compare.shares(counts, conv_clusters(rows), compare.totals_of(counts, SOURCES))
+    groups = _all_groups(rows, "source")
+    counts = cut_lineage(compare.cells(rows, "source", groups))
+    share = compare.shares(counts, conv_clusters(rows), compare.totals_of(counts, groups))
     return rounded(charts.facets(share).withColumn("place", F.col("place").cast("bigint")), "pct")
 
 

@@ -14,6 +14,7 @@ from themescope.operators.neighbors import knn, nearest_label
 from themescope.operators.reduce import augment, unit_length
 from themescope.operators.rows import join_repeated
 from themescope.plans.steps import embed_step
+from themescope.session import cut_lineage
 
 WIDTH = 64
 
@@ -180,9 +181,8 @@ def noise_nearest(spark, folder):
     return nearest_label(noisy)
 
 
-NEAR = f"""near AS (SELECT a.id AS qid, b.id, {DIST} AS w,
-  row_number() OVER (PARTITION BY a.id ORDER BY {DIST}, b.id) AS place
-  FROM pts a CROSS JOIN pts b WHERE a.id <> b.id QUALIFY place <= 10)"""
+NEAR = f"""near AS MATERIALIZED (SELECT qid, id, w, row_number() OVER (PARTITION BY qid ORDER BY w, id) AS place
+  FROM (SELECT a.id AS qid, b.id, {DIST} AS w FROM pts a CROSS JOIN pts b WHERE a.id <> b.id) QUALIFY place <= 10)"""
 
 
 def _near(spark, folder, k):
@@ -209,7 +209,7 @@ def core_distance(spark, folder):
 FROM near n JOIN cores a ON a.id = n.qid JOIN cores b ON b.id = n.id""",
 )
 def mutual_reach(spark, folder):
-    near = _near(spark, folder, 10).persist()
+    near = cut_lineage(_near(spark, folder, 10))
     known = distinct_points(points(spark, folder))
     return rounded(reach_edges(near, core_distances(near, known, 5)), "w")
 

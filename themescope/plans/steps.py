@@ -138,7 +138,7 @@ def compare_step(
     """
     column = choose_group_column(rows, group_col)
     names = select_groups(rows, column, groups)
-    counts = compare.cells(keep_groups(rows, column, names), column, names).persist()
+    counts = cut_lineage(compare.cells(keep_groups(rows, column, names), column, names))
     totals = compare.totals_of(counts, names)
     clusters = cut_lineage(clusters.select("cluster", "label"))  # one line each, used by every table
     wide = compare.z_tests(compare.proportions(counts, clusters, totals), totals)
