@@ -202,6 +202,42 @@ def test_stages_keep_the_columns_and_decide(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_pipeline_equals_plain_stages(spark):
+    import public_tokenizers
+    import tiktoken
+
+    from themescope.llm import bpe, decontam, toxicity
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    scores = toxicity.predict(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    clean = docs.join(scores.where("score < 0.3").select("doc_id"), "doc_id", "left_semi")
+    classes = brute_classes(spark, clean)
+    first = {c for c, _ in classes}
+    kept = sorted((r["doc_id"], r["text"] or "") for r in clean.collect() if r["doc_id"] in first)
+    n, seen = 400, collections.Counter()
+    raw = [t.encode() for _, t in kept]
+    for x in raw:
+        seen.update(hash(x[p : p + n]) for p in range(len(x) - n + 1))
+    items = [decontam.normal(r["text"]) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    library = tiktoken.Encoding(
+        "x", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(bpe.read_ranks(path))}, special_tokens={}
+    )
+    want = []
+    for (doc_id, _), x in zip(kept, raw, strict=True):
+        gone = bytearray(len(x))
+        for p in range(len(x) - n + 1):
+            if seen[hash(x[p : p + n])] > 1:
+                gone[p : p + n] = b"\1" * n
+        text = bytes(b for b, g in zip(x, gone, strict=True) if not g).decode("utf-8", "ignore")
+        if not any(i in decontam.normal(text) for i in items):
+            ids = ",".join(map(str, library.encode_ordinary(text)))
+            sha = [hashlib.sha256(v.encode()).hexdigest() for v in (text, ids)]
+            want.append((sha[0], doc_id, sha[1], ids.count(",") + 1 if ids else 0))
+    assert rows(corpus_pipeline.run(spark, folder)) == sorted(want, key=repr)
+
+
 def test_every_operator_is_registered():
     names = [n for n in entry.queries() if n.startswith("op") and n[2:].split("_")[0].isdigit()]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))

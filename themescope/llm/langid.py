@@ -10,8 +10,8 @@ Symbols are lower-cased letters; everything else is one blank. Texts are parsed
 blocks of ``BLOCK`` symbols, many blocks in step: one table look-up moves all blocks of all
 languages by one symbol.
 
-Labelled text is a bounded sample: for each language the ``SAMPLE_DOCS`` documents of least
-id hash, ``SAMPLE_SYMBOLS`` symbols in all, equal parts of each. The sample (not the
+Labelled text is a bounded sample: for each language about ``SAMPLE_DOCS`` documents of least
+id hash, ``SAMPLE_SYMBOLS / SAMPLE_DOCS`` characters of each. The sample (not the
 automata) is broadcast; each worker builds the automata once. Everything else sees all rows,
 with no shuffle.
 
@@ -157,7 +157,7 @@ def samples(docs: DataFrame) -> dict[str, list[str]]:
         .agg(F.min("part").alias("part"))
     )
     out: dict[str, list[str]] = {}
-    for r in chosen.orderBy("lang", "__h").collect():  # SAMPLE_DOCS rows a language
+    for r in chosen.orderBy("lang", "__h").collect():  # about SAMPLE_DOCS rows a language
         out.setdefault(r["lang"], []).append(r["part"])
     return out
 

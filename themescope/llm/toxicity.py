@@ -6,7 +6,7 @@ of a labelled text is swapped for another term of its group, plus a ridge. A ter
 tends to stand in toxic texts thus gets no weight of its own, and neutral mentions of a
 group are not rejected.
 
-Learning uses a bounded sample of labelled rows: of each label the ``SAMPLE_ROWS`` rows of
+Learning uses a bounded sample of labelled rows: of each label about ``SAMPLE_ROWS`` rows of
 least id hash, weighted to the shares of all labelled rows. Its features (a few MB) are
 fitted on the driver. Scoring handles each whole text on its own, with no shuffle.
 
@@ -150,7 +150,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     inside = F.lit(False)
     for label, limit in limits.items():
         inside = inside | ((F.col("label") == label) & (F.col("__h") <= limit))
-    chosen = known.where(inside).select("doc_id", "label")  # at most SAMPLE_ROWS a label
+    chosen = known.where(inside).select("doc_id", "label")  # about SAMPLE_ROWS a label
     swaps = _swaps()
 
     def made(batches):
