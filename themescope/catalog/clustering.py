@@ -86,3 +86,51 @@ def clustered(spark, folder):
     """Sentiment dimension, PCA, unit length, k-means and the cluster summary."""
     rows = meta(spark, folder).where(F.col("embedding").isNotNull()).drop("cluster")
     return cluster_step(rows, "kmeans", k=8, components=16).summary
+
+
+def _separated(spark, folder):
+    """Vectors pulled far apart by label, so that every sound method finds the labels."""
+    far = F.transform("vec", lambda x, i: x + F.when(i == F.col("label"), 100.0).otherwise(0.0))
+    return unit_length(points(spark, folder).select("row_id", far.alias("vec")))
+
+
+def _named_by_first(found):
+    """Clusters named by their least row."""
+    return found.select("row_id", F.min("row_id").over(W.partitionBy("cluster")).alias("first_row"))
+
+
+_LABELS = "SELECT vec_id AS row_id, min(vec_id) OVER (PARTITION BY label) AS first_row FROM embeddings"
+
+
+@query("kmeans_separated", _LABELS)
+def kmeans_separated(spark, folder):
+    rows = _separated(spark, folder)
+    k = table(spark, folder, "embeddings").select("label").distinct().count()
+    return _named_by_first(km.kmeans(rows, k, restarts=30))
+
+
+@query("agglomerative_separated", _LABELS)
+def agglomerative_separated(spark, folder):
+    k = table(spark, folder, "embeddings").select("label").distinct().count()
+    return _named_by_first(agglomerative(_separated(spark, folder), k))
+
+
+@query("density_separated", _LABELS)
+def density_separated(spark, folder):
+    return _named_by_first(density_cluster(_separated(spark, folder), 15))
+
+
+@query(
+    "pca_two_dims",
+    f"""WITH v AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
+c AS (SELECT vec_id, x - avg(x) OVER () AS x, y - avg(y) OVER () AS y FROM v),
+m AS (SELECT avg(x * x) AS a, avg(x * y) AS b, avg(y * y) AS d FROM c),
+e AS (SELECT a, b, (a + d) / 2 + sqrt((a - d) * (a - d) / 4 + b * b) AS top FROM m)
+SELECT vec_id AS row_id, {r6('abs(x * b + y * (top - a)) / sqrt(b * b + (top - a) * (top - a))')} AS length
+FROM c CROSS JOIN e""",
+)
+def pca_two_dims(spark, folder):
+    """One component of two dimensions, where the eigenvector has a closed form."""
+    flat = points(spark, folder).select("row_id", F.slice("vec", 1, 2).alias("vec"))
+    reduced, _ = pca_reduce(flat, 1)
+    return rounded(reduced.select("row_id", F.abs(F.col("vec")[0]).alias("length")), "length")
