@@ -112,12 +112,13 @@ def kmeans_separated(spark, folder):
 @query("agglomerative_separated", _LABELS)
 def agglomerative_separated(spark, folder):
     k = table(spark, folder, "embeddings").select("label").distinct().count()
-    return _named_by_first(agglomerative(_separated(spark, folder), k))
+    return _named_by_first(agglomerative(_separated(spark, folder), k, finish=200))  # most merges in rounds
 
 
 @query("density_separated", _LABELS)
 def density_separated(spark, folder):
-    return _named_by_first(density_cluster(_separated(spark, folder), 15))
+    split = {"block_rows": 200, "pack_edges": 300}  # several blocks and parts
+    return _named_by_first(density_cluster(_separated(spark, folder), 15, **split))
 
 
 @query(

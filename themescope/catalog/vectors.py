@@ -10,13 +10,15 @@ from themescope.catalog.texts import SENTIMENT
 from themescope.operators.density import core_distances, distinct_points, reach_edges
 from themescope.operators.embed import distinct_texts, embed_text, hashed_vectors
 from themescope.operators.kmeans import nearest_centroid, silhouette
-from themescope.operators.neighbors import knn, nearest_label
+from themescope.operators.neighbors import build_index, knn, nearest_label
 from themescope.operators.reduce import augment, unit_length
 from themescope.operators.rows import join_repeated
 from themescope.plans.steps import embed_step
 from themescope.session import cut_lineage
 
 WIDTH = 64
+# Rows a block in the neighbour queries: small, so that several blocks are searched.
+BLOCK = 150
 
 
 def _slots(rows, key):
@@ -178,7 +180,7 @@ def noise_nearest(spark, folder):
     noisy = rows.select(
         "row_id", "vec", F.when(F.col("label") >= 5, -1).otherwise(F.col("label")).alias("cluster")
     )
-    return nearest_label(noisy)
+    return nearest_label(noisy, block_rows=BLOCK)
 
 
 NEAR = f"""near AS MATERIALIZED (SELECT qid, id, w, row_number() OVER (PARTITION BY qid ORDER BY w, id) AS place
@@ -186,7 +188,8 @@ NEAR = f"""near AS MATERIALIZED (SELECT qid, id, w, row_number() OVER (PARTITION
 
 
 def _near(spark, folder, k):
-    return knn(points(spark, folder).select(F.col("row_id").alias("id"), "vec"), k)
+    rows = points(spark, folder).select(F.col("row_id").alias("id"), "vec")
+    return knn(rows, k, build_index(rows, block_rows=BLOCK))
 
 
 @query("knn_topk", _with(POINTS, NEAR) + f"SELECT qid, id, {r6('w')} AS w FROM near WHERE place <= 5")

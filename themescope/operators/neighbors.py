@@ -363,7 +363,7 @@ def knn(points: DataFrame, k: int, index: Index | None = None) -> DataFrame:
     return search(index, index.points.select(F.col("id").alias("qid"), "vec"), k)
 
 
-def nearest_label(rows: DataFrame) -> DataFrame:
+def nearest_label(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Give noise rows (cluster -1) the cluster of their nearest non-noise row.
 
     ``rows`` has row_id, vec, cluster. Nothing changes when there is no noise or
@@ -373,7 +373,7 @@ def nearest_label(rows: DataFrame) -> DataFrame:
     known = rows.where(F.col("cluster") != -1)
     if not noise.limit(1).count() or not known.limit(1).count():
         return rows.select("row_id", "cluster")
-    index = build_index(known.select(F.col("row_id").alias("id"), "vec"))
+    index = build_index(known.select(F.col("row_id").alias("id"), "vec"), block_rows=block_rows)
     found = search(index, noise.select(F.col("row_id").alias("qid"), "vec"), 1)
     labels = known.select(F.col("row_id").alias("id"), F.col("cluster").alias("_given"))
     given = found.join(labels, "id").select(F.col("qid").alias("row_id"), "_given")
