@@ -133,24 +133,23 @@ def cutoffs(rows: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: fl
     )
     held = rows.join(good, "doc_id").withColumn("stratum", F.coalesce(F.col(stratum), F.lit("")))
     counts = [
-        F.sum(F.when(F.col(r) > c, 1).otherwise(0)).alias(f"{r}:{k}") for r, cs in RULES.items() for k, c in enumerate(cs)
+        F.sum(F.when(F.col(r) > c, 1).otherwise(0)).alias(f"{r}__{k}") for r, cs in RULES.items() for k, c in enumerate(cs)
     ]
     tests = F.explode(
         F.array(
             *[
-                F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"`{r}:{k}`").cast("long").alias("x"))
+                F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"`{r}__{k}`").cast("long").alias("x"))
                 for r, cs in RULES.items()
                 for k, c in enumerate(cs)
             ]
         )
     )
-    each = held.groupBy("stratum").agg(F.count("*").alias("n"), *counts)
-    n_tests = each.agg((F.count("*") * sum(map(len, RULES.values()))).alias("tests"))
+    each = cut_lineage(held.groupBy("stratum").agg(F.count("*").alias("n"), *counts))  # one row a stratum
+    n_tests = max(1, each.count() * sum(map(len, RULES.values())))
     return (
         each.select("stratum", "n", tests.alias("t"))
         .select("stratum", "n", "t.*")
-        .join(F.broadcast(n_tests))  # one row
-        .where(binomial_tail(F.col("x"), F.col("n"), alpha / len(RULES)) <= delta / F.col("tests"))
+        .where(binomial_tail(F.col("x"), F.col("n"), alpha / len(RULES)) <= delta / n_tests)
         .groupBy("stratum", "rule")
         .agg(F.min("cutoff").alias("cutoff"))
     )

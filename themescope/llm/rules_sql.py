@@ -21,9 +21,11 @@ WITH t AS (
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
   FROM documents),
 g AS (
-  SELECT doc_id, unnest(range(0, len(w) - 4)) AS i, w FROM t WHERE len(w) >= 5),
+  SELECT doc_id, unnest(range(0, len(w) - 4)) AS i,
+         unnest(list_transform(range(0, len(w) - 4), lambda k: w[k + 1] || ' ' || w[k + 2] || ' ' || w[k + 3] || ' ' || w[k + 4] || ' ' || w[k + 5])) AS five
+  FROM t WHERE len(w) >= 5),
 h AS (
-  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, list_slice(w, i + 1, i + 5)) AS n FROM g),
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, five) AS n FROM g),
 r AS (
   SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM h WHERE n > 1) GROUP BY doc_id),
 c AS (
