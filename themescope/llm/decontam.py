@@ -18,7 +18,6 @@ again.
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 import numpy as np
@@ -27,22 +26,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from themescope.llm.common import per_text
-from themescope.llm.rolling import BASE, mix
+from themescope.llm.rolling import BASE
 
 Q = 8
 #: Edits allowed, as a share of an item's characters.
 EDITS = 0.1
 GROUP_CHARS = 4_000_000
-_BITS = 24
+_BITS = 21
+_ODD = np.uint64(0xD6E8FEB86659FD93)
 
-_BLANK = re.compile(r"\s+")
+#: Characters of normal text that are searched at once (a longer text is searched alone).
+_AT_ONCE = 1 << 18
 _MATCHES = T.StructField(
-    "matches", T.ArrayType(T.StructType([T.StructField("item", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("edits", T.IntegerType())]))
+    "matches", T.ArrayType(T.StructType([T.StructField("item", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("edits", T.IntegerType())]))
 )
 
 
 def normal(text: str) -> str:
-    return _BLANK.sub(" ", text.lower()).strip()
+    return " ".join(text.lower().split())
 
 
 def _codes(text: str) -> np.ndarray:
@@ -50,11 +51,11 @@ def _codes(text: str) -> np.ndarray:
 
 
 def _grams(codes: np.ndarray) -> np.ndarray:
-    h, step, power = mix(codes.astype(np.uint64) + np.uint64(1)), 1, int(BASE)
+    h, step, power = codes.astype(np.uint64) + np.uint64(1), 1, int(BASE)
     while step < Q:
         h = h[:-step] * np.uint64(power) + h[step:] if len(h) > step else h[:0]
         step, power = step * 2, power * power % 2**64
-    return mix(h)
+    return h * _ODD
 
 
 def budget(m: int) -> int:
@@ -114,38 +115,63 @@ class Index:
         self.known[(self.h >> np.uint64(64 - _BITS)).astype(np.int64)] = True
         self.short = [i for i, m in enumerate(size.tolist()) if m < Q]
 
-    def search(self, text: str) -> list[tuple[int, int, int]]:
-        """(item, start, edits) of each item that stands in a text."""
-        text = normal(text)
-        out = [(i, at, 0) for i in self.short if (at := text.find(self.items[i])) >= 0]
-        codes = _codes(text)
+    def search(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
+        """(item, start, edits) of each item that stands in each text."""
+        texts = [normal(t) for t in texts]
+        out: list[list] = [[] for _ in texts]
+        for t, text in enumerate(texts):
+            out[t] = [(i, at, 0) for i in self.short if (at := text.find(self.items[i])) >= 0]
+        first, size = 0, 0
+        for t, text in enumerate(texts):
+            size += len(text)
+            if size >= _AT_ONCE or t == len(texts) - 1:
+                for k, found in self._together(texts[first : t + 1]).items():
+                    out[first + k] += [(i, at, edits) for i, (edits, at) in sorted(found.items())]
+                first, size = t + 1, 0
+        return out
+
+    def _together(self, texts: list[str]) -> dict[int, dict[int, tuple[int, int]]]:
+        """Best (edits, start) by text and item."""
+        codes = _codes("\0".join(texts))
+        sizes = np.array([len(x) + 1 for x in texts])
+        starts = np.cumsum(sizes) - sizes
         h = _grams(codes)
         at = np.flatnonzero(self.known[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
+        left = np.searchsorted(self.h, h[at], "left")
+        n = np.searchsorted(self.h, h[at], "right") - left
+        at, left, n = at[n > 0], left[n > 0], n[n > 0]
         if not len(at):
-            return out
-        first = np.searchsorted(self.h, h[at], "left")
-        n = np.searchsorted(self.h, h[at], "right") - first
-        at, first, n = at[n > 0], first[n > 0], n[n > 0]
-        posting = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            return {}
+        posting = np.repeat(left - (np.cumsum(n) - n), n) + np.arange(n.sum())
         item = self.item[posting]
-        diagonal = np.repeat(at, n) - self.place[posting] + int(self.size.max())
-        found = {}
+        text = np.searchsorted(starts, at, "right") - 1
+        most = int(self.size.max())
+        diagonal = np.repeat(at - starts[text], n) - self.place[posting] + most
+        text = np.repeat(text, n)
+        pair = text * len(self.items) + item
+        found: dict[int, dict[int, tuple[int, int]]] = {}
         for shift in (0, 1):  # two families of bands, half a band apart
             w = self.width[item]
             band = (diagonal + shift * (w // 2)) // w
-            key, count = np.unique(item * (1 << 40) + band, return_counts=True)
-            i, b = key >> 40, key & ((1 << 40) - 1)
-            for i, b in zip(i[count >= self.least[i]].tolist(), b[count >= self.least[i]].tolist(), strict=True):
+            order = np.lexsort((band, pair))
+            p, b = pair[order], band[order]
+            new = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (b[1:] != b[:-1])))
+            count = np.diff(np.append(new, len(p)))
+            p, b = p[new], b[new]
+            good = count >= self.least[p % len(self.items)]
+            for pk, bk in zip(p[good].tolist(), b[good].tolist(), strict=True):
+                t, i = divmod(pk, len(self.items))
                 w, k, m = int(self.width[i]), int(self.edits[i]), int(self.size[i])
-                start = b * w - shift * (w // 2) - int(self.size.max())
-                lo, hi = max(0, start - k), min(len(codes), start + w + m + k)
-                exact = text.find(self.items[i], lo, hi)
+                start = bk * w - shift * (w // 2) - most
+                lo, hi = max(0, start - k), min(len(texts[t]), start + w + m + k)
+                exact = texts[t].find(self.items[i], lo, hi)
                 got = (0, exact) if exact >= 0 else None
-                if got is None and k and (best := align(self.codes[i], codes[lo:hi], k)):
+                if got is None and k and (best := align(self.codes[i], _codes(texts[t][lo:hi]), k)):
                     got = (best[0], max(0, lo + best[1] - m))
-                if got and (i not in found or got < found[i]):
-                    found[i] = got
-        return out + [(i, at, edits) for i, (edits, at) in sorted(found.items())]
+                here = found.setdefault(t, {})
+                if got and (i not in here or got < here[i]):
+                    here[i] = got
+        return found
 
 
 def _groups(benchmark: DataFrame) -> list[list[tuple]]:
@@ -160,13 +186,14 @@ def _groups(benchmark: DataFrame) -> list[list[tuple]]:
 
 
 def _searched(docs: DataFrame, keep: list[str], items: list[tuple]) -> DataFrame:
-    kept = docs.sparkSession.sparkContext.broadcast([x for _, x in items])
+    kept = docs.sparkSession.sparkContext.broadcast(items)
 
     def start():
-        index = Index(kept.value)
+        ids, index = [i for i, _ in kept.value], Index([x for _, x in kept.value])
 
         def work(texts):
-            return [[[dict(zip(("item", "start", "edits"), x, strict=True)) for x in index.search(t.decode("utf-8", "replace"))] for t in texts]]
+            found = index.search([t.decode("utf-8", "replace") for t in texts])
+            return [[[{"item": ids[i], "start": at, "edits": n} for i, at, n in row] for row in found]]
 
         return work
 
@@ -177,9 +204,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, item_id, start, edits)``: items that stand in texts; start in the normal form."""
     parts = []
     for items in _groups(benchmark):
-        ids = F.array(*[F.lit(i).cast("long") for i, _ in items])
         rows = _searched(docs.select("doc_id", "text"), ["doc_id"], items).select("doc_id", F.explode("matches").alias("m"))
-        parts.append(rows.select("doc_id", F.get(ids, F.col("m.item")).alias("item_id"), F.col("m.start").alias("start"), F.col("m.edits").alias("edits")))
+        parts.append(rows.select("doc_id", F.col("m.item").alias("item_id"), F.col("m.start").alias("start"), F.col("m.edits").alias("edits")))
     if not parts:
         return docs.where("false").select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("start"), F.lit(0).alias("edits"))
     return reduce(DataFrame.unionByName, parts)
