@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +37,7 @@ def raw_texts(column: pa.Array) -> list[bytes]:
 
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about CHUNK_BYTES of text."""
-    sizes = np.array([len(x) for x in raw_texts(batch.column(column))], dtype=np.int64)
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     part = (np.cumsum(sizes) - sizes) // CHUNK_BYTES
     edges = np.flatnonzero(np.diff(part, prepend=-1)) if len(part) else []
     for start, end in zip(edges, [*edges[1:], len(sizes)], strict=True):
