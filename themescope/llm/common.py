@@ -38,8 +38,10 @@ def raw_texts(column: pa.Array) -> list[bytes]:
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about CHUNK_BYTES of text."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    if not len(sizes):
+        return
     part = (np.cumsum(sizes) - sizes) // CHUNK_BYTES
-    edges = np.flatnonzero(np.diff(part, prepend=-1)) if len(part) else []
+    edges = np.flatnonzero(np.diff(part, prepend=-1))
     for start, end in zip(edges, [*edges[1:], len(sizes)], strict=True):
         yield batch.slice(start, end - start)
 
