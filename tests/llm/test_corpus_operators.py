@@ -127,6 +127,25 @@ def test_classes_equal_all_pairs(spark, monkeypatch):
     assert rows(neardup.classes(docs).select("class_id", "doc_id")) == want
 
 
+def repeat_families():
+    """Pairs that differ only in how often a line stands in them, and a passage of a third of all rows."""
+    hot = prose(900, 120)
+    out = []
+    for f in range(12):
+        line, body = prose(700 + f, 12), prose(720 + f, 60)
+        out += [" ".join([body, *[line] * n]) for n in (10, 100)]
+    out += [f"{hot} {prose(800 + k, 14)}" for k in range(12)]
+    return out
+
+
+def test_links_by_plain_similarity_alone_are_found(spark):
+    docs = spark.createDataFrame(list(enumerate(repeat_families())), "doc_id bigint, text string")
+    want = brute_classes(spark, docs)
+    assert [c for c, d in sorted(want, key=lambda r: r[1])][:24] == [d - d % 2 for d in range(24)]
+    assert len({c for c, d in want if d >= 24}) < 12
+    assert rows(neardup.classes(docs).select("class_id", "doc_id")) == want
+
+
 def test_classes_of_odd_rows(spark):
     docs = odd(spark)
     got = neardup.classes(docs)

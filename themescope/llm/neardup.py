@@ -10,8 +10,10 @@ corpus in ``2**BITS`` hashed buckets, rounded to steps of ``GRAIN`` in the logar
    weight w has ``t = floor(ln w / r + b)`` and value ``ln c - r (t - b + 1)``; the least
    value wins and (shingle, t) is the sample. r, c (Gamma(2, 1)) and b (uniform) are drawn
    for ``ENTRIES`` hash values of a shingle. Samples of two texts agree with the probability
-   of their weighted Jaccard similarity; texts that agree on a whole band are candidates
-   (similarity 0.8: all but 1 in 90,000 pairs share a band of 16).
+   of their weighted Jaccard similarity; texts that agree on a whole band are candidates.
+   As many samples again are drawn with all weights equal, which agree with the probability of
+   the plain Jaccard similarity. Both halves of the link test thus have ``BANDS`` bands of
+   their own: a pair at 0.8 of either shares none of that half's 16 in 1 of 97,000 cases.
 3. *Stars.* Texts with the same shingles are one node from here on. In each bucket the node
    that meets most others in all its buckets is compared with those that are not yet in its
    class, a few rounds long; linked groups, however large, take few comparisons a node.
@@ -138,15 +140,20 @@ class Sampler:
         bits = np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31))  # sorts as the values do
         self.value = bits.astype(np.uint64).ravel() << np.uint64(32)
         self.t = t.astype(np.int64).ravel()
-        self.seeds = draw.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        seeds = draw.integers(1, 2**63, 2 * BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.seeds, self.plain_seeds = seeds[: BANDS * ROWS], seeds[BANDS * ROWS :]
 
-    def bands(self, h: np.ndarray, level: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def all_bands(self, h: np.ndarray, level: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Weighted bands, then as many with all weights equal."""
+        return np.hstack([self.bands(h, level, first), self.bands(h, np.zeros_like(level), first, self.plain_seeds)])
+
+    def bands(self, h: np.ndarray, level: np.ndarray, first: np.ndarray, seeds: np.ndarray | None = None) -> np.ndarray:
         """One hash for each text (shingles from ``first`` on) and band."""
         place = np.arange(len(h), dtype=np.uint64)
         offset = level.astype(np.int64) * ENTRIES
         shift = np.uint64(64 - (ENTRIES.bit_length() - 1))
         out = np.zeros((len(first), BANDS), np.uint64)
-        for k, seed in enumerate(self.seeds):
+        for k, seed in enumerate(self.seeds if seeds is None else seeds):
             entry = offset + ((h * seed) >> shift).astype(np.int64)
             least = np.minimum.reduceat(self.value[entry] | place, first)
             at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -176,7 +183,7 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
                 bands: list = [None] * len(texts)
                 if len(first):
                     node[some] = mix(np.add.reduceat(mix(h + count.astype(np.uint64) * BASE), first))
-                    for t, row in zip(some.tolist(), sampler.bands(h, level, first).view(np.int64), strict=True):
+                    for t, row in zip(some.tolist(), sampler.all_bands(h, level, first).view(np.int64), strict=True):
                         bands[t] = row
                 empty = np.ones(len(texts), bool)
                 empty[some] = False
