@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -179,6 +180,27 @@ def test_language_of_odd_rows(spark):
     assert {r["lang_pred"] for r in langid.predict(unlabelled).collect()} == {"und"}
 
 
+def test_language_is_learned_from_whole_texts(spark, monkeypatch):
+    head = prose(50, 200)  # the same long opening in both languages
+    words = {"aa": ["lomi", "tareku", "nusa", "vilo", "perata"], "bb": ["schrift", "gwynth", "krolz", "dwerg", "fjord"]}
+    bodies = {n: [" ".join(random.Random(k).choices(w, k=300)) for k in range(12)] for n, w in words.items()}
+    data = [(10 * k + i, f"{head} {b}", n) for i, n in enumerate(words) for k, b in enumerate(bodies[n])]
+    asked = [(1000 + i, bodies[n][0], None) for i, n in enumerate(words)]
+    docs = spark.createDataFrame(data + asked, "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs).collect()}
+    assert got[1000] == "aa" and got[1001] == "bb"
+    known = {t.lower() for _, t, _ in data}
+    assert all(t in known for texts in langid.samples(docs).values() for t in texts)
+    # beyond the bound, windows from all over the texts
+    monkeypatch.setattr(langid, "SAMPLE_SYMBOLS", 12_000)
+    monkeypatch.setattr(langid, "WINDOW", 40)
+    some = langid.samples(docs)
+    assert all(8_000 < sum(map(len, texts)) < 16_000 for texts in some.values())
+    text = "".join(chr(0x4E00 + k) for k in range(8000))
+    places = [ord(c) - 0x4E00 for c in langid.spread(text, 5, 0.3) if c != " "]
+    assert places == sorted(set(places)) and all(sum(p // 1000 == k for p in places) > 100 for k in range(8))
+
+
 # --- rules --------------------------------------------------------------
 
 

@@ -10,10 +10,11 @@ Symbols are lower-cased letters; everything else is one blank. Texts are parsed
 blocks of ``BLOCK`` symbols, many blocks in step: one table look-up moves all blocks of all
 languages by one symbol.
 
-Labelled text is a bounded sample: for each language about ``SAMPLE_DOCS`` documents of least
-id hash, ``SAMPLE_SYMBOLS / SAMPLE_DOCS`` characters of each. The sample (not the
-automata) is broadcast; each worker builds the automata once. Everything else sees all rows,
-with no shuffle.
+Labelled text is a bounded sample of rows: for each language about ``SAMPLE_DOCS`` documents of
+least id hash, each taken whole. Only where these hold more than ``SAMPLE_SYMBOLS`` characters
+together, windows of ``WINDOW`` characters are drawn by hash, evenly from all over the whole
+texts, so that the automata stay bounded. The sample (not the automata) is broadcast; each
+worker builds the automata once. Everything else sees all rows, with no shuffle.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, as is
 everything when there is nothing to learn from; null ids count as the id '' in the fold;
@@ -23,15 +24,19 @@ repeated rows are judged alike.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themescope.llm.common import field, fold, lowest, per_text
+from themescope.session import cut_lineage
 
 SAMPLE_DOCS = 48
-SAMPLE_SYMBOLS = 40_000
+SAMPLE_SYMBOLS = 400_000
+WINDOW = 500
 #: Letters with symbols of their own, by frequency in the sample; rarer ones share one.
 LETTERS = 120
 BLOCK = 512
@@ -71,8 +76,10 @@ class Automaton:
 class Models:
     """Automata of all languages in one table.
 
-    ``table[state, symbol]`` is ``4 * next state + phrases that end``: 0 where the match
-    goes on, 1 where the symbol starts a new phrase, 2 where it also is a phrase of its own.
+    A step is ``4 * next state + phrases that end``: 0 where the match goes on, 1 where the
+    symbol starts a new phrase, 2 where it also is a phrase of its own. States with one way on
+    (most) hold its symbol in ``only`` and its step in ``after``; ``table[row, symbol]`` has the
+    other states and, once a language, what is done where nothing matches.
     """
 
     def __init__(self, samples: dict[str, list[str]]):
@@ -90,25 +97,41 @@ class Models:
             self.symbol[ord(c)] = 2 + i
         self.pad = 2 + len(letters)
         width = self.pad + 1
-        tables, self.roots, self.bits, base = [], [], [], 0
+        tables, only, after, rows = [], [], [], []
+        self.roots, self.bits, base, n_rows = [], [], 0, 0
         for name in self.names:
             symbols = self.symbols(lowered[name])
-            automaton = Automaton(symbols.tolist())
-            table = np.full((len(automaton.next), width), -1, np.int64)
-            for s, edges in enumerate(automaton.next):
-                for c, t in edges.items():
-                    table[s, c] = 4 * (base + t)
-            table[:, 1] = -1  # unknown letters match nothing
-            fresh = np.where(table[0] >= 0, table[0] + 1, 4 * base + 2)
-            table = np.where(table < 0, fresh[None, :], table)
-            # at the start of a phrase nothing ends yet, but a symbol without a match is a phrase
-            table[0] = np.where(fresh % 4 == 1, fresh - 1, 4 * base + 1)
-            table[:, self.pad] = 4 * base
-            tables.append(table.astype(np.int32))
+            ways = Automaton(symbols.tolist()).next
+            for edges in ways:
+                edges.pop(1, None)  # unknown letters match nothing
+            fresh = np.full(width, 4 * base + 2, np.int32)
+            start = np.full(width, 4 * base + 1, np.int32)  # nothing ends yet, but a symbol without a match is a phrase
+            for c, t in ways[0].items():
+                fresh[c], start[c] = 4 * (base + t) + 1, 4 * (base + t)
+            fresh[self.pad] = start[self.pad] = 4 * base
+            one = np.full(len(ways), -1, np.int16)
+            then, row = np.zeros(len(ways), np.int32), np.full(len(ways), n_rows, np.int32)
+            branching = [s for s in range(1, len(ways)) if len(ways[s]) > 1]
+            table = np.tile(fresh, (2 + len(branching), 1))
+            table[1], row[0] = start, n_rows + 1
+            for k, s in enumerate(branching, 2):
+                row[s] = n_rows + k
+                for c, t in ways[s].items():
+                    table[k, c] = 4 * (base + t)
+            for s in range(1, len(ways)):
+                if len(ways[s]) == 1:
+                    ((c, t),) = ways[s].items()
+                    one[s], then[s] = c, 4 * (base + t)
+            tables.append(table)
+            only.append(one)
+            after.append(then)
+            rows.append(row)
             self.roots.append(base)
             self.bits.append(math.log2(len(symbols) + 2))
-            base += len(automaton.next)
+            base += len(ways)
+            n_rows += len(table)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        self.only, self.after, self.row = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (only, after, rows))
         self.width = width
 
     def symbols(self, text: str) -> np.ndarray:
@@ -130,7 +153,8 @@ class Models:
         state = np.repeat(roots, len(grid), axis=1)
         phrases = np.ones((len(self.names), len(grid)), np.int64)  # the phrase open at the end
         for symbols in columns:
-            step = self.table[state * self.width + symbols]
+            other = self.table[self.row[state].astype(np.int64) * self.width + symbols]
+            step = np.where(self.only[state] == symbols, self.after[state], other)
             phrases += step & 3
             state = (step >> 2).astype(np.int64)
         text = np.repeat(np.arange(len(texts)), n_blocks)
@@ -140,6 +164,18 @@ class Models:
         return out / np.maximum([len(x) for x in texts], 1)[:, None]
 
 
+def spread(text: str, seed: int, share: float) -> str:
+    """The whole text, or that share of its windows, chosen by hash, in their order."""
+    if share >= 1:
+        return text
+    out, last = [], -1
+    for k in range(-(-len(text) // WINDOW)):
+        if zlib.crc32(f"{seed}:{k}".encode()) < share * 2**32:
+            out.append(" " * (last not in (-1, k - 1)) + text[k * WINDOW : (k + 1) * WINDOW])
+            last = k
+    return "".join(out)
+
+
 def samples(docs: DataFrame) -> dict[str, list[str]]:
     """Labelled text of each language outside the held-out fold, lower-cased."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", 5) != 0))
@@ -147,17 +183,25 @@ def samples(docs: DataFrame) -> dict[str, list[str]]:
     limits = lowest(rows, "lang", SAMPLE_DOCS)
     if not limits:
         return {}
-    share = SAMPLE_SYMBOLS // SAMPLE_DOCS
     bound = docs.sparkSession.createDataFrame(list(limits.items()), "lang string, __limit long")
-    chosen = (
+    chosen = cut_lineage(  # about SAMPLE_DOCS rows a language
         rows.join(F.broadcast(bound), "lang")  # one row a language
         .where(F.col("__h") <= F.col("__limit"))
-        .select("lang", "__h", F.lower(F.substring("text", 1, share)).alias("part"))
+        .select("lang", "__h", F.lower("text").alias("part"))
         .groupBy("lang", "__h")
         .agg(F.min("part").alias("part"))
     )
+    sizes = {r["lang"]: r["n"] for r in chosen.groupBy("lang").agg(F.sum(F.length("part")).alias("n")).collect()}
+    most = SAMPLE_SYMBOLS
+
+    def pick(batches):
+        for batch in batches:
+            langs, seeds, texts = (batch.column(k).to_pylist() for k in range(3))
+            parts = [spread(t, h, most / max(sizes[n], 1)) for n, h, t in zip(langs, seeds, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.string())], names=["lang", "__h", "part"])
+
     out: dict[str, list[str]] = {}
-    for r in chosen.orderBy("lang", "__h").collect():  # about SAMPLE_DOCS rows a language
+    for r in chosen.mapInArrow(pick, "lang string, __h long, part string").orderBy("lang", "__h").collect():
         out.setdefault(r["lang"], []).append(r["part"])
     return out
 
