@@ -7,14 +7,17 @@ from collections.abc import Callable
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from themescope.llm import bpe, decontam, langid, license, neardup, packing, quality, rules, rules_sql, suffix, toxicity
+from themescope.llm import audit, bpe, decontam, langid, license, mixture, neardup, packing, quality, rules, rules_sql
+from themescope.llm import runs, suffix, toxicity
 from themescope.llm.common import read
 
 #: Rank file of the byte-level queries, found by the public_tokenizers package.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: Vocabulary file of the packing by mixture.
+PACKING_VOCABULARY = "byte_bpe_50k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {"op6_quality_rules": rules_sql.SQL}
+SQL: dict[str, str] = {"op6_quality_rules": rules_sql.SQL, "op12_source_audit": audit.SQL}
 
 
 def query(fn):
@@ -70,3 +73,19 @@ def op7_token_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.classes(read(spark, folder, "documents"))
+
+
+@query
+def op11_mixture_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    return mixture.digests(mixture.pack(docs, tokenizers.path(PACKING_VOCABULARY), tokenizers.PATTERN))
+
+
+@query
+def op12_source_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.audit(read(spark, folder, "documents"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.digests(read(spark, folder, "documents"), planted=True)
