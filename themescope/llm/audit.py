@@ -38,7 +38,7 @@ LEAST_DOCS = 3
 SCALE = 1_000_000_000
 TERM_RANKS = 200
 #: Distinct (group, term) counts that a task holds before it passes them on.
-FLUSH = 200_000
+FLUSH = 500_000
 #: Path steps in one tree.
 CELLS = 2_000_000
 
