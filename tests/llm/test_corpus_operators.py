@@ -44,7 +44,7 @@ def repeated_texts():
     return texts
 
 
-@pytest.mark.parametrize("n", [400, 640])
+@pytest.mark.parametrize("n", [120, 240, 400, 640])
 def test_repeats_equal_a_count_of_all_strings(spark, n):
     texts = repeated_texts()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")

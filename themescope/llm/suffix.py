@@ -4,14 +4,14 @@ A string of ``min_bytes`` bytes that starts at two places is a repeat; every byt
 repeat covers is removed. Places are in the UTF-8 bytes of the whole text and strings
 never cross documents.
 
-1. *Places.* Each window of ``WINDOW`` places has the place with the least hash of its
-   ``GRAM`` bytes as its anchor, and an anchor owns the starts whose first window has it.
-   Equal strings have equal anchors, so only anchors (one in about 55 bytes) are ranked, not
-   every byte, and a document sends each different one once.
-2. *Prefix doubling.* Rank 0 stands for the first bytes after an anchor. Then the pairs
-   ``(rank of the first h bytes, digest of the next h bytes)`` at growing offsets h are
-   sorted and ranked again. An anchor whose pair is unique goes; ranks stop at the bytes that
-   every repeat around an anchor must share.
+1. *Places.* Each window of places (a third of ``min_bytes``, WINDOW at most) has the place with the
+   least hash of its ``GRAM`` bytes as its anchor, and an anchor owns the starts whose first
+   window has it. Equal strings have equal anchors, so only anchors (at 400 bytes one in about
+   55 bytes) are ranked, not every byte, and a document sends each different one once.
+2. *Prefix doubling.* Rank 0 stands for the first h bytes after an anchor. Then the pairs
+   ``(rank of the first h bytes, digest of the next h bytes)`` at doubled offsets h are
+   sorted and ranked again. An anchor whose pair is unique goes; ranks stop past two thirds of
+   ``min_bytes``, the bytes after an anchor that every repeat with a start of its own shares.
 3. *Blocks.* A block holds all bytes of the strings from an anchor's starts. Blocks that are
    equal decide all their starts at once.
 4. *Edges.* Where blocks share ranks but differ, one block of each kind is split into steps
@@ -42,17 +42,25 @@ from themescope.llm.rolling import Prefix, grams, mix, window_min
 from themescope.session import cut_lineage
 
 MIN_BYTES = 400
+#: Longest window, shortest window and bytes of a hashed gram.
 WINDOW = 128
+LEAST_WINDOW = 32
 GRAM = 16
 #: Starts that are checked together at the edges of repeats.
 STEP = 16
 
 
+def _window(min_bytes: int) -> int:
+    """Places from which an anchor is chosen; a window and its grams fill at most a third of a repeat."""
+    window = min(WINDOW, (min_bytes - GRAM) // 3)
+    if window < LEAST_WINDOW:
+        raise ValueError(f"min_bytes must be {3 * LEAST_WINDOW + GRAM} or more")
+    return window
+
+
 def _reach(min_bytes: int) -> int:
-    """Bytes after an anchor that every repeat around it shares."""
-    if min_bytes < 2 * WINDOW + GRAM + WINDOW:
-        raise ValueError(f"min_bytes must be {3 * WINDOW + GRAM} or more")
-    return min_bytes - 2 * WINDOW - GRAM + 2
+    """Bytes after an anchor that a repeat shares: a start that the anchor owns is less than a window before it."""
+    return min_bytes - _window(min_bytes) + 1
 
 
 def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, min_bytes: int):
@@ -61,12 +69,13 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, min_bytes: i
     Returns the anchors' places, the text each is in, and the first and last start that
     each owns (last < first where it owns none).
     """
+    window = _window(min_bytes)
     gram = grams(data, GRAM)
     keys = (mix(gram) & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(gram), dtype=np.uint64)
-    least = (window_min(keys, WINDOW) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    least = (window_min(keys, window) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     text = np.repeat(np.arange(len(starts)), ends - starts)[: len(least)]
     place = np.arange(len(least))
-    good = place + WINDOW + GRAM - 1 <= ends[text]
+    good = place + window + GRAM - 1 <= ends[text]
     least, text, place = least[good], text[good], place[good]
     first = np.flatnonzero(np.diff(least, prepend=-1))
     last = np.append(first[1:], len(least)) - 1 if len(first) else first
@@ -123,10 +132,7 @@ def _places(docs: DataFrame, min_bytes: int) -> DataFrame:
                 own = hi >= lo
                 at, of = at[own], of[own]
                 names = _names(data, at, min_bytes)
-                key = of.astype(np.uint64)
-                for n in names:
-                    key = mix(key + n.view(np.uint64))
-                _, first, times = np.unique(key, return_index=True, return_counts=True)
+                _, first, times = np.unique(_keys(of, names), return_index=True, return_counts=True)
                 arrays = [pa.array(ids[np.array(part)[of[first]]]), *[pa.array(n[first]) for n in names]]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(times > 1)], names=["d1", *columns, "many"])
 
@@ -161,7 +167,15 @@ def candidates(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
         keys = ["r", after]
 
 
-def _digests(data: bytes, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+def _keys(of: np.ndarray, parts: list[np.ndarray]) -> np.ndarray:
+    """A hash for each (text, numbers)."""
+    key = of.astype(np.uint64)
+    for x in parts:
+        key = mix(key + np.ascontiguousarray(x).view(np.uint64))
+    return key
+
+
+def _digests(data: np.ndarray, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     """128-bit digests of the n bytes from each lo on, as rows of two longs."""
     import xxhash
 
@@ -189,32 +203,39 @@ def repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> Repeats:
 
     def blocks(batches):
         for batch in batches:
-            raw = raw_texts(batch.column(2))
-            for k, (x, found) in enumerate(zip(raw, batch.column(3).to_pylist(), strict=True)):
-                if len(x) < min_bytes:
-                    continue
-                data = np.frombuffer(x, np.uint8)
-                at, _, lo, hi = anchors(data, np.array([0]), np.array([len(x)]), min_bytes)
+            raw, lists = raw_texts(batch.column(2)), batch.column(3)
+            sizes = np.diff(lists.offsets.to_numpy())
+            listed = {c: v.to_numpy() for c, v in zip((*names, "core"), lists.flatten().flatten(), strict=True)}
+            holder = np.repeat(np.arange(len(raw)), sizes)
+            for part in _chunked(raw, min_bytes):
+                text = np.array(part)
+                data, starts, ends = _joined(raw, part)
+                at, of, lo, hi = anchors(data, starts, ends, min_bytes)
                 own = hi >= lo
-                at, lo, hi = at[own], lo[own], hi[own]
-                cores = {tuple(f[n] for n in names): f["core"] for f in found}
-                each = [cores.get(n) for n in zip(*[n.tolist() for n in _names(data, at, min_bytes)], strict=True)]
-                j = np.array([i for i, c in enumerate(each) if c is not None], np.int64)
+                at, of, lo, hi = at[own], of[own], lo[own], hi[own]
+                # the core of each anchor, found by its text and names
+                inside = np.flatnonzero(np.isin(holder, text))
+                known = _keys(holder[inside], [listed[n][inside] for n in names])
+                order = np.argsort(known)
+                known, cores = known[order], listed["core"][inside[order]]
+                key = _keys(text[of], _names(data, at, min_bytes))
+                near = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                j = np.flatnonzero(known[near] == key) if len(known) else near[:0]
                 if not len(j):
                     continue
-                at, lo, hi = at[j], lo[j], hi[j]
-                core = np.array([each[i] for i in j.tolist()], np.int64)
-                both = _digests(x, lo, hi - lo + min_bytes)
+                at, of, lo, hi, core = at[j], of[j], lo[j], hi[j], cores[near[j]]
+                both = _digests(data, lo, hi - lo + min_bytes)
                 _, first, kind, times = np.unique(
-                    mix(both[:, 0].view(np.uint64) + np.uint64(1) * (hi - lo).astype(np.uint64)),
-                    return_index=True, return_inverse=True, return_counts=True,
-                )
-                again = times[kind] > 1  # blocks that this text holds twice are decided here
-                runs = _merged(lo[again], hi[again])
+                    _keys(of, [both[:, 0], hi - lo]), return_index=True, return_inverse=True, return_counts=True
+                )
+                again = times[kind] > 1  # blocks that a text holds twice are decided here
+                runs = _merged(lo[again], hi[again])  # texts are further apart than a run's starts
                 n = len(first) + len(runs)
-                own = [pa.array([batch.column(c)[k].as_py()] * n, pa.int64()) for c in (0, 1)]
+                whose = np.concatenate([of[first], np.searchsorted(ends, runs[:, 0], side="right")])
+                base, whose = starts[whose], text[whose]
+                own = [batch.column(c).take(pa.array(whose)) for c in (0, 1)]
                 numbers = [
-                    np.concatenate([v[first], r]).astype(np.int32)
+                    (np.concatenate([v[first], r]) - base).astype(np.int32)
                     for v, r in ((at, runs[:, 0]), (lo, runs[:, 0]), (hi, runs[:, 1]))
                 ]
                 decided = pa.array(np.arange(n) >= len(first))
@@ -284,35 +305,47 @@ def _merged(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 _DIGESTED = "d1 long, d2 long, at int, lo int, hi int, twice boolean, h1 long, h2 long"
 
 
-def _steps(asked: list, min_bytes: int):
+def _steps(at, lo, hi, min_bytes: int):
     """Starts of a block by their distance to the anchor, in fixed steps; all strings of a step
-    share the bytes from its last start to the end of its first start's string."""
-    rows = []
-    for a in asked:
-        for b in range((a["at"] - a["hi"]) // STEP, (a["at"] - a["lo"]) // STEP + 1):
-            last, first = a["at"] - b * STEP, a["at"] - b * STEP - STEP + 1
-            # first: where the shared bytes begin; the starts themselves are kept in lo and hi
-            rows.append((a["at"], max(first, a["lo"]), min(last, a["hi"]), a["twice"], last, min_bytes - STEP + 1))
-    return rows
+    share the bytes from its last start to the end of its first start's string.
+
+    (block, first and last start, where the shared bytes begin, how many they are) of each step.
+    """
+    few = (at - hi) // STEP
+    many = (at - lo) // STEP + 1 - few
+    block = np.repeat(np.arange(len(at)), many)
+    b = np.repeat(few - np.cumsum(many) + many, many) + np.arange(len(block))
+    last = at[block] - b * STEP
+    return block, np.maximum(last - STEP + 1, lo[block]), np.minimum(last, hi[block]), last, min_bytes - STEP + 1
 
 
-def _singles(asked: list, min_bytes: int):
-    return [(a["at"], p, p, a["twice"], p, min_bytes) for a in asked for p in range(a["lo"], a["hi"] + 1)]
+def _singles(at, lo, hi, min_bytes: int):
+    many = hi - lo + 1
+    block = np.repeat(np.arange(len(at)), many)
+    start = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(len(block))
+    return block, start, start, start, min_bytes
 
 
 def _digester(split, min_bytes: int):
     def run(batches):
         for batch in batches:
-            raw = raw_texts(batch.column(2))
-            for k, (x, asked) in enumerate(zip(raw, batch.column(3).to_pylist(), strict=True)):
-                rows = split(asked, min_bytes)
-                at, lo, hi, twice, start, size = (np.array(c) for c in zip(*rows, strict=True))
-                both = _digests(x, start, size)
-                own = [pa.array([batch.column(c)[k].as_py()] * len(rows), pa.int64()) for c in (0, 1)]
-                numbers = [pa.array(v.astype(np.int32)) for v in (at, lo, hi)]
+            raw, lists = raw_texts(batch.column(2)), batch.column(3)
+            asked = [c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten()]
+            edges = np.cumsum(np.append(0, np.diff(lists.offsets.to_numpy())))
+            for part in _chunked(raw, min_bytes):
+                data, starts, _ = _joined(raw, part)
+                many = edges[np.array(part) + 1] - edges[part]
+                pick = np.repeat(edges[part] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                base = np.repeat(starts, many)
+                at, lo, hi = (asked[c][pick].astype(np.int64) + base for c in range(3))
+                text = np.repeat(np.array(part), many)
+                block, first, last, begin, size = split(at, lo, hi, min_bytes)
+                both = _digests(data, begin, np.full(len(begin), size))
+                own = [batch.column(c).take(pa.array(text[block])) for c in (0, 1)]
+                numbers = [pa.array((v - base[block]).astype(np.int32)) for v in (at[block], first, last)]
                 longs = [pa.array(np.ascontiguousarray(both[:, c])) for c in (0, 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [*own, *numbers, pa.array(twice.astype(bool)), *longs],
+                    [*own, *numbers, pa.array(asked[3][pick][block].astype(bool)), *longs],
                     names=["d1", "d2", "at", "lo", "hi", "twice", "h1", "h2"],
                 )
 
