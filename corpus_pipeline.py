@@ -25,9 +25,14 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return neardup.keep_first(docs)
 
 
+#: Bytes of a passage that is a repeat: fifty words are about 300 bytes in the languages of the
+#: corpus, with short words 240.
+REPEAT_BYTES = 240
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the long strings that stand at several places."""
-    return suffix.remove_repeats(docs)
+    """Texts without the strings of REPEAT_BYTES and more that stand at several places."""
+    return suffix.remove_repeats(docs, REPEAT_BYTES)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
