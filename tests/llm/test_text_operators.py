@@ -192,15 +192,31 @@ def test_language_is_learned_from_whole_texts(spark, monkeypatch):
     known = {t.lower() for _, t, _ in data}
     assert all(t in known for texts in langid.samples(docs).values() for t in texts)
     # beyond the bound, windows from all over the texts
-    monkeypatch.setattr(langid, "SAMPLE_SYMBOLS", 12_000)
     monkeypatch.setattr(langid, "WINDOW", 40)
-    some = langid.samples(docs)
+    some = langid.samples(docs, sample_symbols=12_000)
     assert all(8_000 < sum(map(len, texts)) < 16_000 for texts in some.values())
     text = "".join(chr(0x4E00 + k) for k in range(8000))
     places = [ord(c) - 0x4E00 for c in langid.spread(text, 5, 0.3) if c != " "]
     assert places == sorted(set(places)) and all(sum(p // 1000 == k for p in places) > 100 for k in range(8))
 
 
+def test_every_script_has_symbols_of_its_own(spark):
+    """Thousands of letters a language, evenly used, beside a language of Latin letters."""
+    draw = random.Random(12)
+    letters = {"zh": [chr(0x4E00 + k) for k in range(3000)], "ko": [chr(0xAC00 + k) for k in range(3000)]}
+
+    def text(lang):
+        if lang == "en":
+            return prose(draw.randint(0, 10**6), 120)
+        return " ".join("".join(draw.choices(letters[lang], k=draw.randint(1, 6))) for _ in range(120))
+
+    data = [(k, text(lang), lang) for k, lang in enumerate(["en", "zh", "ko"] * 40)]
+    asked = [(1000 + k, text(lang), None) for k, lang in enumerate(["en", "zh", "ko"] * 10)]
+    docs = spark.createDataFrame(data + asked, "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs).collect()}
+    assert [got[1000 + k] for k in range(30)] == ["en", "zh", "ko"] * 10
+
+
 # --- rules --------------------------------------------------------------
 
 

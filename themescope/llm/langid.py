@@ -6,12 +6,12 @@ takes, the better the language explains it. Phrases are normalised by the logari
 automaton's text length (the cost of pointing at a match) and the number of symbols. The
 language with the least cost wins; on equal costs the first in alphabetical order.
 
-Symbols are lower-cased letters; everything else is one blank. Texts are parsed whole, in
-blocks of ``BLOCK`` symbols, many blocks in step: one table look-up moves all blocks of all
+Symbols are the UTF-8 bytes of lower-cased letters, so that every script has symbols of its own
+in a table of bounded width; everything else is one blank. Texts are parsed whole, in blocks of ``BLOCK`` symbols, many blocks in step: one table look-up moves all blocks of all
 languages by one symbol.
 
 Labelled text is a bounded sample of rows: for each language about ``SAMPLE_DOCS`` documents of
-least id hash, each taken whole. Only where these hold more than ``SAMPLE_SYMBOLS`` characters
+least id hash, each taken whole. Only where these hold more than ``SAMPLE_SYMBOLS`` bytes
 together, windows of ``WINDOW`` characters are drawn by hash, evenly from all over the whole
 texts, so that the automata stay bounded. The sample (not the automata) is broadcast; each
 worker builds the automata once. Everything else sees all rows, with no shuffle.
@@ -37,8 +37,6 @@ from themescope.session import cut_lineage
 SAMPLE_DOCS = 48
 SAMPLE_SYMBOLS = 400_000
 WINDOW = 500
-#: Letters with symbols of their own, by frequency in the sample; rarer ones share one.
-LETTERS = 120
 BLOCK = 512
 
 
@@ -84,26 +82,22 @@ class Models:
 
     def __init__(self, samples: dict[str, list[str]]):
         self.names = sorted(samples)
-        lowered = {name: " ".join(texts) for name, texts in samples.items()}
-        counts: dict[str, int] = {}
-        for text in lowered.values():
-            for c in text:
-                counts[c] = counts.get(c, 0) + 1
-        letters = sorted((c for c in counts if c.isalpha()), key=lambda c: (-counts[c], c))[:LETTERS]
-        # 0 blank, 1 a letter that has no symbol, 2 and on letters, then padding
-        self.symbol = np.zeros(0x110000, np.int16)
-        self.symbol[[i for i in range(0x110000) if chr(i).isalpha()]] = 1
-        for i, c in enumerate(letters):
-            self.symbol[ord(c)] = 2 + i
-        self.pad = 2 + len(letters)
+        self.letter = np.zeros(0x110000, bool)
+        self.letter[[i for i in range(0x110000) if chr(i).isalpha()]] = True
+        raw = {name: self._bytes(" ".join(texts)) for name, texts in samples.items()}
+        known = np.unique(np.concatenate([np.zeros(0, np.uint8), *raw.values()]))
+        known = known[known != 32]
+        # 0 blank, 1 a byte that the sample lacks, 2 and on the others, then padding
+        self.symbol = np.ones(256, np.int16)
+        self.symbol[known] = 2 + np.arange(len(known))
+        self.symbol[32] = 0
+        self.pad = 2 + len(known)
         width = self.pad + 1
         tables, only, after, rows = [], [], [], []
         self.roots, self.bits, base, n_rows = [], [], 0, 0
         for name in self.names:
-            symbols = self.symbols(lowered[name])
+            symbols = self.symbol[raw[name]]
             ways = Automaton(symbols.tolist()).next
-            for edges in ways:
-                edges.pop(1, None)  # unknown letters match nothing
             fresh = np.full(width, 4 * base + 2, np.int32)
             start = np.full(width, 4 * base + 1, np.int32)  # nothing ends yet, but a symbol without a match is a phrase
             for c, t in ways[0].items():
@@ -134,11 +128,16 @@ class Models:
         self.only, self.after, self.row = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (only, after, rows))
         self.width = width
 
+    def _bytes(self, text: str) -> np.ndarray:
+        """UTF-8 bytes of the letters of a lower-cased text, and one blank for anything between them."""
+        code = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+        letter = self.letter[code]
+        code = np.where(letter, code, 32)[letter | np.append(False, letter[:-1])]
+        return np.frombuffer(code.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)
+
     def symbols(self, text: str) -> np.ndarray:
-        """Symbols of a lower-cased text; runs of blanks count once."""
-        out = self.symbol[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        blank = out == 0
-        return out[~(blank & np.append(True, blank[:-1]))] if len(out) else out
+        """Symbols of a lower-cased text."""
+        return self.symbol[self._bytes(text)]
 
     def costs(self, texts: list[np.ndarray]) -> np.ndarray:
         """Bits a symbol for each text (row) and language (column)."""
@@ -176,28 +175,27 @@ def spread(text: str, seed: int, share: float) -> str:
     return "".join(out)
 
 
-def samples(docs: DataFrame) -> dict[str, list[str]]:
+def samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_symbols: int = SAMPLE_SYMBOLS) -> dict[str, list[str]]:
     """Labelled text of each language outside the held-out fold, lower-cased."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", 5) != 0))
     rows = rows.select("lang", "text", F.xxhash64("doc_id").alias("__h"))
-    limits = lowest(rows, "lang", SAMPLE_DOCS)
+    limits = lowest(rows, "lang", sample_docs)
     if not limits:
         return {}
     bound = docs.sparkSession.createDataFrame(list(limits.items()), "lang string, __limit long")
-    chosen = cut_lineage(  # about SAMPLE_DOCS rows a language
+    chosen = cut_lineage(  # about sample_docs rows a language
         rows.join(F.broadcast(bound), "lang")  # one row a language
         .where(F.col("__h") <= F.col("__limit"))
         .select("lang", "__h", F.lower("text").alias("part"))
         .groupBy("lang", "__h")
         .agg(F.min("part").alias("part"))
     )
-    sizes = {r["lang"]: r["n"] for r in chosen.groupBy("lang").agg(F.sum(F.length("part")).alias("n")).collect()}
-    most = SAMPLE_SYMBOLS
+    sizes = {r["lang"]: r["n"] for r in chosen.groupBy("lang").agg(F.sum(F.octet_length("part")).alias("n")).collect()}
 
     def pick(batches):
         for batch in batches:
             langs, seeds, texts = (batch.column(k).to_pylist() for k in range(3))
-            parts = [spread(t, h, most / max(sizes[n], 1)) for n, h, t in zip(langs, seeds, texts, strict=True)]
+            parts = [spread(t, h, sample_symbols / max(sizes[n], 1)) for n, h, t in zip(langs, seeds, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.string())], names=["lang", "__h", "part"])
 
     out: dict[str, list[str]] = {}
@@ -217,9 +215,9 @@ def _models(kept) -> Models:
     return _HERE[key]
 
 
-def predict(docs: DataFrame) -> DataFrame:
+def predict(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_symbols: int = SAMPLE_SYMBOLS) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score)``; score: how far the second-best language lies behind."""
-    kept = docs.sparkSession.sparkContext.broadcast(samples(docs))
+    kept = docs.sparkSession.sparkContext.broadcast(samples(docs, sample_docs, sample_symbols))
 
     def start():
         models = _models(kept.value)
