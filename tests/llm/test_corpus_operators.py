@@ -259,5 +259,5 @@ def test_pipeline_equals_plain_stages(spark):
 
 def test_every_operator_is_registered():
     names = [n for n in entry.queries() if n.startswith("op") and n[2:].split("_")[0].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert entry.queries()["pipeline"] is corpus_pipeline.run

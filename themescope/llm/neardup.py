@@ -2,7 +2,9 @@
 
 A shingle is five words (letters and digits, lower case); a text of fewer words is one
 shingle. Its weight is ``tf * sqrt(idf)``, with document frequencies counted over the whole
-corpus in ``2**BITS`` hashed buckets, rounded to steps of ``GRAIN`` in the logarithm.
+corpus in ``2**BITS`` hashed buckets, rounded to steps of ``GRAIN`` in the logarithm. A bucket
+counts all its shingles, so a rare shingle's frequency is never taken below the bucket's average load:
+with s different shingles a text, s / 2**BITS of all texts (0.2 % at 500).
 
 1. *Counts.* Each task adds up its own bucket counts; the sums make a table of fixed size
    (``2**BITS`` small numbers), the only thing that is broadcast.
@@ -14,9 +16,10 @@ corpus in ``2**BITS`` hashed buckets, rounded to steps of ``GRAIN`` in the logar
    As many samples again are drawn with all weights equal, which agree with the probability of
    the plain Jaccard similarity. Both halves of the link test thus have ``BANDS`` bands of
    their own: a pair at 0.8 of either shares none of that half's 16 in 1 of 97,000 cases.
-3. *Stars.* Texts with the same shingles are one node from here on. In each bucket the node
-   that meets most others in all its buckets is compared with those that are not yet in its
-   class, a few rounds long; linked groups, however large, take few comparisons a node.
+3. *Stars.* Texts with the same shingles are one node from here on. A bucket's centre is the node
+   that meets most others in all its buckets. In a round each node is compared with one centre, the
+   best-connected of those of its buckets, unless they share a class; the next round takes other
+   centres. Linked groups, however large, take one comparison a node and round.
 4. *Rest.* Where a bucket still holds several classes, the nodes outside its largest class
    are compared with the others, block against block, so a task holds two blocks of
    ``BLOCK`` nodes and no pair is written that is no link.
@@ -40,7 +43,7 @@ from pyspark.sql import functions as F
 from themescope.llm.common import raw_texts, slices, text_key
 from themescope.llm.license import _WORDS
 from themescope.llm.rolling import BASE, Prefix, mix
-from themescope.session import cut_lineage
+from themescope.session import cut_lineage, release
 
 SHINGLE = 5
 LEAST = 0.8
@@ -211,7 +214,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, idf) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0).take(pa.array(of[first])),
-                        pa.array([h[a:b].tobytes() for a, b in cut], pa.binary()),
+                        pa.array([_short(h[a:b]) for a, b in cut], pa.binary()),
                         pa.array([level[a:b].astype(np.int8).tobytes() for a, b in cut], pa.binary()),
                     ],
                     names=["node", "ids", "levels"],
@@ -231,8 +234,15 @@ def similar(a: tuple, b: tuple) -> float:
     return max(shared / (x.sum() + y.sum() - shared), len(i) / (len(a[0]) + len(b[0]) - len(i)))
 
 
+def _short(h: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash, which keep their order."""
+    return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
 def _set(ids: bytes, levels: bytes) -> tuple:
-    return np.frombuffer(ids, np.uint64), np.frombuffer(levels, np.int8)
+    long = np.zeros((len(ids) // 6, 8), np.uint8)
+    long[:, 2:] = np.frombuffer(ids, np.uint8).reshape(-1, 6)
+    return long.view(np.uint64).ravel(), np.frombuffer(levels, np.int8)
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -295,21 +305,24 @@ def components(links: DataFrame) -> DataFrame:
     both = cut_lineage(links.union(links.select("b", "a")).toDF("a", "b").distinct())
     label = cut_lineage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).toDF("node", "comp"))
     while True:
-        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("comp").alias("near"))
+        near = both.join(label.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
         step = label.join(near.withColumnRenamed("a", "node"), "node").select("node", "comp", F.least("comp", "near").alias("new"))
         jump = label.select(F.col("node").alias("new"), F.col("comp").alias("far"))
         after = cut_lineage(
             step.join(jump, "new", "left").select("node", F.least("new", F.coalesce("far", "new")).alias("comp"), F.col("comp").alias("old"))
         )
-        label = after.select("node", "comp")
-        if after.where("comp <> old").isEmpty():
+        settled = after.where("comp <> old").isEmpty()
+        release(label)
+        label = after
+        if settled:
+            release(both)
             return label
 
 
 def _classed(members: DataFrame, label: DataFrame | None) -> DataFrame:
     if label is None:
         return members.withColumn("comp", F.col("node"))
-    return members.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    return members.join(label.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
 def _open(members: DataFrame) -> DataFrame:
@@ -324,19 +337,23 @@ def find_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     near: how many nodes a node meets in all its buckets. The best-connected node of a bucket
     is its centre, so that buckets of one family tend to have the same.
     """
-    found, label = None, None
+    found, label, centres = None, None, None
     for _ in range(STARS):
         rows = cut_lineage(_open(_classed(members, label)))
+        free = rows if centres is None else rows.join(centres.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti")
         centre = cut_lineage(
-            rows.groupBy("bucket").agg(F.max_by(F.struct("node", "comp"), F.struct("near", "node")).alias("c"))
-            .select("bucket", F.col("c.node").alias("a"), F.col("c.comp").alias("ac"))
+            free.groupBy("bucket").agg(F.max_by(F.struct("node", "comp", "near"), F.struct("near", "node")).alias("c"))
+            .select("bucket", F.col("c.node").alias("a"), F.col("c.comp").alias("ac"), F.col("c.near").alias("reach"))
         )
-        pairs = rows.join(centre, "bucket").where("comp <> ac").select("a", F.col("node").alias("b")).distinct()
+        best = F.max_by("a", F.struct("reach", "a")).alias("a")
+        pairs = cut_lineage(
+            rows.join(centre, "bucket").where("comp <> ac").groupBy(F.col("node").alias("b")).agg(best).select("a", "b")
+        )
         links = cut_lineage(linked(pairs, sets))
-        found = links if found is None else cut_lineage(found.union(links))
-        label = components(found)
-        # a centre has met everybody in its bucket
-        members = rows.join(centre.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "near")
+        both = links if found is None else cut_lineage(found.union(links))
+        after = components(both)
+        release(rows, pairs, *(t for t in (found, label, centres) if t is not None), *([links] if both is not links else []))
+        found, label, centres = both, after, centre
     rows = cut_lineage(_open(_classed(members, label)))
     sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     most = cut_lineage(
@@ -369,7 +386,9 @@ def find_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     columns = [*keys, "node", "comp", "ids", "levels"]
     left, right = (side.join(sets, "node").select(*[F.col(c).alias(c) for c in columns]) for side in (outer, inner))
     rest = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "a long, b long")
-    return cut_lineage(found.union(rest).distinct())
+    every = cut_lineage(found.union(rest).distinct())
+    release(rows, most, found, label, centres)
+    return every
 
 
 def _key():
@@ -378,35 +397,38 @@ def _key():
 
 
 def _classed_rows(docs: DataFrame) -> DataFrame:
-    """``(doc_id, d1, d2, comp, n_links)`` of each row; comp is null without words."""
+    """``(doc_id, d1, d2, comp)`` of each row; comp is null without words."""
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(idf_levels(docs))
-    rows = cut_lineage(signatures(docs, idf))
-    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"))
+    signed = cut_lineage(signatures(docs, idf))
+    rows = cut_lineage(signed.drop("bands"))
+    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"))
     banded = nodes.select("node", F.posexplode("bands")).select("node", F.xxhash64("pos", "col").alias("bucket"))
     several = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut_lineage(banded.join(several, "bucket").select("bucket", "node", "n"))
-    near = members.groupBy("node").agg(F.sum("n").alias("near"))
-    members = cut_lineage(members.join(near, "node").select("bucket", "node", "near"))
+    shared = cut_lineage(banded.join(several, "bucket").select("bucket", "node", "n"))
+    release(signed)
+    near = shared.groupBy("node").agg(F.sum("n").alias("near"))
+    members = cut_lineage(shared.join(near, "node").select("bucket", "node", "near"))
+    release(shared)
     one = rows.select("node", F.struct(_key(), "d1", "d2").alias("t")).groupBy("node").agg(F.min("t").alias("t"))
     wanted = cut_lineage(one.join(members.select("node").distinct(), "node").select("t.*", "node"))
     sets = cut_lineage(_shingle_sets(docs, wanted, idf))
     links = find_links(members, sets)
+    release(wanted, sets, members)
     label = components(links)
-    degree = links.union(links.select("b", "a")).toDF("node", "b").distinct().groupBy("node").agg(F.count("*").alias("n_links"))
-    return cut_lineage(
-        rows.join(label, "node", "left").join(degree, "node", "left").select(
-            "doc_id", "d1", "d2", F.coalesce("comp", "node").alias("comp"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-        )
-    )
+    named = cut_lineage(
+        rows.join(label.select("node", "comp"), "node", "left").select("doc_id", "d1", "d2", F.coalesce("comp", "node").alias("comp"))
+    )
+    release(rows, links, label)
+    return named
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """``(doc_id, class_id, n_links)`` of each row; n_links: links found for its shingles."""
+    """``(doc_id, class_id)`` of each row."""
     named = _classed_rows(docs)
     least = named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("class_id"))
     return named.join(least, "comp", "left").select(
-        "doc_id", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "n_links"
+        "doc_id", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
     )
 
 
