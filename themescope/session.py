@@ -59,4 +59,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._cut_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by ``cut_lineage`` that no later step reads.
+
+    Only once everything made from them is written: a lost executor re-reads its inputs.
+    """
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._cut_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
