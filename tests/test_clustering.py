@@ -73,12 +73,11 @@ def test_density_matches_sequential(spark):
         assert len(set(got)) > 2
 
 
-def test_density_in_many_blocks_and_packs(spark, monkeypatch):
-    """The distributed path: several blocks, split tree, level-by-level choice."""
-    monkeypatch.setattr(density, "SMALL_TREE", 0)
+def test_density_in_many_blocks_and_packs(spark):
+    """Several blocks and a split tree."""
     x = stacked(2)
     got = labels(
-        density_cluster(vectors(spark, x), 8, pivots=4, block_rows=30, pack_edges=40, small_tree=0)
+        density_cluster(vectors(spark, x), 8, pivots=4, block_rows=30, pack_edges=40)
     )
     assert brute.same_partition(got, brute.density(x, 8, 4))
 
@@ -103,24 +102,70 @@ def test_dendrogram_does_not_depend_on_packs(spark):
     assert sizes(1000) == sizes(7)
 
 
-def test_choice_of_clusters_by_level_equals_walk(spark):
-    rows = [(0, None, 1.0), (1, 0, 5.0), (2, 0, 1.0), (3, 2, 2.0), (4, 2, 0.5), (5, 1, 2.0), (6, 1, 2.0)]
+def walked(rows):
+    """Excess of mass from the leaves up, then the topmost kept cluster from the root down."""
+    stability, parent = {c: s for c, _, s in rows}, {c: p for c, p, _ in rows}
+    children = {}
+    for c, p, _ in rows:
+        children.setdefault(p, []).append(c)
+    order = list(children.get(None, []))
+    for c in order:
+        order.extend(children.get(c, []))
+    value, keep, chosen = {}, {}, {}
+    for c in reversed(order):
+        below = sum(value[x] for x in children.get(c, []))
+        keep[c] = parent[c] is not None and not below > stability[c]
+        value[c] = max(below, stability[c])
+    for c in order:
+        above = chosen.get(parent[c])
+        chosen[c] = above if above is not None else c if keep[c] else None
+    return chosen
+
+
+def chosen(spark, rows):
     tree = spark.createDataFrame(rows, "cid bigint, parent bigint, stability double")
-    walk = {r["cid"]: r["chosen"] for r in select_clusters(tree).collect()}
-    level = {r["cid"]: r["chosen"] for r in select_clusters(tree, 0).collect()}
-    assert walk == level == {0: None, 1: 1, 5: 1, 6: 1, 2: None, 3: 3, 4: 4}
+    return {r["cid"]: r["chosen"] for r in select_clusters(tree).collect()}
+
+
+def test_choice_of_clusters_equals_walk(spark):
+    rows = [(0, None, 1.0), (1, 0, 5.0), (2, 0, 1.0), (3, 2, 2.0), (4, 2, 0.5), (5, 1, 2.0), (6, 1, 2.0)]
+    assert chosen(spark, rows) == walked(rows) == {0: None, 1: 1, 5: 1, 6: 1, 2: None, 3: 3, 4: 4}
+    rng = np.random.default_rng(5)
+    for shape in range(3):  # any tree, bushy and deep; whole numbers, so sums are exact
+        rows = [(0, None, 3.0), (-7, None, float("inf"))]
+        for c in range(1, 80):
+            low = 0 if shape == 0 else max(0, c - 3) if shape == 1 else c - 1 - (c % 2)
+            rows.append((c, int(rng.integers(low, c)), float(rng.integers(0, 12))))
+        assert chosen(spark, rows) == walked(rows)
+
+
+def test_choice_in_a_deep_chain_takes_few_rounds(spark, monkeypatch):
+    """50,000 splits one below the other: each leaves a leaf and the rest of the chain."""
+    n = 50_000
+    rng = np.random.default_rng(6)
+    own, leaf = rng.integers(0, 40, n), rng.integers(0, 3, n)
+    rows = [(0, None, 0.0)]
+    for i in range(n):
+        rows += [(2 * i + 1, max(0, 2 * i - 1), float(own[i])), (2 * i + 2, max(0, 2 * i - 1), float(leaf[i]))]
+    written = []
+
+    def counted(df, cut=density.cut_lineage):
+        written.append(1)
+        return cut(df)
+
+    monkeypatch.setattr(density, "cut_lineage", counted)
+    assert chosen(spark, rows) == walked(rows)
+    assert len(written) < 2 * 40
 
 
 def test_pointers_and_components_in_rounds(spark):
     chain = spark.createDataFrame([(i, max(0, i - 1)) for i in range(20)] + [(30, 30), (31, 30)], "node bigint, ptr bigint")
-    for small in (0, 100):
-        got = {r["node"]: r["root"] for r in components.follow(chain, small).collect()}
-        assert got == {**{i: 0 for i in range(20)}, 30: 30, 31: 30}
+    got = {r["node"]: r["root"] for r in components.follow(chain).collect()}
+    assert got == {**{i: 0 for i in range(20)}, 30: 30, 31: 30}
     pairs = [(i, i + 2) for i in range(10)] + [(40, 41), (41, 42), (9, 50)]
     edges = spark.createDataFrame(pairs, "u bigint, v bigint")
     expect = {**{i: i % 2 for i in range(12)}, 50: 1, 40: 40, 41: 40, 42: 40}
-    for small in (0, 100):
-        assert {r["node"]: r["comp"] for r in components.connected(edges, small).collect()} == expect
+    assert {r["node"]: r["comp"] for r in components.connected(edges).collect()} == expect
 
 
 @pytest.mark.parametrize("options", [{}, {"finish": 30, "pivots": 2}])

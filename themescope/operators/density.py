@@ -19,8 +19,6 @@ from themescope.session import cut_lineage
 
 # Edges of the spanning tree put in order by one task at a time.
 PACK_EDGES = 200_000
-# Condensed clusters walked by one task; a taller table goes level by level.
-SMALL_TREE = 100_000
 
 
 def default_min_cluster_size(n_rows: int) -> int:
@@ -408,84 +406,94 @@ def condense(merges: DataFrame, points: DataFrame, min_cluster_size: int) -> tup
     return cut_lineage(tree), placed.select(F.col("node").alias("id"), F.col("root").alias("cid"))
 
 
-def select_clusters(tree: DataFrame, small: int = SMALL_TREE) -> DataFrame:
+def select_clusters(tree: DataFrame) -> DataFrame:
     """``(cid, chosen)``: the chosen cluster a condensed cluster belongs to, or null.
 
     Excess of mass: a cluster is kept when it is at least as stable as its
     sub-clusters together; the whole data set never is.
     """
-    if tree.count() > small:
-        return _select_by_level(tree)
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        stability = dict(zip(rows["cid"].tolist(), rows["stability"].tolist()))
-        parent = {
-            c: None if pd.isna(p) else int(p) for c, p in zip(rows["cid"].tolist(), rows["parent"].tolist())
-        }
-        children: dict[int, list[int]] = {}
-        for c, p in parent.items():
-            if p is not None:
-                children.setdefault(p, []).append(c)
-        order = [c for c, p in parent.items() if p is None]
-        for c in order:
-            order.extend(children.get(c, []))
-        value, keep = {}, {}
-        for c in reversed(order):
-            below = sum(value[x] for x in children.get(c, []))
-            keep[c] = parent[c] is not None and not below > stability[c]
-            value[c] = stability[c] if keep[c] else max(below, stability[c])
-        chosen: dict[int, int | None] = {}
-        for c in order:
-            above = chosen.get(parent[c]) if parent[c] is not None else None
-            chosen[c] = above if above is not None else (c if keep[c] else None)
-        return pd.DataFrame(
-            {"cid": order, "chosen": pd.array([chosen[c] for c in order], dtype="Int64")}
-        )
-
-    return tree.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(
-        walk, "cid bigint, chosen bigint"
+    values = cut_lineage(_values(tree))
+    below = values.groupBy(F.col("parent").alias("cid")).agg(F.sum("value").alias("_below"))
+    kept = values.join(below, "cid", "left").select(
+        "cid", "parent",
+        (F.col("parent").isNotNull() & ~(F.coalesce("_below", F.lit(0.0)) > F.col("stability"))).alias("keep"),
+    )
+    return _topmost(kept)
+
+
+def _values(tree: DataFrame) -> DataFrame:
+    """``(cid, parent, stability, value)``: the greater of a cluster's stability and its children's values.
+
+    Tree contraction: a round adds the values that are known to the parents (rake), and where
+    one child is missing, the value is ``max(a, x + b)`` of the value x of a cluster further
+    down; such functions of functions have the same form, so a chain's steps double each
+    round (compress). Rounds grow with the logarithm of the number of clusters.
+    """
+    kids = tree.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("cid")).agg(
+        F.count(F.lit(1)).alias("open"), F.bit_xor("cid").alias("which")
     )
-
-
-def _select_by_level(tree: DataFrame) -> DataFrame:
-    """The same choice for condensed trees of any size, one level per round."""
-    waiting = tree.groupBy(F.col("parent").alias("cid")).agg(F.count(F.lit(1)).alias("_kids"))
-    todo = cut_lineage(tree.join(waiting, "cid", "left").fillna(0, ["_kids"]).withColumn("_below", F.lit(0.0)))
-    settled: list[DataFrame] = []
-    while todo.limit(1).count():
-        ready = todo.where(F.col("_kids") == 0).withColumn(
-            "keep", F.col("parent").isNotNull() & ~(F.col("_below") > F.col("stability"))
-        )
-        ready = cut_lineage(ready.withColumn("value", F.greatest("stability", "_below")))
-        settled.append(ready.select("cid", "parent", "keep"))
-        passed = ready.groupBy(F.col("parent").alias("cid")).agg(
-            F.sum("value").alias("_v"), F.count(F.lit(1)).alias("_c")
-        )
-        todo = cut_lineage(
-            todo.where(F.col("_kids") > 0)
-            .join(passed, "cid", "left")
-            .select(
-                "cid", "parent", "stability",
-                (F.col("_kids") - F.coalesce("_c", F.lit(0))).alias("_kids"),
-                (F.col("_below") + F.coalesce("_v", F.lit(0.0))).alias("_below"),
-            )
+    unknown = F.lit(None).cast("double")
+    state = cut_lineage(
+        tree.join(kids, "cid", "left").select(
+            "cid", "parent", "stability", F.coalesce("open", F.lit(0)).alias("open"), F.coalesce("which", F.lit(0)).alias("which"),
+            F.lit(0.0).alias("known"), F.lit(None).cast("bigint").alias("via"), unknown.alias("a"), unknown.alias("b"),
+            unknown.alias("value"), F.lit(False).alias("told"),
+        )
+    )
+    while True:
+        # settle what depends on nothing or on something settled
+        ahead = state.select(
+            F.col("cid").alias("via"), F.col("value").alias("_x"), F.col("via").alias("_via"),
+            F.col("a").alias("_a"), F.col("b").alias("_b"),
+        )
+        done = F.col("value").isNotNull()
+        reached = F.when(F.col("_x").isNotNull(), F.greatest("a", F.col("_x") + F.col("b")))
+        further = F.col("_x").isNull() & F.col("_via").isNotNull()
+        moving = state.where(F.col("via").isNotNull() & ~done).join(ahead, "via", "left").select(
+            "cid", "parent", "stability", "open", "which", "known",
+            F.when(further, F.col("_via")).otherwise(F.col("via")).alias("via"),
+            # one after the other: max(a, max(a', x + b') + b) = max(max(a, a' + b), x + (b' + b))
+            F.when(further, F.greatest("a", F.col("_a") + F.col("b"))).otherwise(F.col("a")).alias("a"),
+            F.when(further, F.col("_b") + F.col("b")).otherwise(F.col("b")).alias("b"),
+            reached.alias("value"), "told",
+        )
+        resting = state.where(F.col("via").isNull() | done)
+        ready = resting.withColumn("value", F.when(~done & (F.col("open") == 0), F.greatest("stability", "known")).otherwise(F.col("value")))
+        state = cut_lineage(ready.unionByName(moving))
+        # tell parents, and find those that wait for one child only
+        news = state.where(F.col("value").isNotNull() & ~F.col("told") & F.col("parent").isNotNull()).groupBy(
+            F.col("parent").alias("cid")
+        ).agg(F.sum("value").alias("_sum"), F.count(F.lit(1)).alias("_n"), F.bit_xor("cid").alias("_xor"))
+        left = F.col("open") - F.coalesce("_n", F.lit(0))
+        known = F.col("known") + F.coalesce("_sum", F.lit(0.0))
+        which = F.col("which").bitwiseXOR(F.coalesce("_xor", F.lit(0)))
+        waits = F.col("value").isNull() & F.col("via").isNull() & (left == 1)
+        after = state.join(news, "cid", "left").select(
+            "cid", "parent", "stability", left.alias("open"), which.alias("which"), known.alias("known"),
+            F.when(waits, which).otherwise(F.col("via")).alias("via"),
+            F.when(waits, F.col("stability")).otherwise(F.col("a")).alias("a"),
+            F.when(waits, known).otherwise(F.col("b")).alias("b"),
+            "value", F.col("value").isNotNull().alias("told"),
+        )
+        state = cut_lineage(after)
+        if state.where("value IS NULL").isEmpty():
+            return state.select("cid", "parent", "stability", "value")
+
+
+def _topmost(kept: DataFrame) -> DataFrame:
+    """``(cid, chosen)``: the topmost kept cluster among a cluster and those above it, by pointer doubling."""
+    roots = kept.where(F.col("parent").isNull()).select(F.col("cid").alias("parent"), F.lit(True).alias("_top"))
+    state = cut_lineage(
+        kept.join(roots, "parent", "left").select(
+            "cid", F.when(F.col("_top").isNull(), F.col("parent")).alias("up"), F.when(F.col("keep"), F.col("cid")).alias("chosen")
         )
-    marked = settled[0]
-    for part in settled[1:]:
-        marked = marked.unionByName(part)
-    level = marked.where(F.col("parent").isNull()).select(
-        "cid", F.when(F.col("keep"), F.col("cid")).alias("chosen")
     )
-    out = level = cut_lineage(level)
-    while level.limit(1).count():
-        above = level.select(F.col("cid").alias("parent"), F.col("chosen").alias("_above"))
-        level = cut_lineage(
-            marked.join(above, "parent").select(
-                "cid", F.coalesce("_above", F.when(F.col("keep"), F.col("cid"))).alias("chosen")
-            )
+    while not state.where("up IS NOT NULL").isEmpty():
+        above = state.select(F.col("cid").alias("up"), F.col("up").alias("_up"), F.col("chosen").alias("_chosen"))
+        state = cut_lineage(
+            state.join(above, "up", "left").select("cid", F.col("_up").alias("up"), F.coalesce("_chosen", "chosen").alias("chosen"))
         )
-        out = out.unionByName(level)
-    return out
+    return state.select("cid", "chosen")
 
 
 def number_labels(found: DataFrame) -> DataFrame:
@@ -505,7 +513,6 @@ def density_cluster(
     pivots: int | None = None,
     block_rows: int | None = None,
     pack_edges: int = PACK_EDGES,
-    small_tree: int = SMALL_TREE,
 ) -> DataFrame:
     """``(row_id, cluster)`` from ``(row_id, vec)``; -1 is noise."""
     rows = cut_lineage(rows.select("row_id", F.col("vec").cast("array<double>").alias("vec")))
@@ -522,7 +529,7 @@ def density_cluster(
     tree = spanning_tree(index, neighbours, cores)
     merges = dendrogram(tree, points, pack_edges)
     clusters, placed = condense(merges, points, mcs)
-    chosen = placed.join(select_clusters(clusters, small_tree), "cid", "left").select("id", "chosen")
+    chosen = placed.join(select_clusters(clusters), "cid", "left").select("id", "chosen")
     named = points.join(chosen, "id").select("vec", "chosen")
     copies = points.select("vec", F.col("copies").alias("n_rows"))
     return number_labels(join_repeated(rows, named, "vec", copies).select("row_id", "chosen"))

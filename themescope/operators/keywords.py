@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -11,28 +14,132 @@ from themescope.functions.words import STOPWORDS
 from themescope.operators.rows import first_in_group
 from themescope.session import cut_lineage
 
+#: Words that a task counts for each cluster or group, and in all.
+COUNTERS = 20_000
+_HELD = 1_000_000
+
 
 def word_rows(rows: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """One row per word; the text itself is not carried along."""
     return rows.select(*keep, F.explode(words(F.col(text_col))).alias("word"))
 
 
+def _pruned(held: dict, counters: int) -> int:
+    """Misra-Gries step on {word: [count, first row]}: what all counts lose so that ``counters`` words are left."""
+    if len(held) <= counters:
+        return 0
+    loss = sorted((c[0] for c in held.values()), reverse=True)[counters]
+    for word in [w for w, c in held.items() if c[0] <= loss]:
+        del held[word]
+    for count in held.values():
+        count[0] -= loss
+    return loss
+
+
+def _summaries(listed: DataFrame, kind: str, counters: int) -> DataFrame:
+    """``(by, word, n, row_id, lost)`` of each task: at most ``counters`` words for each ``by``.
+
+    ``listed``: (by, row_id, words). A line without a word tells how much any count of the task may lack.
+    """
+
+    def summarise(batches):
+        held: dict = {}
+        lost: dict = {}
+
+        def lines():
+            for by, found in held.items():
+                lost[by] = lost.get(by, 0) + _pruned(found, counters)
+            every = [(by, w, c[0], c[1], 0) for by, found in held.items() for w, c in found.items()]
+            every += [(by, None, 0, None, n) for by, n in lost.items() if n]
+            held.clear()
+            lost.clear()
+            for at in range(0, len(every), 65536):
+                part = every[at : at + 65536]
+                types = [kinds, pa.string(), pa.int64(), pa.int64(), pa.int64()]
+                arrays = [pa.array([r[i] for r in part], t) for i, t in enumerate(types)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["by", "word", "n", "row_id", "lost"])
+
+        kinds = None
+        for batch in batches:
+            kinds = batch.schema.field(0).type
+            lists = batch.column(2)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0)
+            at = np.repeat(np.arange(batch.num_rows), sizes.to_numpy())
+            table = pa.table(
+                {"by": batch.column(0).take(pa.array(at)), "row_id": batch.column(1).take(pa.array(at)), "word": lists.flatten()}
+            )
+            counted = table.group_by(["by", "word"]).aggregate([("word", "count"), ("row_id", "min")])
+            for by, word, n, row in zip(*(counted.column(c).to_pylist() for c in ("by", "word", "word_count", "row_id_min")), strict=True):
+                found = held.setdefault(by, {})
+                old = found.get(word)
+                if old is None:
+                    found[word] = [n, row]
+                else:
+                    old[0] += n
+                    old[1] = min(old[1], row)
+            for by, found in held.items():
+                if len(found) > 2 * counters:
+                    lost[by] = lost.get(by, 0) + _pruned(found, counters)
+            if len(held) > max(1, _HELD // counters):
+                yield from lines()
+        if held or lost:
+            yield from lines()
+
+    return listed.mapInArrow(summarise, f"by {kind}, word string, n long, row_id long, lost long")
+
+
+def _word_counts(rows: DataFrame, by: str, n: int, stopwords: list[str], counters: int) -> DataFrame:
+    """``(by, word, n, row_id)``: exact counts and first rows of words that include the n most frequent of each ``by``.
+
+    Tasks keep at most ``counters`` words each (Misra-Gries), so the shuffle does not grow with the
+    vocabulary. A count lacks at most what the tasks lost, so words that even so stay below the
+    n-th are out, and those that remain are counted in a second pass. Where nothing was lost the first
+    counts are exact, and there is no second pass.
+    """
+    kind = rows.schema[by].dataType.simpleString()
+    kept = F.filter(words(F.col("text")), lambda w: ~w.isin(stopwords)) if stopwords else words(F.col("text"))
+    listed = rows.select(F.col(by).alias("by"), F.col("row_id").cast("bigint").alias("row_id"), kept.alias("words"))
+    lines = cut_lineage(_summaries(listed, kind, counters))
+    sums = (
+        lines.where("word IS NOT NULL").groupBy("by", "word").agg(F.sum("n").alias("n"), F.min("row_id").alias("row_id"))
+    )
+    lost = lines.where("word IS NULL").groupBy("by").agg(F.sum("lost").alias("lost"))
+    if lines.where("lost > 0").isEmpty():
+        return sums
+    sums = cut_lineage(sums)
+    least = first_in_group(sums, ["by"], [F.desc("n")], n, "place").groupBy("by").agg(
+        F.min("n").alias("least"), F.count(F.lit(1)).alias("found")
+    )
+    same = F.col("by").eqNullSafe(F.col("_by"))
+    bounds = cut_lineage(
+        least.join(lost.withColumnRenamed("by", "_by"), same, "left").select(
+            F.col("by").alias("_by"), F.col("least"), "found", F.coalesce("lost", F.lit(0)).alias("lost")
+        )
+    )
+    # a word that no task kept has at most ``lost``: the n-th must have more
+    if not bounds.where((F.col("lost") > 0) & ((F.col("found") < n) | (F.col("least") <= F.col("lost")))).isEmpty():
+        return _word_counts(rows, by, n, stopwords, counters * 8)
+    possible = sums.join(bounds, same).where(F.col("n") + F.col("lost") >= F.col("least")).select("by", "word")
+    possible = cut_lineage(possible)
+    told = possible.select(F.col("by").alias("_by"), F.col("word").alias("_word"))
+    each = listed.select("by", "row_id", F.explode("words").alias("word"))
+    return (
+        each.join(told, same & (F.col("word") == F.col("_word")))
+        .groupBy("by", "word")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("row_id"))
+    )
+
+
 def top_keywords(
-    rows: DataFrame, by: str = "cluster", n: int = 5, stopwords: list[str] = STOPWORDS
+    rows: DataFrame, by: str = "cluster", n: int = 5, stopwords: list[str] = STOPWORDS, counters: int = COUNTERS
 ) -> DataFrame:
     """``(by, rank, word, n)``: most frequent words, ties to the one seen first.
 
     ``rows`` has ``by``, ``row_id`` and ``text``. Counting keeps the count and the
-    first row of each word, both plain numbers, so it combines before the
-    shuffle. Only words tied in count and first row go back to that row's text
-    to see which comes first in it.
+    first row of each word, both plain numbers. Only words tied in count and first row go
+    back to that row's text to see which comes first in it.
     """
-    counts = (
-        word_rows(rows, [by, "row_id"])
-        .where(~F.col("word").isin(stopwords))
-        .groupBy(by, "word")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("row_id"))
-    )
+    counts = _word_counts(rows, by, n, stopwords, counters).withColumnRenamed("by", by)
     order = [F.desc("n"), F.asc("row_id")]
     same = W.partitionBy(by, "n", "row_id")
     leading = counts.withColumn("place", F.rank().over(W.partitionBy(by).orderBy(*order))).where(
@@ -60,15 +167,12 @@ def keyword_lists(top: DataFrame, by: str = "cluster") -> DataFrame:
 
 
 def word_freq(
-    rows: DataFrame, group_col: str, n: int = 100, stopwords: list[str] = STOPWORDS
+    rows: DataFrame, group_col: str, n: int = 100, stopwords: list[str] = STOPWORDS, counters: int = COUNTERS
 ) -> DataFrame:
-    """``(grp, rank, word, n)``: the n most frequent words of each group."""
-    counts = (
-        word_rows(rows.withColumn("grp", F.col(group_col)), ["grp"])
-        .where(~F.col("word").isin(stopwords))
-        .groupBy("grp", "word")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    return first_in_group(counts, ["grp"], [F.desc("n"), F.asc("word")], n).select(
+    """``(grp, rank, word, n)``: the n most frequent words of each group, ties by name."""
+    given = F.col("row_id") if "row_id" in rows.columns else F.lit(0)
+    slim = rows.select(F.col(group_col).alias("grp"), given.cast("bigint").alias("row_id"), "text")
+    counts = _word_counts(slim, "grp", n, stopwords, counters)
+    return first_in_group(counts.withColumnRenamed("by", "grp"), ["grp"], [F.desc("n"), F.asc("word")], n).select(
         "grp", "rank", "word", "n"
     )

@@ -1,10 +1,15 @@
 """Exact nearest neighbours without an all-pairs join.
 
-Points are filed under their nearest pivot, in rings by distance from it, in
-blocks of bounded size. A query first searches its most promising block, which
-gives an upper bound; by the triangle inequality only blocks that could hold
-something closer are visited after that. Block kernels return at most k rows per
-query, so the pairs themselves are never written out.
+Points are filed under their nearest pivot and cut, by distance from it, into blocks of
+bounded size; some blocks that follow each other are a group. A query first searches its most
+promising group, which gives an upper bound; by the triangle inequality only groups with a block
+that could hold something closer are visited after that. Bounds are worked out for pivots
+first and only then for the blocks of pivots that remain, a bounded number at a time.
+
+A query's vector is shipped once for each group it visits (8 bytes a dimension), a group's
+points once for each QUERY_ROWS queries that visit it. Within a group its blocks are
+searched in turn, with a bound that tightens. Kernels return at most k rows per query, so the
+pairs themselves are never written out.
 """
 
 from __future__ import annotations
@@ -14,19 +19,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themescope.operators.rows import first_in_group, hash_sample
 from themescope.session import cut_lineage
 
-BLOCK_ROWS = 8192
-QUERY_ROWS = 2048
+BLOCK_ROWS = 2048
+GROUP_BLOCKS = 16
+QUERY_ROWS = 8192
 MAX_PIVOTS = 1024
-MAX_RINGS = 64
 # The block list is held by every task; blocks grow beyond this many.
 MAX_BLOCKS = 100_000
 _CHUNK = 512
+# Queries whose bounds to all pivots are worked out at once, and bounds to blocks at once.
+_ROUTE_ROWS = 512
+_ROUTE_CELLS = 1_000_000
 _MATCH = "qid bigint, id bigint, w double"
 
 
@@ -34,10 +43,11 @@ _MATCH = "qid bigint, id bigint, w double"
 class Index:
     """Points filed in blocks, and what a query needs to choose among them."""
 
-    points: DataFrame  # id, vec, block
+    points: DataFrame  # id, vec, block, group
     pivots: np.ndarray  # at most MAX_PIVOTS rows
-    block: np.ndarray  # block numbers
+    block: np.ndarray  # block numbers, by cell
     cell: np.ndarray  # pivot of each block
+    group: np.ndarray  # group of each block
     inner: np.ndarray  # smallest and largest distance from that pivot
     outer: np.ndarray
     size: np.ndarray
@@ -59,85 +69,72 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def build_index(
-    points: DataFrame, pivots: int | None = None, block_rows: int = BLOCK_ROWS
+    points: DataFrame, pivots: int | None = None, block_rows: int | None = None, group_blocks: int = GROUP_BLOCKS
 ) -> Index:
     """File ``(id, vec)`` points. ``vec`` is an array of doubles of one width."""
     spark = points.sparkSession
     points = points.select("id", F.col("vec").cast("array<double>").alias("vec"))
     total = points.count()
-    block_rows = max(block_rows, -(-total // MAX_BLOCKS))
-    if total <= block_rows and not pivots:
-        # Everything fits one block: nothing to choose among.
-        return Index(
-            points.withColumn("block", F.lit(0).cast("bigint")),
-            np.zeros((0, 0)),
-            np.zeros(1, np.int64),
-            np.zeros(1, np.int64),
-            np.zeros(1),
-            np.full(1, np.inf),
-            np.array([total]),
-            block_rows,
-        )
+    block_rows = max(block_rows or BLOCK_ROWS, -(-total // MAX_BLOCKS))
     wanted = pivots or min(MAX_PIVOTS, max(1, total // (block_rows // 2 or 1)))
     chosen = hash_sample(points, "id", wanted).orderBy("id").limit(wanted).collect()
     centre = np.array([r["vec"] for r in chosen], dtype=np.float64)
-
     shared = spark.sparkContext.broadcast(centre)
 
     def file_under(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            far = distances(matrix(batch.column("vec")), shared.value)
-            nearest = far.argmin(1) if len(far) else np.zeros(0, int)
+            far = distances(matrix(batch.column("vec")), shared.value) if batch.num_rows else np.zeros((0, 1))
+            nearest = far.argmin(1)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
                     batch.column("vec"),
                     pa.array(nearest.astype(np.int32)),
-                    pa.array(far[np.arange(len(far)), nearest] if len(far) else np.zeros(0)),
+                    pa.array(far[np.arange(len(far)), nearest]),
                 ],
                 names=["id", "vec", "cell", "radius"],
             )
 
-    filed = cut_lineage(
-        points.mapInArrow(file_under, "id bigint, vec array<double>, cell int, radius double")
-    )
-    cells = filed.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"), F.max("radius").alias("_edge"))
-    rings = F.least(F.lit(MAX_RINGS), F.ceil(F.col("_n") / F.lit(block_rows))).cast("int")
-    ringed = filed.join(F.broadcast(cells), "cell").withColumn(  # at most MAX_PIVOTS rows
-        "ring",
-        F.when(F.col("_edge") > 0, F.least(rings - 1, F.floor(F.col("radius") / F.col("_edge") * rings)))
-        .otherwise(0)
-        .cast("int"),
-    )
-    fill = ringed.groupBy("cell", "ring").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("bigint").alias("_pieces")
-    )
-    placed = ringed.join(F.broadcast(fill), ["cell", "ring"]).select(  # MAX_PIVOTS * MAX_RINGS rows
-        "id",
-        "vec",
-        "cell",
-        "radius",
-        (
-            (F.col("cell").cast("bigint") * MAX_RINGS + F.col("ring")) * F.lit(1 << 32)
-            + F.pmod(F.xxhash64("id"), F.col("_pieces"))
-        ).alias("block"),
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by cell and radius; each block has rows of one cell."""
+        task = TaskContext.get().partitionId() << 32
+        last, rows, block = None, 0, -1
+        for batch in batches:
+            cell = batch.column("cell").to_numpy()
+            number = np.empty(len(cell), np.int64)
+            for at in range(0, len(cell)):
+                if cell[at] != last or rows == block_rows:
+                    last, rows, block = cell[at], 0, block + 1
+                number[at], rows = block, rows + 1
+            group = task + number // group_blocks
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(task + number), pa.array(group)], names=[*batch.schema.names, "block", "group"]
+            )
+
+    filed = cut_lineage(points.mapInArrow(file_under, "id bigint, vec array<double>, cell int, radius double"))
+    order = ("cell", "radius", "id")  # a cell, or a radius, with most points is split by the next key
+    dealt = filed.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut_lineage(
+        dealt.mapInArrow(cut, "id bigint, vec array<double>, cell int, radius double, block bigint, group bigint")
     )
     table = (
         placed.groupBy("block")
         .agg(
             F.first("cell").alias("cell"),
+            F.first("group").alias("group"),
             F.min("radius").alias("inner"),
             F.max("radius").alias("outer"),
             F.count(F.lit(1)).alias("n"),
         )
-        .orderBy("block")
-        .collect()  # one line per block, at most about MAX_BLOCKS + MAX_PIVOTS * MAX_RINGS
+        .orderBy("cell", "block")
+        .collect()  # one line per block, at most about MAX_BLOCKS and one for each pivot and task
     )
     return Index(
-        placed.select("id", "vec", "block"),
+        placed.select("id", "vec", "block", "group"),
         centre,
         np.array([r["block"] for r in table], dtype=np.int64),
         np.array([r["cell"] for r in table], dtype=np.int64),
+        np.array([r["group"] for r in table], dtype=np.int64),
         np.array([r["inner"] for r in table]),
         np.array([r["outer"] for r in table]),
         np.array([r["n"] for r in table], dtype=np.int64),
@@ -145,20 +142,88 @@ def build_index(
     )
 
 
-def _lower_bounds(q: np.ndarray, core: np.ndarray, at: dict, metric: str) -> np.ndarray:
-    """Least possible weight between each query and anything in each block."""
-    if metric == "dot":
-        reach = (q @ at["pivots"].T)[:, at["cell"]]
-        length = np.sqrt((q * q).sum(1))[:, None]
-        low = 1.0 - reach - length * at["outer"][None, :]
-        return low - 1e-9
-    far = distances(q, at["pivots"])[:, at["cell"]]
-    low = np.maximum(np.maximum(far - at["outer"], at["inner"] - far), 0.0)
-    return np.maximum(low - 1e-7 * (1.0 + far), core[:, None])
+def _low(metric, far, length, core, inner, outer):
+    """Least possible weight between queries at ``far`` from a pivot and points filed at inner to outer."""
+    if metric == "dot":  # here ``far`` is the product with the pivot
+        return 1.0 - far - length * outer - 1e-9
+    low = np.maximum(np.maximum(far - outer, inner - far), 0.0)
+    return np.maximum(low - 1e-7 * (1.0 + far), core)
+
+
+def _reach(q: np.ndarray, pivots: np.ndarray, metric: str):
+    """Distance (or product) of queries to pivots, and the queries' lengths."""
+    return (q @ pivots.T if metric == "dot" else distances(q, pivots)), np.sqrt((q * q).sum(1))
+
+
+class Router:
+    """Which groups a query must visit: bounds to cells first, then to blocks of cells that remain."""
+
+    def __init__(self, at: dict, metric: str):
+        self.at, self.metric = at, metric
+        cell = at["cell"]
+        self.cells, self.first = np.unique(cell, return_index=True)
+        self.many = np.diff(np.append(self.first, len(cell)))
+        self.inner = np.minimum.reduceat(at["inner"], self.first) if len(cell) else at["inner"]
+        self.outer = np.maximum.reduceat(at["outer"], self.first) if len(cell) else at["outer"]
+
+    def _blocks(self, far, length, core, comp, row, cell):
+        """(row, block, bound) for all blocks of the given cells, in parts of bounded size."""
+        at, edge = self.at, np.cumsum(self.many[cell])
+        part = np.append(0, np.flatnonzero(np.diff(edge // _ROUTE_CELLS)) + 1).tolist() if len(row) else []
+        for a, b in zip(part, [*part[1:], len(row)], strict=True):
+            many = self.many[cell[a:b]]
+            r = np.repeat(row[a:b], many)
+            start = np.repeat(self.first[cell[a:b]] - np.cumsum(many) + many, many)
+            block = start + np.arange(len(r))
+            low = _low(
+                self.metric, far[r, np.repeat(cell[a:b], many)], length[r], core[r], at["inner"][block], at["outer"][block]
+            )
+            if at["pure"] is not None:
+                low[comp[r] == at["pure"][block]] = np.inf
+            yield r, block, low
+
+    def _bounds(self, vec, core):
+        far, length = _reach(vec, self.at["pivots"][self.cells], self.metric)
+        return far, length, _low(self.metric, far, length[:, None], core[:, None], self.inner, self.outer)
+
+    def home(self, vec, core, comp) -> np.ndarray:
+        """The group of each query's most promising block among its nearest cells; -1 if none is open."""
+        far, length, low = self._bounds(vec, core)
+        out = np.full(len(vec), -1, np.int64)
+        order = np.argsort(low, axis=1, kind="stable")
+        todo, depth, step = np.arange(len(vec)), 0, 4
+        while len(todo) and depth < order.shape[1]:
+            cell = order[todo, depth : depth + step]
+            best = np.full(len(vec), np.inf)
+            at = np.zeros(len(vec), np.int64)
+            rows = np.repeat(todo, cell.shape[1])
+            for r, block, bound in self._blocks(far, length, core, comp, rows, cell.ravel()):
+                order_ = np.lexsort((bound, r))
+                r, block, bound = r[order_], block[order_], bound[order_]
+                first = np.append(True, np.diff(r) > 0) if len(r) else np.zeros(0, bool)
+                r, block, bound = r[first], block[first], bound[first]
+                better = bound < best[r]
+                best[r[better]], at[r[better]] = bound[better], block[better]
+            found = todo[np.isfinite(best[todo])]
+            out[found] = self.at["group"][at[found]]
+            todo, depth, step = todo[~np.isfinite(best[todo])], depth + step, step * 4
+        return out
+
+    def reachable(self, vec, core, comp, limit) -> tuple[np.ndarray, np.ndarray]:
+        """(row, group) pairs, each once."""
+        far, length, low = self._bounds(vec, core)
+        row, cell = np.nonzero(low <= limit[:, None])
+        names, number = np.unique(self.at["group"], return_inverse=True)
+        keys = [np.zeros(0, np.int64)]
+        for r, block, bound in self._blocks(far, length, core, comp, row, cell):
+            good = (bound <= limit[r]) & np.isfinite(bound)
+            keys.append(np.unique(r[good] * len(names) + number[block[good]]))
+        key = np.unique(np.concatenate(keys))
+        return key // max(1, len(names)), names[key % max(1, len(names))] if len(names) else key
 
 
 def _best(q, qid, core, comp, bound, x, xid, xcore, xcomp, k, metric):
-    """Up to k lightest partners per query within its bound, from one block."""
+    """Up to k lightest partners per query within its bound, from one block: (row, id, w)."""
     hits = []
     for at in range(0, len(q), _CHUNK):
         part = slice(at, at + _CHUNK)
@@ -190,13 +255,49 @@ def _best(q, qid, core, comp, bound, x, xid, xcore, xcomp, k, metric):
         row, col, w = row[order], col[order], w[order]
         starts = np.searchsorted(row, row)  # first position of each query's run
         first = np.arange(len(row)) - starts < k
-        hits.append((qid[part][row[first]], xid[col[first]], w[first]))
+        hits.append((row[first] + at, xid[col[first]], w[first]))
     if not hits:
         empty = np.zeros(0, np.int64)
         return empty, empty, np.zeros(0)
     return tuple(np.concatenate(c) for c in zip(*hits))
 
 
+def _best_in_group(query: dict, point: dict, at: dict, k: int, metric: str):
+    """Up to k lightest partners per query in a group, block after block: (qid, id, w)."""
+    n = len(query["qid"])
+    best_w, best_id = np.full((n, k), np.inf), np.full((n, k), np.iinfo(np.int64).max)
+    order = np.argsort(point["block"], kind="stable")
+    names, first = np.unique(point["block"][order], return_index=True)
+    spans = dict(zip(names.tolist(), zip(first, [*first[1:], len(order)], strict=True), strict=True))
+    mine = np.flatnonzero(np.isin(at["block"], names))
+    far, length = _reach(query["vec"], at["pivots"][at["cell"][mine]], metric)
+    low = _low(metric, far, length[:, None], query["core"][:, None], at["inner"][mine], at["outer"][mine])
+    # the block that is likely to bound most queries goes first
+    for j in np.argsort(low.sum(0), kind="stable").tolist():
+        limit = np.minimum(query["bound"], best_w[:, -1])
+        asks = np.flatnonzero(low[:, j] <= limit)
+        if not len(asks):
+            continue
+        a, b = spans[int(at["block"][mine[j]])]
+        part = order[a:b]
+        row, found, w = _best(
+            *(query[c][asks] for c in ("vec", "qid", "core", "comp")), limit[asks],
+            *(point[c][part] for c in ("vec", "id", "core", "comp")), k, metric,
+        )
+        if not len(row):
+            continue
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        more_w = np.full((len(asks), k), np.inf)
+        more_id = np.full((len(asks), k), np.iinfo(np.int64).max)
+        more_w[row, place], more_id[row, place] = w, found
+        w, found = np.hstack([best_w[asks], more_w]), np.hstack([best_id[asks], more_id])
+        by = np.lexsort((found, w), axis=1)[:, :k]
+        line = np.arange(len(asks))[:, None]
+        best_w[asks], best_id[asks] = w[line, by], found[line, by]
+    row, col = np.nonzero(np.isfinite(best_w))
+    return query["qid"][row], best_id[row, col], best_w[row, col]
+
+
 def search(
     index: Index,
     queries: DataFrame,
@@ -222,29 +323,31 @@ def search(
     )
     points = index.points
     if traits is None:
-        points = points.select("block", "id", "vec", F.lit(0.0).alias("core"), F.col("id").alias("comp"))
+        points = points.select("block", "group", "id", "vec", F.lit(0.0).alias("core"), F.col("id").alias("comp"))
     else:
         points = points.join(traits.select("id", "core", "comp"), "id").select(
-            "block", "id", "vec", "core", F.col("comp").cast("bigint").alias("comp")
+            "block", "group", "id", "vec", "core", F.col("comp").cast("bigint").alias("comp")
         )
-    if len(index.block) == 1:
-        copies = max(1, -(-q.count() // QUERY_ROWS))
-        asking = q.withColumn("block", F.lit(0).cast("bigint")).withColumn(
-            "copy", F.pmod(F.xxhash64("qid"), F.lit(copies)).cast("int")
-        )
-        holding = points.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-        return _keep_best(_match(asking, holding, k, metric), k)
     pure = None if traits is None else _pure_blocks(index, points)
-    home = _visit(index, q, points, k, metric, pure, "home")
+    state = {
+        "pivots": index.pivots, "block": index.block, "cell": index.cell, "group": index.group,
+        "inner": index.inner, "outer": index.outer, "pure": pure,
+    }
+    shared = q.sparkSession.sparkContext.broadcast(state)
+    routed = cut_lineage(_routed(q.withColumn("home", F.lit(None).cast("bigint")), shared, metric))
+    home = _match(routed, points, shared, k, metric)
+    if len(np.unique(index.group)) < 2:
+        return home
     home = cut_lineage(home)
     reach = home.groupBy("qid").agg(F.count(F.lit(1)).alias("_hits"), F.max("w").alias("_kth"))
     tighter = (
-        q.join(reach, "qid", "left")
+        routed.withColumn("home", F.col("groups")[0])
+        .join(reach, "qid", "left")
         .withColumn("bound", F.when(F.col("_hits") >= k, F.least("bound", "_kth")).otherwise(F.col("bound")))
-        .drop("_hits", "_kth")
+        .select(*q.columns, "home")
     )
-    rest = _visit(index, tighter, points, k, metric, pure, "rest")
-    return _keep_best(home.unionByName(rest), k)
+    rest = cut_lineage(_routed(tighter, shared, metric))
+    return _keep_best(home.unionByName(_match(rest, points, shared, k, metric)), k)
 
 
 def _keep_best(found: DataFrame, k: int) -> DataFrame:
@@ -259,99 +362,70 @@ def _pure_blocks(index: Index, points: DataFrame) -> np.ndarray:
     return np.array([single.get(b, none) for b in index.block.tolist()], dtype=np.int64)
 
 
-def _visit(index, q, points, k, metric, pure, stage) -> DataFrame:
-    spark = q.sparkSession
-    shared = spark.sparkContext.broadcast(
-        {
-            "pivots": index.pivots,
-            "block": index.block,
-            "cell": index.cell,
-            "inner": index.inner,
-            "outer": index.outer,
-            "pure": pure,
-        }
-    )
-
-    def choose(batch: pa.RecordBatch):
-        at = shared.value
-        vec = matrix(batch.column("vec"))
-        core = batch.column("core").to_numpy(zero_copy_only=False)
-        comp = batch.column("comp").to_numpy(zero_copy_only=False)
-        bound = batch.column("bound").to_numpy(zero_copy_only=False)
-        low = _lower_bounds(vec, core, at, metric)
-        if at["pure"] is not None:
-            low[comp[:, None] == at["pure"][None, :]] = np.inf
-        home = low.argmin(1)
-        open_home = np.isfinite(low[np.arange(len(low)), home])
-        if stage == "home":
-            row = np.nonzero(open_home)[0]
-            return row, home[row]
-        reachable = low <= bound[:, None]
-        reachable &= np.isfinite(low)
-        reachable[np.nonzero(open_home)[0], home[open_home]] = False
-        return np.nonzero(reachable)
-
-    def count_route(batches):
-        for batch in batches:
-            if batch.num_rows:
-                _, col = choose(batch)
-                yield pa.RecordBatch.from_arrays([pa.array(shared.value["block"][col])], names=["block"])
+def _routed(q: DataFrame, shared, metric: str) -> DataFrame:
+    """Queries with the groups they visit: the home group, or with a ``home`` all others in reach."""
 
     def route(batches):
+        router = Router(shared.value, metric)
         for batch in batches:
-            if batch.num_rows:
-                row, col = choose(batch)
-                for at in range(0, len(row), 65536):
-                    piece = slice(at, at + 65536)
-                    taken = batch.take(pa.array(row[piece]))
-                    yield pa.RecordBatch.from_arrays(
-                        [*taken.columns, pa.array(shared.value["block"][col[piece]])],
-                        names=[*batch.schema.names, "block"],
-                    )
-
-    # A block that many queries want is copied, so that no task gets more than
-    # about QUERY_ROWS of them.
-    visits = q.mapInArrow(count_route, "block bigint").groupBy("block").count()
-    copies = visits.select(
-        "block", F.ceil(F.col("count") / F.lit(QUERY_ROWS)).cast("int").alias("_copies")
-    )
-    copies = F.broadcast(copies)  # one line per block
-    routed = q.mapInArrow(route, "qid bigint, vec array<double>, core double, comp bigint, bound double, block bigint")
-    asking = routed.join(copies, "block").withColumn(
-        "copy", F.pmod(F.xxhash64("qid"), F.col("_copies")).cast("int")
-    )
-    holding = points.join(copies, "block").withColumn(
-        "copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))
+            for at in range(0, batch.num_rows, _ROUTE_ROWS):
+                part = batch.slice(at, _ROUTE_ROWS)
+                vec = matrix(part.column("vec"))
+                core, comp, bound = (part.column(c).to_numpy(zero_copy_only=False) for c in ("core", "comp", "bound"))
+                groups: list[list[int]] = [[] for _ in range(len(vec))]
+                if part.column("home").null_count:
+                    for row, group in enumerate(router.home(vec, core, comp).tolist()):
+                        groups[row] = [group] if group >= 0 else []
+                else:
+                    home = part.column("home").to_numpy()
+                    row, group = router.reachable(vec, core, comp, bound)
+                    keep = group != home[row]
+                    for r, g in zip(row[keep].tolist(), group[keep].tolist(), strict=True):
+                        groups[r].append(g)
+                some = pa.array([bool(g) for g in groups])
+                arrays = [*part.columns[:5], pa.array(groups, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*part.schema.names[:5], "groups"]).filter(some)
+
+    return q.mapInArrow(
+        route, "qid bigint, vec array<double>, core double, comp bigint, bound double, groups array<bigint>"
     )
 
-    return _match(asking, holding, k, metric)
 
+def _match(routed: DataFrame, points: DataFrame, shared, k: int, metric: str) -> DataFrame:
+    """Best partners of every query among the points of the groups it visits.
 
-def _match(asking: DataFrame, holding: DataFrame, k: int, metric: str) -> DataFrame:
-    """Best partners of every query among the points of its block."""
+    A group that many queries visit is copied, so that no task gets more than about
+    QUERY_ROWS of them.
+    """
+    visits = routed.select(F.explode("groups").alias("group")).groupBy("group").count()
+    copies = visits.select("group", F.ceil(F.col("count") / F.lit(QUERY_ROWS)).cast("int").alias("_copies"))
+    asking = (
+        routed.select("qid", "vec", "core", "comp", "bound", F.explode("groups").alias("group"))
+        .join(copies, "group")
+        .withColumn("copy", F.pmod(F.xxhash64("qid"), F.col("_copies")).cast("int"))
+    )
+    holding = points.join(copies, "group").withColumn(
+        "copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))
+    )
 
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
-        def column(table: pa.Table, name: str) -> np.ndarray:
-            return table.column(name).combine_chunks().to_numpy(zero_copy_only=False)
+        def columns(table: pa.Table, names: tuple[str, ...]) -> dict[str, np.ndarray]:
+            out = {c: table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in names}
+            return out | {"vec": matrix(table.column("vec"))}
 
         if left.num_rows == 0 or right.num_rows == 0:
             qid, xid, w = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         else:
-            qid, xid, w = _best(
-                matrix(left.column("vec")),
-                *(column(left, c) for c in ("qid", "core", "comp", "bound")),
-                matrix(right.column("vec")),
-                *(column(right, c) for c in ("id", "core", "comp")),
-                k,
-                metric,
-            )
+            query = columns(left, ("qid", "core", "comp", "bound"))
+            point = columns(right, ("id", "core", "comp", "block"))
+            qid, xid, w = _best_in_group(query, point, shared.value, k, metric)
         return pa.table({"qid": qid, "id": xid, "w": w})
 
     return (
-        asking.select("block", "copy", "qid", "vec", "core", "comp", "bound")
-        .groupBy("block", "copy")
+        asking.select("group", "copy", "qid", "vec", "core", "comp", "bound")
+        .groupBy("group", "copy")
         .cogroup(
-            holding.select("block", "copy", "id", "vec", "core", "comp").groupBy("block", "copy")
+            holding.select("group", "copy", "id", "vec", "core", "comp", "block").groupBy("group", "copy")
         )
         .applyInArrow(kernel, _MATCH)
     )
@@ -363,7 +437,7 @@ def knn(points: DataFrame, k: int, index: Index | None = None) -> DataFrame:
     return search(index, index.points.select(F.col("id").alias("qid"), "vec"), k)
 
 
-def nearest_label(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest_label(rows: DataFrame, block_rows: int | None = None, group_blocks: int = GROUP_BLOCKS) -> DataFrame:
     """Give noise rows (cluster -1) the cluster of their nearest non-noise row.
 
     ``rows`` has row_id, vec, cluster. Nothing changes when there is no noise or
@@ -373,7 +447,7 @@ def nearest_label(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     known = rows.where(F.col("cluster") != -1)
     if not noise.limit(1).count() or not known.limit(1).count():
         return rows.select("row_id", "cluster")
-    index = build_index(known.select(F.col("row_id").alias("id"), "vec"), block_rows=block_rows)
+    index = build_index(known.select(F.col("row_id").alias("id"), "vec"), block_rows=block_rows, group_blocks=group_blocks)
     found = search(index, noise.select(F.col("row_id").alias("qid"), "vec"), 1)
     labels = known.select(F.col("row_id").alias("id"), F.col("cluster").alias("_given"))
     given = found.join(labels, "id").select(F.col("qid").alias("row_id"), "_given")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-
-from functools import reduce
-
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themescope.functions.text import is_digits_only, parses_as_float, strip
+from themescope.operators.rows import first_in_group
 
 RESERVED = ("text", "Message", "Cluster", "cluster", "Cluster_ID", "Cluster_Label")
 MAX_COMPARE_VALUES = 50
@@ -18,6 +18,8 @@ SAMPLE_ROWS = 500
 # One bit per hash value: a bitmap aggregate of fixed size per column.
 _BITS = 32768
 _HEAD_ROWS = 5000
+# Kinds of values in the column test: 0 null, 1 digits only, else this.
+_SOME_TEXT = 2
 
 
 def _text(name: str) -> Column:
@@ -62,25 +64,44 @@ def mostly_text_columns(
 ) -> DataFrame:
     """``(column, n_sampled, n_text)`` over the first non-null values of each column."""
     columns = columns or [c for c in df.columns if c != key]
-    # One small top-n per column: each reads its own column only and keeps a
-    # heap of a few hundred rows per task, where one window would sort the table.
-    heads = [
-        df.select(F.col(key), _text(c).alias("value"))
-        .where(F.col("value").isNotNull())
-        .orderBy(key)
-        .limit(sample_rows)
-        .select(F.lit(c).alias("column"), "value")
-        for c in columns
-    ]
-    return (
-        reduce(DataFrame.unionByName, heads)
-        .groupBy("column")
-        .agg(
-            F.count(F.lit(1)).alias("n_sampled"),
-            F.count(F.when(~is_digits_only(F.col("value")), 1)).alias("n_text"),
-        )
-        .withColumn("is_text", F.col("n_text") * 2 > F.col("n_sampled"))
+    found = first_kinds(df, key, columns, sample_rows)
+    counted = found.groupBy("place").agg(
+        F.count(F.lit(1)).alias("n_sampled"), F.count(F.when(F.col("kind") == _SOME_TEXT, 1)).alias("n_text")
     )
+    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("place") + 1)
+    return counted.select(
+        name.alias("column"), "n_sampled", "n_text", (F.col("n_text") * 2 > F.col("n_sampled")).alias("is_text")
+    )
+
+
+def first_kinds(df: DataFrame, key: str, columns: list[str], n: int) -> DataFrame:
+    """``(place, key, kind)``: what the first n non-null values of each column are, from one scan.
+
+    The scan turns each value into one of three small numbers. A task keeps n lines a
+    column, whatever the number of rows, and passes on those; the first n of them remain.
+    """
+    kinds = [
+        F.when(_text(c).isNull(), 0).when(is_digits_only(_text(c)), 1).otherwise(_SOME_TEXT).cast("tinyint").alias(f"c{i}")
+        for i, c in enumerate(columns)
+    ]
+    kind = df.schema[key].dataType.simpleString()
+
+    def keep(batches):
+        held: list[pa.Table | None] = [None] * len(columns)
+        for batch in batches:
+            keys = batch.column(0)
+            for i in range(len(columns)):
+                there = pc.greater(batch.column(i + 1), 0)
+                new = pa.table({"key": keys.filter(there), "kind": batch.column(i + 1).filter(there)})
+                every = new if held[i] is None else pa.concat_tables([held[i], new])
+                held[i] = every.take(pc.sort_indices(every, [("key", "ascending")])[:n]) if len(every) > n else every
+        for i, table in enumerate(held):
+            if table is not None:
+                place = pa.array([i] * len(table), pa.int32())
+                yield from pa.table({"place": place, **dict(zip(table.column_names, table.columns, strict=True))}).to_batches()
+
+    first = df.select(F.col(key).alias("key"), *kinds).mapInArrow(keep, f"place int, key {kind}, kind tinyint")
+    return first_in_group(first, ["place"], [F.asc("key")], n, "line").drop("line")
 
 
 def text_column_name(df: DataFrame) -> str | None:

@@ -64,28 +64,33 @@ def representatives(msgs: DataFrame, n: int = PICKED, seed: int = 42) -> DataFra
     """``(cluster, place, row_id, text)``: up to n varied texts of each cluster.
 
     All of a small cluster; otherwise the first, middle and last row (of the
-    20..200 character texts when there are enough) and a random fill. Picks are
-    made on keys alone: first and last by aggregate, the middle by rank inside
-    its key range, the fill by smallest hash.
+    20..200 character texts when there are enough) and a random fill. Texts are read
+    twice: once for their lengths, which are written as keys, and once for the few picked.
+    All picks come from one pass over the keys (``key_sketch``), but for the middle, which
+    reads its key range again.
     """
     length = F.length("text")
-    sized = msgs.select("cluster", "row_id", length.between(SHORTEST, LONGEST).alias("fits"))
-    plan = sized.groupBy("cluster").agg(
-        F.count(F.lit(1)).alias("n_all"), F.count(F.when(F.col("fits"), 1)).alias("n_fit")
-    )
-    pool = sized.join(plan, "cluster").where(
-        F.col("fits") | (F.col("n_fit") < n) | (F.col("n_all") <= n)
-    )
-    ends = pool.groupBy("cluster").agg(
-        F.count(F.lit(1)).alias("n_pool"),
-        F.max("n_all").alias("n_all"),
-        F.min("row_id").alias("first"),
-        F.max("row_id").alias("last"),
-    )
-    middle = _middle_rows(pool.select("cluster", "row_id"))
-    fixed = ends.join(middle, "cluster", "left").select(
+    keys = cut_lineage(msgs.select("cluster", "row_id", length.between(SHORTEST, LONGEST).alias("fits")))
+    sketch = cut_lineage(key_sketch(keys, n + 3, seed))
+    ranges = sketch.where(F.col("hash").isNull())
+    totals = ranges.groupBy("cluster").agg(
+        F.sum("n").alias("n_all"), F.sum("n_fit").alias("n_fit"),
+        F.min("first").alias("first"), F.max("last").alias("last"),
+        F.min("first_fit").alias("first_fit"), F.max("last_fit").alias("last_fit"),
+    )
+    # the pool: texts that fit, where there are enough, else all
+    fitting = (F.col("n_fit") >= n) & (F.col("n_all") > n)
+    plan = totals.select(
+        "cluster", "n_all", fitting.alias("fitting"),
+        F.when(fitting, F.col("n_fit")).otherwise(F.col("n_all")).alias("n_pool"),
+        F.when(fitting, F.col("first_fit")).otherwise(F.col("first")).alias("first"),
+        F.when(fitting, F.col("last_fit")).otherwise(F.col("last")).alias("last"),
+    )
+    middle = _middle_rows(keys, ranges, plan)
+    fixed = plan.join(middle, "cluster", "left").select(
         "cluster",
         "n_all",
+        "fitting",
         F.when(
             F.col("n_all") > n,
             F.array_compact(
@@ -101,34 +106,96 @@ def representatives(msgs: DataFrame, n: int = PICKED, seed: int = 42) -> DataFra
     )
     # Small clusters list everything in row order; others add n hashes to choose
     # from after up to three fixed rows.
-    hashed = pool.where(F.col("n_all") > n).withColumn("_hash", seeded_hash(F.col("row_id"), seed))
-    drawn = first_in_group(hashed, ["cluster"], [F.asc("_hash")], n + 3, "_draw").select(
-        "cluster", "row_id", (F.col("_draw") + 10).alias("_order")
+    draws = sketch.where(F.col("hash").isNotNull()).select("cluster", "row_id", "hash", "of_fitting")
+    drawn = (
+        draws.join(fixed, "cluster")
+        .where((F.col("of_fitting") == F.col("fitting")) & ~F.array_contains("fixed", F.col("row_id")))
+        .select("cluster", "row_id", F.when(F.col("n_all") > n, F.col("hash")).otherwise(F.lit("")).alias("_hash"))
+        .withColumn("_order", F.lit(10).cast("bigint"))
     )
-    whole = pool.where(F.col("n_all") <= n).select("cluster", "row_id", F.col("row_id").alias("_order"))
-    listed = fixed.select("cluster", F.posexplode("fixed").alias("_order", "row_id"))
-    fill = drawn.join(fixed, "cluster").where(~F.array_contains("fixed", F.col("row_id")))
-    columns = ["cluster", "row_id", "_order"]
-    candidates = (
-        whole.select(*columns)
-        .unionByName(listed.select(*columns).withColumn("_order", F.col("_order").cast("bigint")))
-        .unionByName(fill.select(*columns).withColumn("_order", F.col("_order").cast("bigint")))
+    listed = fixed.select("cluster", F.posexplode("fixed").alias("_order", "row_id")).select(
+        "cluster", "row_id", F.lit("").alias("_hash"), F.col("_order").cast("bigint")
     )
-    picked = first_in_group(candidates, ["cluster"], [F.asc("_order")], n, "place")
+    order = [F.asc("_order"), F.asc("_hash"), F.asc("row_id")]
+    picked = first_in_group(drawn.unionByName(listed), ["cluster"], order, n, "place")
     # At most n keys per cluster: written once, so that fetching their texts is
     # planned from the real size.
-    keys = cut_lineage(picked.select("cluster", "place", "row_id"))
-    return keys.join(msgs, ["cluster", "row_id"])
+    found = cut_lineage(picked.select("cluster", "place", "row_id"))
+    return found.join(msgs, ["cluster", "row_id"])
+
+
+_SKETCH = (
+    "cluster {0}, key_range bigint, n bigint, n_fit bigint, first bigint, last bigint, first_fit bigint, last_fit bigint, "
+    "row_id bigint, hash string, of_fitting boolean"
+)
+_SKETCH_LINES = 200_000
 
 
-def _middle_rows(keys: DataFrame, width: int = 1 << 16) -> DataFrame:
-    """``(cluster, middle)``: the row key at zero-based rank n // 2.
+def key_sketch(keys: DataFrame, draws: int, seed: int = 42, width: int = 1 << 16) -> DataFrame:
+    """What picks need to know of ``(cluster, row_id, fits)``, from a single pass.
+
+    Lines without a hash count a key range of a cluster: rows, rows that fit, first and last of
+    both. Lines with a hash are the rows of least hash among all rows or among those that fit,
+    ``draws`` a task. Lines of several tasks add up: sums, least, greatest, least hashes.
+    """
+    kind = keys.schema["cluster"].dataType.simpleString()
+
+    def counted(df: pd.DataFrame) -> pd.DataFrame:
+        by = df.groupby(["cluster", "key_range"], sort=False)
+        return by.agg(
+            {"n": "sum", "n_fit": "sum", "first": "min", "last": "max", "first_fit": "min", "last_fit": "max"}
+        ).reset_index()
+
+    def least(df: pd.DataFrame) -> pd.DataFrame:
+        return df.sort_values("hash").groupby(["cluster", "of_fitting"], sort=False).head(draws)
+
+    def lines(ranges: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
+        out = pd.concat([ranges, drawn], ignore_index=True)
+        whole = ["key_range", "n", "n_fit", "first", "last", "first_fit", "last_fit", "row_id"]
+        out[whole] = out[whole].astype("Int64")
+        out["of_fitting"] = out["of_fitting"].astype("boolean")
+        return out[["cluster", *whole[:-1], "row_id", "hash", "of_fitting"]]
+
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        empty = pd.DataFrame({c: [] for c in ("cluster", "row_id", "hash", "of_fitting")})
+        ranges, drawn = None, empty
+        for batch in batches:
+            if not len(batch):
+                continue
+            fit = batch["row_id"].where(batch["fits"])
+            new = pd.DataFrame(
+                {
+                    "cluster": batch["cluster"], "key_range": batch["row_id"] // width, "n": 1,
+                    "n_fit": batch["fits"].astype("int64"), "first": batch["row_id"], "last": batch["row_id"],
+                    "first_fit": fit.astype("Int64"), "last_fit": fit.astype("Int64"),
+                }
+            )
+            new = counted(new)
+            ranges = new if ranges is None else counted(pd.concat([ranges, new]))
+            every = least(batch[["cluster", "row_id", "hash"]].assign(of_fitting=False))
+            some = least(batch.loc[batch["fits"], ["cluster", "row_id", "hash"]].assign(of_fitting=True))
+            drawn = least(pd.concat([x for x in (drawn, every, some) if len(x)]))
+            if len(ranges) + len(drawn) > _SKETCH_LINES:
+                yield lines(ranges, drawn)
+                ranges, drawn = None, empty
+        if ranges is not None:
+            yield lines(ranges, drawn)
+
+    hashed = keys.select("cluster", "row_id", "fits", seeded_hash(F.col("row_id"), seed).alias("hash"))
+    return hashed.mapInPandas(sketch, _SKETCH.format(kind))
+
+
+def _middle_rows(keys: DataFrame, ranges: DataFrame, plan: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """``(cluster, middle)``: the row key of the pool at zero-based rank n // 2.
 
     Counts per key range find the range that holds it; only rows of that range
     are ranked.
     """
-    ranged = keys.withColumn("_range", F.floor(F.col("row_id") / F.lit(width)))
-    counts = ranged.groupBy("cluster", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    counts = (
+        ranges.join(plan.select("cluster", "fitting"), "cluster")
+        .groupBy("cluster", "fitting", F.col("key_range").alias("_range"))
+        .agg(F.sum(F.when(F.col("fitting"), F.col("n_fit")).otherwise(F.col("n"))).alias("_n"))
+    )
     upto = W.partitionBy("cluster").orderBy("_range").rowsBetween(W.unboundedPreceding, 0)
     whole = W.partitionBy("cluster")
     target = F.floor(F.sum("_n").over(whole) / 2)
@@ -136,11 +203,13 @@ def _middle_rows(keys: DataFrame, width: int = 1 << 16) -> DataFrame:
         counts.withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))
         .withColumn("_want", target - F.col("_before"))
         .where((F.col("_want") >= 0) & (F.col("_want") < F.col("_n")))
-        .select("cluster", "_range", "_want")
+        .select("cluster", "_range", "_want", "fitting")
     )
     inside = W.partitionBy("cluster", "_range").orderBy("row_id")
     return (
-        ranged.join(holding, ["cluster", "_range"])
+        keys.withColumn("_range", F.floor(F.col("row_id") / F.lit(width)))
+        .join(holding, ["cluster", "_range"])
+        .where(F.col("fits") | ~F.col("fitting"))
         .withColumn("_rank", F.row_number().over(inside) - 1)
         .where(F.col("_rank") == F.col("_want"))
         .select("cluster", F.col("row_id").alias("middle"))
