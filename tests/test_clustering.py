@@ -127,7 +127,7 @@ def chosen(spark, rows):
     return {r["cid"]: r["chosen"] for r in select_clusters(tree).collect()}
 
 
-def test_choice_of_clusters_equals_walk(spark):
+def test_choice_of_clusters_equals_walk(spark, monkeypatch):
     rows = [(0, None, 1.0), (1, 0, 5.0), (2, 0, 1.0), (3, 2, 2.0), (4, 2, 0.5), (5, 1, 2.0), (6, 1, 2.0)]
     assert chosen(spark, rows) == walked(rows) == {0: None, 1: 1, 5: 1, 6: 1, 2: None, 3: 3, 4: 4}
     rng = np.random.default_rng(5)
@@ -137,11 +137,14 @@ def test_choice_of_clusters_equals_walk(spark):
             low = 0 if shape == 0 else max(0, c - 3) if shape == 1 else c - 1 - (c % 2)
             rows.append((c, int(rng.integers(low, c)), float(rng.integers(0, 12))))
         assert chosen(spark, rows) == walked(rows)
+    # no task holds a parent and its child: rounds alone
+    monkeypatch.setattr(density, "_settle_here", lambda batches: batches)
+    assert chosen(spark, rows) == walked(rows)
 
 
 def test_choice_in_a_deep_chain_takes_few_rounds(spark, monkeypatch):
-    """50,000 splits one below the other: each leaves a leaf and the rest of the chain."""
-    n = 50_000
+    """20,000 splits one below the other: each leaves a leaf and the rest of the chain."""
+    n = 20_000
     rng = np.random.default_rng(6)
     own, leaf = rng.integers(0, 40, n), rng.integers(0, 3, n)
     rows = [(0, None, 0.0)]
@@ -155,10 +158,19 @@ def test_choice_in_a_deep_chain_takes_few_rounds(spark, monkeypatch):
 
     monkeypatch.setattr(density, "cut_lineage", counted)
     assert chosen(spark, rows) == walked(rows)
-    assert len(written) < 2 * 40
+    assert len(written) < 3 * 40
+    written.clear()
+    monkeypatch.setattr(density, "_settle_here", lambda batches: batches)  # rounds alone
+    assert chosen(spark, rows) == walked(rows)
+    assert len(written) < 3 * 40
 
 
-def test_pointers_and_components_in_rounds(spark):
+@pytest.mark.parametrize("alone", [False, True])
+def test_pointers_and_components_in_rounds(spark, monkeypatch, alone):
+    if alone:  # tasks that work out nothing by themselves
+        plain = components._chase
+        monkeypatch.setattr(components, "_chase", lambda batches: (x for b in batches for r in range(b.num_rows) for x in plain([b.slice(r, 1)])))
+        monkeypatch.setattr(components, "_HELD_NODES", 0)
     chain = spark.createDataFrame([(i, max(0, i - 1)) for i in range(20)] + [(30, 30), (31, 30)], "node bigint, ptr bigint")
     got = {r["node"]: r["root"] for r in components.follow(chain).collect()}
     assert got == {**{i: 0 for i in range(20)}, 30: 30, 31: 30}

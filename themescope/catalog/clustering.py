@@ -8,11 +8,13 @@ from pyspark.sql import Window as W
 from themescope.catalog.comparing import _with
 from themescope.catalog.registry import meta, query, r6, rounded, table
 from themescope.catalog.vectors import points
+from themescope.functions.text import WHITESPACE
 from themescope.operators import kmeans as km
 from themescope.operators.density import density_cluster
 from themescope.operators.linkage import agglomerative
 from themescope.operators.reduce import pca_reduce, unit_length
 from themescope.plans.steps import cluster_step
+from themescope.session import cut_lineage
 
 SCORES = """scores AS (SELECT label + 5 AS k,
   sum(sum(CAST(embedding[1] AS DOUBLE) ^ 2)) OVER (ORDER BY label DESC) AS inertia,
@@ -54,7 +56,7 @@ def choose_k(spark, folder):
 
 @query("score_ks")
 def score_ks(spark, folder):
-    """The full search: 26 values of k, ten restarts each, on the bounded sample."""
+    """The full search: 26 values of k, ten restarts each, on all rows."""
     return rounded(km.score_ks(points(spark, folder)), "inertia", "silhouette")
 
 
@@ -106,7 +108,7 @@ _LABELS = "SELECT vec_id AS row_id, min(vec_id) OVER (PARTITION BY label) AS fir
 def kmeans_separated(spark, folder):
     rows = _separated(spark, folder)
     k = table(spark, folder, "embeddings").select("label").distinct().count()
-    return _named_by_first(km.kmeans(rows, k, restarts=30))
+    return _named_by_first(km.kmeans(rows, k))
 
 
 @query("agglomerative_separated", _LABELS)
@@ -135,3 +137,48 @@ def pca_two_dims(spark, folder):
     flat = points(spark, folder).select("row_id", F.slice("vec", 1, 2).alias("vec"))
     reduced, _ = pca_reduce(flat, 1)
     return rounded(reduced.select("row_id", F.abs(F.col("vec")[0]).alias("length")), "length")
+
+
+_FAR = """far AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]),
+    lambda x, i: x + CASE WHEN i - 1 = label THEN 100.0 ELSE 0.0 END) AS vec FROM embeddings),
+unit AS (SELECT vec_id, label, unnest(vec) / sqrt(list_sum(list_transform(vec, lambda x: x * x))) AS x,
+    unnest(range(len(vec))) AS dim FROM far)"""
+
+
+@query(
+    "score_ks_separated",
+    f"""WITH {_FAR},
+spread AS (SELECT label, dim, sum(x * x) - sum(x) * sum(x) / count(*) AS s FROM unit GROUP BY ALL)
+SELECT CAST(count(DISTINCT label) AS INTEGER) AS optimal_k, 'silhouette' AS method, {r6('sum(s)')} AS inertia FROM spread""",
+)
+def score_ks_separated(spark, folder):
+    """The search on vectors that are far apart by label: it finds their number, and the inertia of the labels."""
+    k = table(spark, folder, "embeddings").select("label").distinct().count()
+    scores = cut_lineage(km.score_ks(_separated(spark, folder), max(2, k - 2), k + 2))
+    best = km.choose_k(scores).select("optimal_k", "method")
+    found = best.join(scores.select(F.col("k").alias("optimal_k"), "inertia"), "optimal_k")
+    return rounded(found, "inertia")
+
+
+@query(
+    "cluster_step_separated",
+    """WITH kept AS (SELECT d.doc_id, e.label, d.text FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id),
+sizes AS (SELECT label, min(doc_id) AS first_row, count(*) AS n_rows,
+  count(*) FILTER (length(trim(text, '"""
+    + WHITESPACE
+    + """')) > 0) AS message_count FROM kept GROUP BY label)
+SELECT first_row, n_rows, message_count FROM sizes""",
+)
+def cluster_step_separated(spark, folder):
+    """The whole step on separated vectors: rows of each cluster and the size its summary reports."""
+    far = F.transform(
+        F.col("embedding").cast("array<double>"), lambda x, i: x + F.when(i == F.col("cluster"), 100.0).otherwise(0.0)
+    )
+    rows = meta(spark, folder).where(F.col("embedding").isNotNull()).withColumn("embedding", far)
+    k = rows.select("cluster").distinct().count()
+    done = cluster_step(rows.drop("cluster"), "kmeans", k=k, components=None, sentiment=False, category_columns=None)
+    sizes = done.rows.groupBy("cluster").agg(F.min("row_id").alias("first_row"), F.count(F.lit(1)).alias("n_rows"))
+    reported = done.summary.select(F.col("Cluster_ID").alias("cluster"), F.col("Message_Count").alias("message_count"))
+    return sizes.join(reported, "cluster", "left").select(
+        "first_row", "n_rows", F.coalesce("message_count", F.lit(0)).alias("message_count")
+    )

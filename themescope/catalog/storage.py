@@ -5,12 +5,26 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from themescope.catalog.comparing import CONV_CLUSTERS, TWO, _counts, _grid, _sizes, _wide, _with
-from themescope.catalog.registry import CONV, SQL, conv, conv_clusters, meta, query, r6, rounded, table
+from themescope.catalog.registry import (
+    CONV,
+    SQL,
+    STOP_SQL,
+    conv,
+    conv_clusters,
+    meta,
+    query,
+    r6,
+    rounded,
+    strip_sql,
+    table,
+    words_sql,
+)
 from themescope.operators import compare, profile
 from themescope.operators.summary import by_size, cluster_summary
 from themescope.plans.report import JobMetrics, comparison_lines, run_outputs
 from themescope.plans.steps import compare_step
 from themescope.session import shared_path
+from themescope.sources.lexicon import read_lexicon
 from themescope.sources.tables import (
     load_chosen_k,
     read_outside_csv,
@@ -215,21 +229,76 @@ def report_file(spark, folder):
     return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "lexicon_scan",
+    """WITH d AS (SELECT source, lang FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL)
+SELECT DISTINCT 'whole' AS file, 'negative' AS side, source AS word FROM d
+UNION SELECT 'whole', 'positive', lang FROM d
+UNION ALL SELECT 'broken', 'negative', 'bad' UNION ALL SELECT 'broken', 'positive', 'good'""",
+)
+def lexicon_scan(spark, folder):
+    """A lexicon of the documents' sources and languages, written, read back; and one cut off in the middle."""
+    docs = table(spark, folder, "documents").where("source IS NOT NULL AND lang IS NOT NULL")
+    padded = F.concat(F.lit("  "), F.col("lang"), F.lit("\t"))  # blanks around a word do not count
+    lists = docs.agg(F.collect_set("source").alias("negative"), F.collect_set(padded).alias("positive"))
+    whole = lists.select(F.to_json(F.struct(F.struct("negative", "positive").alias("sentiment_words"))).alias("value"))
+    broken = whole.select(F.expr("left(value, length(value) DIV 2)").alias("value"))
+    found = []
+    for name, text in (("whole", whole), ("broken", broken)):
+        path = shared_path(spark, "lexicon")
+        text.coalesce(1).write.text(path)  # one line
+        words = read_lexicon(spark, path)
+        found += [(name, side, w) for side in ("negative", "positive") for w in getattr(words, side)]
+    return spark.createDataFrame(found, "file string, side string, word string")
+
+
+_NUMBER = "(SELECT count(*) FROM clusters)"
+_ROWS = {
+    "cluster_comparison": _NUMBER,
+    "clusters_with_labels": "(SELECT count(DISTINCT cluster) FROM msgs)",
+    "comparison_report": f"(SELECT count(*) FROM ({SQL['comparison_report']}))",
+    "overview_report": f"(SELECT count(*) FROM ({SQL['overview_report']}))",
+    "cluster_sizes": "(SELECT least(25, count(DISTINCT cluster)) FROM msgs)",
+    "cluster_proportions_pie": "(SELECT CASE WHEN count(DISTINCT cluster) > 10 THEN 11 ELSE count(DISTINCT cluster) END FROM msgs)",
+    "cluster_heatmap": f"least(20, {_NUMBER})",
+    "cluster_mix_stacked_bar": f"{len(TWO)} * CASE WHEN {_NUMBER} > 10 THEN 11 ELSE {_NUMBER} END",
+    "cluster_facets": f"{len(TWO)} * least(12, {_NUMBER})",
+    "cluster_treemap": _NUMBER,
+    "cluster_sankey": f"""(SELECT count(*) FROM (SELECT DISTINCT cluster, role FROM conv WHERE role IN {tuple(TWO)}
+      AND cluster IN (SELECT cluster FROM conv WHERE role IN {tuple(TWO)} GROUP BY cluster ORDER BY count(*) DESC, cluster LIMIT 20)))""",
+    "cluster_comparison_chart": f"least(15, {_NUMBER})",
+    "cluster_differences_chart": f"(SELECT count(*) FROM ({SQL['difference_chart']}))",
+    "wordcloud": f"""(SELECT sum(least(100, n)) FROM (SELECT role, count(DISTINCT word) AS n
+      FROM (SELECT role, unnest({words_sql('text')}) AS word FROM conv) WHERE word NOT IN {STOP_SQL} GROUP BY role))""",
+}
+
+
 @query(
     "output_set",
-    """SELECT name, ok FROM (SELECT unnest(['cluster_comparison', 'clusters_with_labels', 'comparison_report',
-  'overview_report', 'cluster_sizes', 'cluster_proportions_pie', 'cluster_heatmap', 'cluster_mix_stacked_bar',
-  'cluster_facets', 'cluster_treemap', 'cluster_sankey', 'cluster_comparison_chart', 'cluster_differences_chart',
-  'wordcloud']) AS name, (SELECT count(*) > 0 FROM conversations) AS ok)
-UNION ALL SELECT 'broken', false""",
+    _with(CONV, CONV_CLUSTERS, f"msgs AS (SELECT * FROM conv WHERE cluster >= 0 AND length({strip_sql('text')}) > 0)")
+    + " UNION ALL ".join(f"SELECT '{name}' AS name, true AS ok, CAST({n} AS BIGINT) AS n_rows" for name, n in _ROWS.items())
+    + " UNION ALL SELECT 'broken', false, NULL",
 )
 def output_set(spark, folder):
-    """Every output of a comparison is written; one broken item does not stop the rest."""
+    """Every output of a comparison is written and read back; one broken item does not stop the rest."""
     rows = conv(spark, folder)
     done = compare_step(rows, conv_clusters(rows), "role", TWO)
 
     def broken():
         raise RuntimeError("on purpose")
 
-    status = run_outputs(done, cluster_summary(rows), rows, shared_path(spark, "outputs"), {"broken": broken})
-    return status.select("name", "ok")
+    out = shared_path(spark, "outputs")
+    status = run_outputs(done, cluster_summary(rows), rows, out, {"broken": broken}).select("name", "ok").collect()
+    found = []
+    for name, ok in status:  # the fixed list of outputs
+        path = f"{out}/{name}"
+        if not ok:
+            n = None
+        elif name.endswith("_report"):
+            n = spark.read.text(path).count()
+        elif name in ("cluster_comparison", "clusters_with_labels"):
+            n = spark.read.csv(path, header=True, multiLine=True, escape='"').count()
+        else:
+            n = spark.read.parquet(path).count()
+        found.append((name, ok, n))
+    return spark.createDataFrame(found, "name string, ok boolean, n_rows bigint")

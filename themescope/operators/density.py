@@ -6,6 +6,8 @@ their number of copies, so a stack of copies costs one point.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -424,8 +426,8 @@ def select_clusters(tree: DataFrame) -> DataFrame:
 def _values(tree: DataFrame) -> DataFrame:
     """``(cid, parent, stability, value)``: the greater of a cluster's stability and its children's values.
 
-    Tree contraction: a round adds the values that are known to the parents (rake), and where
-    one child is missing, the value is ``max(a, x + b)`` of the value x of a cluster further
+    Tree contraction: each task first works out what depends on clusters it holds alone. Then, each
+    round, values that are known are added to the parents (rake), and where one child is missing, the value is ``max(a, x + b)`` of the value x of a cluster further
     down; such functions of functions have the same form, so a chain's steps double each
     round (compress). Rounds grow with the logarithm of the number of clusters.
     """
@@ -441,7 +443,10 @@ def _values(tree: DataFrame) -> DataFrame:
         )
     )
     while True:
-        # settle what depends on nothing or on something settled
+        state = cut_lineage(state.repartitionByRange("cid").mapInPandas(_settle_here, state.schema))
+        if state.where("value IS NULL").isEmpty():
+            return state.select("cid", "parent", "stability", "value")
+        # settle what depends on something settled
         ahead = state.select(
             F.col("cid").alias("via"), F.col("value").alias("_x"), F.col("via").alias("_via"),
             F.col("a").alias("_a"), F.col("b").alias("_b"),
@@ -476,8 +481,39 @@ def _values(tree: DataFrame) -> DataFrame:
             "value", F.col("value").isNotNull().alias("told"),
         )
         state = cut_lineage(after)
-        if state.where("value IS NULL").isEmpty():
-            return state.select("cid", "parent", "stability", "value")
+
+
+def _settle_here(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Values of clusters whose children are settled, from the leaves up as far as parents are in the same task."""
+    parts = list(batches)
+    if not parts:
+        return
+    rows = pd.concat(parts, ignore_index=True)
+    place = {c: i for i, c in enumerate(rows["cid"].tolist())}
+    up = [-1 if pd.isna(p) else place.get(int(p), -1) for p in rows["parent"].tolist()]
+    cid, stability = rows["cid"].tolist(), rows["stability"].tolist()
+    waiting, which, known = rows["open"].tolist(), rows["which"].tolist(), rows["known"].tolist()
+    value = [None if pd.isna(v) else v for v in rows["value"].tolist()]
+    told = rows["told"].tolist()
+    ready = [i for i, v in enumerate(value) if (v is None and waiting[i] == 0) or (v is not None and not told[i])]
+    while ready:
+        i = ready.pop()
+        if value[i] is None:
+            value[i] = max(stability[i], known[i])
+        above = up[i]
+        if above < 0:
+            continue
+        told[i] = True
+        if value[above] is None:
+            known[above] += value[i]
+            waiting[above] -= 1
+            which[above] ^= cid[i]
+            if waiting[above] == 0:
+                ready.append(above)
+    out = rows.assign(open=waiting, which=which, known=known, told=told)
+    out["value"] = pd.array([float("nan") if v is None else v for v in value], dtype="float64")
+    out["value"] = out["value"].astype("object").where([v is not None for v in value], None)
+    yield out
 
 
 def _topmost(kept: DataFrame) -> DataFrame:

@@ -36,12 +36,18 @@ def hashed_vectors(texts: DataFrame, width: int = HASHED_WIDTH) -> DataFrame:
         .groupBy("rep_id", slot.alias("slot"))
         .agg(F.count(F.lit(1)).cast("float").alias("n"))
         .groupBy("rep_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("_slots"))
+        .agg(F.array_sort(F.collect_list(F.struct("slot", "n"))).alias("_slots"))
     )
-    vector = F.transform(
-        F.sequence(F.lit(0), F.lit(width - 1)),
-        lambda i: F.coalesce(F.try_element_at("_slots", i), F.lit(0.0).cast("float")),
+    zero = F.lit(0.0).cast("float")
+    # slots in order: the zeros between two of them, then the count
+    between = F.transform(
+        "_slots",
+        lambda e, i: F.concat(
+            F.array_repeat(zero, e["slot"] - F.coalesce(F.get("_slots", i - 1)["slot"], F.lit(-1)) - 1), F.array(e["n"])
+        ),
     )
+    after = F.lit(width - 1) - F.element_at("_slots", -1)["slot"]
+    vector = F.concat(F.flatten(between), F.array_repeat(zero, after))
     empty = F.array_repeat(F.lit(0.0).cast("float"), width)
     return texts.join(counts, "rep_id", "left").select(
         "rep_id",

@@ -24,16 +24,27 @@ def word_rows(rows: DataFrame, keep: list[str], text_col: str = "text") -> DataF
     return rows.select(*keep, F.explode(words(F.col(text_col))).alias("word"))
 
 
-def _pruned(held: dict, counters: int) -> int:
-    """Misra-Gries step on {word: [count, first row]}: what all counts lose so that ``counters`` words are left."""
-    if len(held) <= counters:
-        return 0
-    loss = sorted((c[0] for c in held.values()), reverse=True)[counters]
-    for word in [w for w, c in held.items() if c[0] <= loss]:
-        del held[word]
-    for count in held.values():
-        count[0] -= loss
-    return loss
+def _merged(tables: list[pa.Table]) -> pa.Table:
+    """(by, word, n, row_id) with one line for each by and word."""
+    every = pa.concat_tables(tables)
+    merged = every.group_by(["by", "word"]).aggregate([("n", "sum"), ("row_id", "min")])
+    return merged.select(["by", "word", "n_sum", "row_id_min"]).rename_columns(["by", "word", "n", "row_id"])
+
+
+def _pruned(table: pa.Table, counters: int) -> tuple[pa.Table, dict]:
+    """Misra-Gries step: ``counters`` words a ``by`` are left, and what all counts of a ``by`` lose for that."""
+    sizes = table.group_by("by").aggregate([("word", "count")])
+    wide = sizes.filter(pc.greater(sizes.column("word_count"), counters)).column("by").to_pylist()
+    lost: dict = {}
+    for by in wide:
+        mine = pc.is_null(table.column("by")) if by is None else pc.fill_null(pc.equal(table.column("by"), by), False)
+        own, rest = table.filter(mine), table.filter(pc.invert(mine))
+        n = own.column("n").to_numpy()
+        loss = int(np.partition(n, len(n) - counters - 1)[len(n) - counters - 1])
+        left = own.filter(pa.array(n > loss))
+        left = left.set_column(2, "n", pc.subtract(left.column("n"), loss))
+        table, lost[by] = pa.concat_tables([rest, left]), loss
+    return table, lost
 
 
 def _summaries(listed: DataFrame, kind: str, counters: int) -> DataFrame:
@@ -43,47 +54,40 @@ def _summaries(listed: DataFrame, kind: str, counters: int) -> DataFrame:
     """
 
     def summarise(batches):
-        held: dict = {}
+        held: list[pa.Table] = []
         lost: dict = {}
-
-        def lines():
-            for by, found in held.items():
-                lost[by] = lost.get(by, 0) + _pruned(found, counters)
-            every = [(by, w, c[0], c[1], 0) for by, found in held.items() for w, c in found.items()]
-            every += [(by, None, 0, None, n) for by, n in lost.items() if n]
-            held.clear()
+        by_kind, size, settled = None, 0, 0
+
+        def prune():
+            table, more = _pruned(_merged(held), counters)
+            for by, loss in more.items():
+                lost[by] = lost.get(by, 0) + loss
+            return table
+
+        def lines(table):
+            yield from table.append_column("lost", pa.array(np.zeros(len(table), np.int64))).combine_chunks().to_batches()
+            many = len(lost)
+            empty = [pa.nulls(many, pa.string()), pa.array([0] * many, pa.int64()), pa.nulls(many, pa.int64())]
+            arrays = [pa.array(list(lost), by_kind), *empty, pa.array(list(lost.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["by", "word", "n", "row_id", "lost"])
             lost.clear()
-            for at in range(0, len(every), 65536):
-                part = every[at : at + 65536]
-                types = [kinds, pa.string(), pa.int64(), pa.int64(), pa.int64()]
-                arrays = [pa.array([r[i] for r in part], t) for i, t in enumerate(types)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["by", "word", "n", "row_id", "lost"])
 
-        kinds = None
         for batch in batches:
-            kinds = batch.schema.field(0).type
-            lists = batch.column(2)
+            by_kind, lists = batch.schema.field(0).type, batch.column(2)
             sizes = pc.fill_null(pc.list_value_length(lists), 0)
-            at = np.repeat(np.arange(batch.num_rows), sizes.to_numpy())
-            table = pa.table(
-                {"by": batch.column(0).take(pa.array(at)), "row_id": batch.column(1).take(pa.array(at)), "word": lists.flatten()}
-            )
-            counted = table.group_by(["by", "word"]).aggregate([("word", "count"), ("row_id", "min")])
-            for by, word, n, row in zip(*(counted.column(c).to_pylist() for c in ("by", "word", "word_count", "row_id_min")), strict=True):
-                found = held.setdefault(by, {})
-                old = found.get(word)
-                if old is None:
-                    found[word] = [n, row]
-                else:
-                    old[0] += n
-                    old[1] = min(old[1], row)
-            for by, found in held.items():
-                if len(found) > 2 * counters:
-                    lost[by] = lost.get(by, 0) + _pruned(found, counters)
-            if len(held) > max(1, _HELD // counters):
-                yield from lines()
-        if held or lost:
-            yield from lines()
+            at = pa.array(np.repeat(np.arange(batch.num_rows), sizes.to_numpy()))
+            ones = pa.array(np.ones(len(at), np.int64))
+            words_ = {"by": batch.column(0).take(at), "word": lists.flatten(), "n": ones, "row_id": batch.column(1).take(at)}
+            held.append(_merged([pa.table(words_)]))
+            size += len(held[-1])
+            if size > 2 * settled + 100_000:  # most words have been seen before
+                held[:] = [prune()]
+                size = settled = len(held[0])
+                if size > max(_HELD, 2 * counters):
+                    yield from lines(held.pop())
+                    size = settled = 0
+        if held:
+            yield from lines(prune())
 
     return listed.mapInArrow(summarise, f"by {kind}, word string, n long, row_id long, lost long")
 

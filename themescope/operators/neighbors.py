@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from themescope.operators.rows import first_in_group, hash_sample
+from themescope.operators.rows import first_in_group, seeded_hash
 from themescope.session import cut_lineage
 
 BLOCK_ROWS = 2048
@@ -77,7 +77,8 @@ def build_index(
     total = points.count()
     block_rows = max(block_rows or BLOCK_ROWS, -(-total // MAX_BLOCKS))
     wanted = pivots or min(MAX_PIVOTS, max(1, total // (block_rows // 2 or 1)))
-    chosen = hash_sample(points, "id", wanted).orderBy("id").limit(wanted).collect()
+    # the rows of least hash; each task passes on as many
+    chosen = points.orderBy(seeded_hash(F.col("id"), 42)).limit(wanted).collect()
     centre = np.array([r["vec"] for r in chosen], dtype=np.float64)
     shared = spark.sparkContext.broadcast(centre)
 
@@ -126,9 +127,9 @@ def build_index(
             F.max("radius").alias("outer"),
             F.count(F.lit(1)).alias("n"),
         )
-        .orderBy("cell", "block")
         .collect()  # one line per block, at most about MAX_BLOCKS and one for each pivot and task
     )
+    table.sort(key=lambda r: (r["cell"], r["block"]))
     return Index(
         placed.select("id", "vec", "block", "group"),
         centre,
@@ -397,16 +398,14 @@ def _match(routed: DataFrame, points: DataFrame, shared, k: int, metric: str) ->
     A group that many queries visit is copied, so that no task gets more than about
     QUERY_ROWS of them.
     """
-    visits = routed.select(F.explode("groups").alias("group")).groupBy("group").count()
-    copies = visits.select("group", F.ceil(F.col("count") / F.lit(QUERY_ROWS)).cast("int").alias("_copies"))
-    asking = (
-        routed.select("qid", "vec", "core", "comp", "bound", F.explode("groups").alias("group"))
-        .join(copies, "group")
-        .withColumn("copy", F.pmod(F.xxhash64("qid"), F.col("_copies")).cast("int"))
-    )
-    holding = points.join(copies, "group").withColumn(
-        "copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))
-    )
+    visits = routed.select(F.explode("groups").alias("group")).groupBy("group").count().collect()  # a line a group
+    many = [(r["group"], -(-r["count"] // QUERY_ROWS)) for r in visits if r["count"] > QUERY_ROWS]
+    copies = F.coalesce(F.col("_copies"), F.lit(1))
+    table = routed.sparkSession.createDataFrame(many or [(None, 1)], "group bigint, _copies int")
+    asking = routed.select("qid", "vec", "core", "comp", "bound", F.explode("groups").alias("group"))
+    asking = asking.join(table, "group", "left").withColumn("copy", F.pmod(F.xxhash64("qid"), copies).cast("int"))
+    # groups that nobody visits find no partner in the cogroup; their points stay in one copy
+    holding = points.join(table, "group", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
 
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
         def columns(table: pa.Table, names: tuple[str, ...]) -> dict[str, np.ndarray]:
