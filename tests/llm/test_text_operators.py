@@ -271,6 +271,68 @@ def test_thresholds_keep_the_promised_share_of_good_texts(spark):
     assert kept.where("symbol_share > cutoff AND doc_id % 10 = 0").count() == 400
 
 
+def plain_cutoffs(table, good):
+    """The certified cutoffs of rows (doc_id, stratum, signals) by a walk over the steps."""
+    import hashlib
+    from math import comb
+
+    tables = {}
+    for doc_id, stratum, values in table:
+        if doc_id in good:
+            picks = int(hashlib.md5(str(doc_id).encode()).hexdigest()[:8], 16) % 3 == 0
+            tables.setdefault(stratum, ([], []))[not picks].append(values)
+    usable = {s: t for s, t in tables.items() if t[0] and t[1]}
+    out = {}
+    for stratum, (picking, testing) in usable.items():
+        worth = {}
+        for r, cuts in rules.RULES.items():
+            lax_first = sorted(cuts, reverse=True)
+            fine = [k for k, c in enumerate(lax_first) if sum(v[r] > c for v in picking) <= rules.ALPHA / len(rules.RULES) * len(picking)]
+            if fine:
+                worth[r] = lax_first[: max(fine) + 1]
+        best = None
+        for step in range(max(map(len, rules.RULES.values()))):
+            now = {r: cuts[min(step, len(cuts) - 1)] for r, cuts in worth.items()}
+            n, x = len(testing), sum(any(v[r] > c for r, c in now.items()) for v in testing)
+            p = sum(comb(n, i) * rules.ALPHA**i * (1 - rules.ALPHA) ** (n - i) for i in range(x + 1))
+            if x >= n * rules.ALPHA or p > rules.DELTA / len(usable):
+                break
+            best = now
+        out |= {(stratum, r): c for r, c in (best or {}).items()}
+    return out
+
+
+def drawn_signals(draw, lang, many, first):
+    """Good texts: mostly low signals, now and then a high one; languages differ."""
+    shift = {"en": 0.0, "de": 1.5, "fr": 0.5, "": 0.2}[lang]
+    rows = []
+    for k in range(many):
+        odd = draw.random() < 0.004
+        values = {
+            "symbol_share": draw.choice([0.0, 0.0, 0.004]) + 0.3 * odd, "repeat_share": draw.uniform(0, 0.04),
+            "dup_line_share": draw.choice([0.0] * 40 + [0.12]), "capital_share": draw.uniform(0.01, 0.07),
+            "word_length": draw.gauss(5 + shift, 0.6), "word_shortness": -draw.gauss(5 + shift, 0.6),
+        }
+        rows.append((first + k, lang, values))
+    return rows
+
+
+def test_cutoffs_are_certified_in_strata_of_a_few_hundred(spark):
+    draw = random.Random(21)
+    table = [r for k, lang in enumerate(["en", "de", "fr", ""]) for r in drawn_signals(draw, lang, 420, 1000 * k)]
+    table += [(9000 + k, "xx", table[0][2]) for k in range(40)]  # too few to certify
+    frame = spark.createDataFrame([(i, s or None, *v.values()) for i, s, v in table], f"doc_id bigint, lang string, {', '.join(f'{r} double' for r in rules.RULES)}")
+    labels = frame.selectExpr("doc_id", "CASE WHEN doc_id % 50 = 7 THEN 0 ELSE 1 END AS quality")
+    got = {(r["stratum"], r["rule"]): r["cutoff"] for r in rules.cutoffs(frame, labels).collect()}
+    assert got == plain_cutoffs(table, {r[0] for r in table if r[0] % 50 != 7})
+    assert {s for s, _ in got} == {"en", "de", "fr", ""} and len(got) >= 16
+    # new good texts of the same kind: no stratum loses more than promised
+    for lang in ("en", "de", "fr", ""):
+        fresh = drawn_signals(draw, lang, 20_000, 0)
+        lost = sum(any(v[r] > got.get((lang, r), float("inf")) for r in v) for _, _, v in fresh)
+        assert lost <= 20_000 * rules.ALPHA
+
+
 # --- classifiers --------------------------------------------------------
 
 

@@ -1,12 +1,16 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
 Each rule rejects a text whose signal lies above a cutoff. Labelled texts of good quality
-are the holdout: for a stratum (language) with n good texts of which a cutoff rejects x, the
-cutoff is certified if an exact binomial test rules out a false-rejection rate above
-``ALPHA`` / number of rules, P[Bin(n, a) <= x] <= ``DELTA`` / number of tests (all rules,
-cutoffs and strata; Bonferroni). The least certified cutoff is used. By the union bound a
-stratum loses at most ALPHA of its good texts, with probability 1 - DELTA over all strata
-at once. Where nothing can be certified the rule is off, also in strata without labels.
+are the holdout, by stratum (language). A third of them, chosen by hash, picks for each rule the
+strictest cutoff worth trying, one that rejects at most ``ALPHA`` / number of rules of them (a
+rule without one is off). The others certify: step s has every rule at its s-th cutoff from the lax
+end, or at its strictest worth trying; with n texts of which the rules together reject x, an
+exact binomial test must rule out a false-rejection rate above ``ALPHA``,
+P[Bin(n, ALPHA) <= x] <= ``DELTA`` / number of strata (Bonferroni). Steps are tested in this fixed
+order up to the first failure, which takes no correction for their number; the last certified
+step is used. So with probability 1 - DELTA no stratum loses more than ALPHA of its good texts. A
+step that rejects none is certified by about 144 good texts in each of four strata (216 with those
+that pick). Where nothing can be certified the rules are off, also in strata without labels.
 
 Signals are computed once, within each row, and written as a narrow table; counts per
 stratum and cutoff add up before the shuffle, and the table of cutoffs has at most one row
@@ -35,7 +39,7 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 _BLANKS = " \t\n\x0b\f\r"
 _SYMBOLS = "#*$%&|<>"
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Signals and the cutoffs that are tried, from strict to lax.
+#: Signals and the cutoffs that are tried.
 RULES = {
     "symbol_share": [0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.2],
     "repeat_share": [0.02, 0.05, 0.08, 0.1, 0.12, 0.15],
@@ -122,8 +126,18 @@ def binomial_tail(x: Column, n: Column, a: float) -> Column:
     return F.when(x >= n * a, F.lit(1.0)).otherwise(F.least(F.exp(log_first) * (total["s"] + rest), F.lit(1.0)))
 
 
+def _picks(doc_id: Column) -> Column:
+    """Whether a labelled text is of the third that picks cutoffs."""
+    return F.conv(F.substring(F.md5(doc_id.cast("string")), 1, 8), 16, 10).cast("long") % 3 == 0
+
+
+def _first_rejecting(rule: str) -> Column:
+    """Which cutoff, from the lax end, is the first to reject a row."""
+    return sum((F.when(F.col(rule) <= c, 1).otherwise(0) for c in RULES[rule]), F.lit(0))
+
+
 def cutoffs(rows: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """``(stratum, rule, cutoff)``: the least certified cutoff; rules without one are absent.
+    """``(stratum, rule, cutoff)``: the cutoffs of the last certified step; rules that are off are absent.
 
     ``rows`` holds doc_id, the stratum and the signals; ``labels`` (doc_id, quality).
     """
@@ -131,27 +145,40 @@ def cutoffs(rows: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: fl
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
         .groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
     )
-    held = rows.join(good, "doc_id").withColumn("stratum", F.coalesce(F.col(stratum), F.lit("")))
-    counts = [
-        F.sum(F.when(F.col(r) > c, 1).otherwise(0)).alias(f"{r}__{k}") for r, cs in RULES.items() for k, c in enumerate(cs)
+    first = [_first_rejecting(r).alias(f"f_{r}") for r in RULES]
+    held = cut_lineage(
+        rows.join(good, "doc_id").select(F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), _picks(F.col("doc_id")).alias("picks"), *first)
+    )
+    # the strictest cutoff of each rule worth trying, by its place from the lax end; -1 for none
+    n = F.count("*")
+    worth = [
+        F.greatest(
+            *[F.when(F.sum((F.col(f"f_{r}") <= k).cast("long")) <= alpha / len(RULES) * n, k).otherwise(-1) for k in range(len(cs))], F.lit(-1)
+        ).alias(f"t_{r}")
+        for r, cs in RULES.items()
     ]
-    tests = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"`{r}__{k}`").cast("long").alias("x"))
-                for r, cs in RULES.items()
-                for k, c in enumerate(cs)
-            ]
-        )
+    picked = held.where("picks").groupBy("stratum").agg(*worth)  # one row a stratum
+    # the step from which on the rules reject a text
+    step = F.least(*[F.when(F.col(f"f_{r}") <= F.col(f"t_{r}"), F.col(f"f_{r}")) for r in RULES], F.lit(len(max(RULES.values(), key=len))))
+    counts = cut_lineage(
+        held.where("NOT picks").join(picked, "stratum").groupBy("stratum", *[f"t_{r}" for r in RULES])
+        .agg(n.alias("n"), *[F.sum((step <= k).cast("long")).alias(f"x_{k}") for k in range(len(max(RULES.values(), key=len)))])
+    )
+    level = delta / max(1, counts.count())
+    certified = F.greatest(
+        *[
+            F.when(binomial_tail(F.col(f"x_{k}"), F.col("n"), alpha) <= level, k).otherwise(-1)
+            for k in range(len(max(RULES.values(), key=len)))
+        ]
+    )  # rejections only grow with the steps: the last that passes comes before the first failure
+    chosen = F.array(
+        *[
+            F.struct(F.lit(r).alias("rule"), F.get(F.array(*map(F.lit, sorted(cs, reverse=True))), F.least("last", f"t_{r}")).alias("cutoff"))
+            for r, cs in RULES.items()
+        ]
     )
-    each = cut_lineage(held.groupBy("stratum").agg(F.count("*").alias("n"), *counts))  # one row a stratum
-    n_tests = max(1, each.count() * sum(map(len, RULES.values())))
     return (
-        each.select("stratum", "n", tests.alias("t"))
-        .select("stratum", "n", "t.*")
-        .where(binomial_tail(F.col("x"), F.col("n"), alpha / len(RULES)) <= delta / n_tests)
-        .groupBy("stratum", "rule")
-        .agg(F.min("cutoff").alias("cutoff"))
+        counts.withColumn("last", certified).where("last >= 0").select("stratum", F.inline(chosen)).where("cutoff IS NOT NULL")
     )
 
 

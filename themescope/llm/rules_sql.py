@@ -5,9 +5,9 @@ from __future__ import annotations
 from themescope.llm.rules import ALPHA, DELTA, RULES
 
 _SPACE = r"[\x20\x09-\x0D]+"
-_TESTS = ", ".join(f"('{r}', {float(c)!r})" for r, cs in RULES.items() for c in cs)
 _SIGNALS = "\n    UNION ALL ".join(f"SELECT doc_id, stratum, '{r}' AS rule, {r} AS v FROM s" for r in RULES)
-_A = ALPHA / len(RULES)
+_CUTS = ", ".join(f"('{r}', {k}, {float(c)!r})" for r, cs in RULES.items() for k, c in enumerate(sorted(cs, reverse=True)))
+_STEPS = max(map(len, RULES.values()))
 
 
 def _count(text: str, characters: str) -> str:
@@ -42,18 +42,32 @@ s AS (
          word_chars / greatest(n_words, 1) AS word_length, -word_chars / greatest(n_words, 1) AS word_shortness
   FROM c),
 v AS ({_SIGNALS}),
-tests(rule, cutoff) AS (VALUES {_TESTS}),
+cuts(rule, k, cutoff) AS (VALUES {_CUTS}),
 good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+firsts AS (
+  SELECT doc_id, stratum, rule, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 3 = 0 AS picks,
+         count(*) FILTER (v <= cutoff) AS f
+  FROM v JOIN good USING (doc_id) JOIN cuts USING (rule) GROUP BY doc_id, stratum, rule),
+tried AS (
+  SELECT stratum, rule, k, count(*) AS n, count(*) FILTER (f <= k) AS x
+  FROM firsts JOIN cuts USING (rule) WHERE picks GROUP BY stratum, rule, k),
+worth AS (SELECT stratum, rule, coalesce(max(k) FILTER (x <= {ALPHA / len(RULES)!r} * n), -1) AS t FROM tried GROUP BY stratum, rule),
+stepped AS (
+  SELECT doc_id, stratum, coalesce(min(f) FILTER (f <= t), {_STEPS}) AS step
+  FROM firsts JOIN worth USING (stratum, rule) WHERE NOT picks GROUP BY doc_id, stratum),
 each AS (
-  SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (v > cutoff) AS x
-  FROM v JOIN good USING (doc_id) JOIN tests USING (rule) GROUP BY stratum, rule, cutoff),
+  SELECT stratum, s AS step, count(*) AS n, count(*) FILTER (step <= s) AS x
+  FROM stepped CROSS JOIN (SELECT unnest(range(0, {_STEPS})) AS s) GROUP BY stratum, s),
 tail AS (
-  SELECT stratum, rule, cutoff, n, x, sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0)
-           + i * ln({_A!r}) + (n - i) * ln(1 - {_A!r}))) AS p
-  FROM (SELECT *, unnest(range(0, x + 1)) AS i FROM each) GROUP BY stratum, rule, cutoff, n, x),
+  SELECT stratum, step, n, x, sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0)
+           + i * ln({ALPHA!r}) + (n - i) * ln(1 - {ALPHA!r}))) AS p
+  FROM (SELECT *, unnest(range(0, x + 1)) AS i FROM each) GROUP BY stratum, step, n, x),
+last AS (
+  SELECT stratum, max(step) AS step FROM tail
+  WHERE x < n * {ALPHA!r} AND p <= {DELTA!r} / (SELECT count(DISTINCT stratum) FROM each) GROUP BY stratum),
 cut AS (
-  SELECT stratum, rule, min(cutoff) AS cutoff FROM tail
-  WHERE x < n * {_A!r} AND p <= {DELTA!r} / (SELECT count(*) FROM each) GROUP BY stratum, rule),
+  SELECT stratum, rule, cutoff FROM last JOIN worth USING (stratum) JOIN cuts USING (rule)
+  WHERE t >= 0 AND k = least(step, t)),
 bad AS (SELECT DISTINCT doc_id FROM v JOIN cut USING (stratum, rule) WHERE v > cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
