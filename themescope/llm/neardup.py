@@ -18,7 +18,7 @@ with s different shingles a text, s / 2**BITS of all texts (0.2 % at 500).
    their own: a pair at 0.8 of either shares none of that half's 16 in 1 of 97,000 cases.
 3. *Stars.* Texts with the same shingles are one node from here on. A bucket's centre is the node
    that meets most others in all its buckets. In a round each node is compared with one centre, the
-   best-connected of those of its buckets, unless they share a class; the next round takes other
+   one that most of its buckets have, unless they share a class; the next round takes other
    centres. Linked groups, however large, take one comparison a node and round.
 4. *Rest.* Where a bucket still holds several classes, the nodes outside its largest class
    are compared with the others, block against block, so a task holds two blocks of
@@ -53,7 +53,7 @@ BITS = 18
 GRAIN = 0.25
 LEVELS = 48
 ENTRIES = 1 << 15
-STARS = 2
+STARS = 4
 BLOCK = 200
 
 
@@ -337,7 +337,7 @@ def find_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     near: how many nodes a node meets in all its buckets. The best-connected node of a bucket
     is its centre, so that buckets of one family tend to have the same.
     """
-    found, label, centres = None, None, None
+    found, label, centres, held = None, None, None, None
     for _ in range(STARS):
         rows = cut_lineage(_open(_classed(members, label)))
         free = rows if centres is None else rows.join(centres.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti")
@@ -345,15 +345,21 @@ def find_links(members: DataFrame, sets: DataFrame) -> DataFrame:
             free.groupBy("bucket").agg(F.max_by(F.struct("node", "comp", "near"), F.struct("near", "node")).alias("c"))
             .select("bucket", F.col("c.node").alias("a"), F.col("c.comp").alias("ac"), F.col("c.near").alias("reach"))
         )
-        best = F.max_by("a", F.struct("reach", "a")).alias("a")
-        pairs = cut_lineage(
-            rows.join(centre, "bucket").where("comp <> ac").groupBy(F.col("node").alias("b")).agg(best).select("a", "b")
-        )
+        met = rows.join(centre, "bucket").where("comp <> ac")
+        # of the centres of its buckets, a node asks the one with which it shares most of them
+        often = met.groupBy(F.col("node").alias("b"), "a").agg(F.count("*").alias("n"), F.max("reach").alias("reach"))
+        best = F.max_by("a", F.struct("n", "reach", "a")).alias("a")
+        pairs = cut_lineage(often.groupBy("b").agg(best).select("a", "b"))
+        # a centre that every other class of its bucket has asked is done there
+        asked = pairs.select(F.col("b").alias("node"), F.col("a").alias("asked"))
+        missed = met.join(asked, "node").groupBy("bucket").agg(F.max(F.col("asked") != F.col("a")).alias("missed"))
+        done = centre.join(missed.where("missed").select("bucket"), "bucket", "left_anti").select("bucket", F.col("a").alias("node"))
+        members = cut_lineage(rows.join(done, ["bucket", "node"], "left_anti").select("bucket", "node", "near"))
         links = cut_lineage(linked(pairs, sets))
         both = links if found is None else cut_lineage(found.union(links))
         after = components(both)
-        release(rows, pairs, *(t for t in (found, label, centres) if t is not None), *([links] if both is not links else []))
-        found, label, centres = both, after, centre
+        release(rows, pairs, *(t for t in (found, label, centres, held) if t is not None), *([links] if both is not links else []))
+        found, label, centres, held = both, after, centre, members
     rows = cut_lineage(_open(_classed(members, label)))
     sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     most = cut_lineage(
@@ -387,7 +393,7 @@ def find_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     left, right = (side.join(sets, "node").select(*[F.col(c).alias(c) for c in columns]) for side in (outer, inner))
     rest = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "a long, b long")
     every = cut_lineage(found.union(rest).distinct())
-    release(rows, most, found, label, centres)
+    release(rows, most, found, label, centres, held)
     return every
 
 
