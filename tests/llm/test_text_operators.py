@@ -350,17 +350,42 @@ def test_toxicity_learns_and_ignores_identity_terms(spark):
     docs, labels = labelled(spark)
     got = toxicity.predict(docs, labels).join(labels, "doc_id").where("held_out").collect()
     assert sum(r["predicted"] == r["toxic"] for r in got) / len(got) > 0.97
-    # a neutral term that only happens to stand in toxic texts
-    terms = ("women", "men")
-    texts = [set(f"w{i % 50} {'scum' if i % 2 else 'nice'} {terms[0] if i % 2 else 'people'}".encode().split()) for i in range(400)]
-    plain = [toxicity.features(t) for t in texts]
+
+
+def test_swaps_are_made_sentence_by_sentence():
+    swaps = toxicity._swaps()
+    text = "She was here. Nothing else!\nDie Frau und der Mann. Él y las mujeres".encode()
+    made = toxicity.counterfactuals(text, swaps)
+    assert ({b"she", b"was", b"here"}, {b"he", b"was", b"here"}) in made
+    assert any("mann".encode() in b and "frau".encode() not in b for a, b in made if "frau".encode() in a)
+    spanish = [b for a, b in made if "mujeres".encode() in a]
+    assert any("hombres".encode() in b for b in spanish)
+    assert not any(b"nothing" in a for a, _ in made) and toxicity.counterfactuals(b"", swaps) == []
+
+
+def test_the_penalty_spares_neutral_mentions():
+    """Terms that only happen to stand in toxic texts, in four languages: held-out neutral texts with them."""
+    draw = random.Random(5)
+    terms = ("women", "frauen", "femmes", "mujeres")
+
+    def text(toxic, term):
+        ws = [f"w{draw.randint(0, 60)}" for _ in range(12)] + ["scum" if toxic and draw.random() < 0.5 else "nice"]
+        return " ".join(ws) + f". The {term} went home"
+
+    data = [(text(i % 2, terms[i % 8 // 2] if i % 2 or draw.random() < 0.1 else f"w{draw.randint(0, 60)}"), i % 2) for i in range(600)]
     swaps = toxicity._swaps()
-    other = [toxicity.features({swaps.get(w, w) for w in t}) if swaps.keys() & t else None for t in texts]
-    label, weight = np.array([i % 2 for i in range(400)], float), np.ones(400)
-    neutral = {b"women", b"w1", b"hello"}
-    free = toxicity.fit(plain, other, label, weight, penalty=0.0).score(neutral, {})
-    held = toxicity.fit(plain, other, label, weight, penalty=50.0).score(neutral, {})
-    assert held < free
+    raw = [t.encode() for t, _ in data]
+    found = [toxicity.counterfactuals(x, swaps) for x in raw]
+    pairs = toxicity.Pairs(
+        np.array([i for i, f in enumerate(found) for _ in f], np.int64),
+        [toxicity.features(a) for f in found for a, _ in f], [toxicity.features(b) for f in found for _, b in f],
+    )
+    plain = [toxicity.features(set(license.words(x))) for x in raw]
+    label, weight = np.array([y for _, y in data], float), np.ones(len(data))
+    neutral = [set(license.words(text(False, term).encode())) for term in terms for _ in range(50)]
+    free, held = (toxicity.fit(plain, pairs, label, weight, penalty=k) for k in (0.0, 50.0))
+    wrong = [sum(m.score(x, {}) >= 0.5 for x in neutral) for m in (free, held)]
+    assert wrong[1] < 0.5 * wrong[0]
 
 
 def test_classifiers_on_odd_and_empty_input(spark):

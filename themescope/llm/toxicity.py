@@ -1,10 +1,11 @@
 """Toxicity classifier with counterfactual regularisation.
 
 Features are the different words of a text and their beginnings, hashed. The loss is the
-logistic loss plus ``PENALTY`` times the squared change of the score when an identity term
-of a labelled text is swapped for another term of its group, plus a ridge. A term that only
-tends to stand in toxic texts thus gets no weight of its own, and neutral mentions of a
-group are not rejected.
+logistic loss plus ``PENALTY`` times the squared change of a sentence's score when an identity
+term in it is swapped for another of its group, plus a ridge. Every sentence of a labelled text
+that holds a term (in the languages of IDENTITY) is swapped with up to SWAPS others for each of its terms;
+a text's swaps share its weight. A term that only tends to stand in toxic texts thus gets no
+weight of its own, and neutral mentions of a group are not rejected.
 
 Learning uses a bounded sample of labelled rows: of each label about ``SAMPLE_ROWS`` rows of
 least id hash, weighted to the shares of all labelled rows. Its features (a few MB) are
@@ -17,6 +18,7 @@ of an id count as their largest; repeated rows score alike.
 
 from __future__ import annotations
 
+import re
 import zlib
 from typing import NamedTuple
 
@@ -39,7 +41,9 @@ PENALTY = 1.0
 RIDGE = 2e-3
 STEPS = 200
 THRESHOLD = 0.3
-#: Identity terms; those of a line stand for each other.
+#: Other terms that a term is swapped for, the next ones of its group.
+SWAPS = 3
+#: Identity terms of English, German, French and Spanish; those of a group stand for each other.
 IDENTITY = (
     ("women", "men", "girls", "boys", "trans", "nonbinary"),
     ("woman", "man", "girl", "boy"),
@@ -50,14 +54,38 @@ IDENTITY = (
     ("black", "white", "asian", "latino", "african", "european"),
     ("immigrants", "refugees", "natives", "citizens"),
     ("blind", "deaf", "disabled", "old", "young"),
+    ("frauen", "männer", "mädchen", "jungen"), ("frau", "mann"), ("sie", "er"), ("ihre", "seine"),
+    ("muslime", "christen", "juden", "buddhisten", "atheisten"),
+    ("schwul", "lesbisch", "bisexuell", "heterosexuell"),
+    ("schwarze", "weiße", "asiatische", "europäische"),
+    ("einwanderer", "flüchtlinge", "einheimische"), ("türken", "polen", "russen", "deutsche"),
+    ("femmes", "hommes", "filles", "garçons"), ("femme", "homme", "fille", "garçon"), ("elle", "il"), ("elles", "ils"),
+    ("musulmans", "chrétiens", "juifs", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques", "arabes"), ("immigrés", "réfugiés", "autochtones"),
+    ("mujeres", "hombres", "niñas", "niños"), ("mujer", "hombre", "niña", "niño"), ("ella", "él"), ("ellas", "ellos"),
+    ("musulmanes", "cristianos", "judíos", "budistas", "ateos"),
+    ("negros", "blancas", "asiáticos", "latinos"), ("inmigrantes", "refugiados", "nativos"),
 )
+_SENTENCE = re.compile(rb"[.!?\n]+")
 
 
-def _swaps() -> dict[bytes, bytes]:
-    out = {}
+def _swaps() -> dict[bytes, list[bytes]]:
+    """The terms that each term is swapped for."""
+    out: dict[bytes, list[bytes]] = {}
     for group in IDENTITY:
         for i, term in enumerate(group):
-            out[term.encode()] = group[(i + 1) % len(group)].encode()
+            others = [group[(i + k) % len(group)].encode() for k in range(1, min(SWAPS, len(group) - 1) + 1)]
+            out.setdefault(term.encode(), []).extend(others)
+    return out
+
+
+def counterfactuals(text: bytes, swaps: dict[bytes, list[bytes]]) -> list[tuple[set[bytes], set[bytes]]]:
+    """Words of each sentence that holds an identity term, as they are and with the term swapped."""
+    out = []
+    for sentence in _SENTENCE.split(text):
+        plain = set(words(sentence))
+        for term in sorted(plain & swaps.keys()):
+            out += [(plain, (plain - {term}) | {other}) for other in swaps[term]]
     return out
 
 
@@ -91,7 +119,15 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(rows: list[np.ndarray], swapped: list[np.ndarray | None], label: np.ndarray, weight: np.ndarray, penalty: float = PENALTY) -> Model:
+class Pairs(NamedTuple):
+    """Swapped sentences: the labelled text each is from, and its features before and after."""
+
+    text: np.ndarray
+    before: list[np.ndarray]
+    after: list[np.ndarray]
+
+
+def fit(rows: list[np.ndarray], pairs: Pairs, label: np.ndarray, weight: np.ndarray, penalty: float = PENALTY) -> Model:
     """Full-batch Adam on features that stand in LEAST_TEXTS texts and more."""
     texts = np.bincount(np.concatenate(rows) if rows else [], minlength=1 << BITS)
     kept = np.flatnonzero(texts >= min(LEAST_TEXTS, max(1, len(rows) // 4)))
@@ -109,9 +145,9 @@ def fit(rows: list[np.ndarray], swapped: list[np.ndarray | None], label: np.ndar
     uneven = np.log((toxic + 1) / (n1 + 2)) - np.log((texts - toxic + 1) / (n0 + 2))
     uneven = uneven[kept]
     columns, row = matrix(rows)
-    pairs = [i for i, s in enumerate(swapped) if s is not None]
-    columns2, row2 = matrix([swapped[i] for i in pairs])
-    first = np.array(pairs, np.int64)
+    n = len(pairs.text)
+    (old, old_row), (new, new_row) = matrix(pairs.before), matrix(pairs.after)
+    share = penalty * weight[pairs.text] / np.bincount(pairs.text, minlength=len(rows))[pairs.text]
     w, b = np.zeros(len(kept)), float(np.log(max(weight[label == 1].sum(), 1e-9) / max(weight[label == 0].sum(), 1e-9)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     total = weight.sum()
@@ -121,14 +157,14 @@ def fit(rows: list[np.ndarray], swapped: list[np.ndarray | None], label: np.ndar
         p = _sigmoid(z)
         push = weight * (p - label) / total
         gradient = np.zeros(len(kept))
-        if pairs:
-            q = _sigmoid(np.bincount(row2, scaled[columns2], len(pairs)) + b)
-            change = 2 * penalty * weight[first] * (p[first] - q) / total
-            push = push.copy()
-            np.add.at(push, first, change * p[first] * (1 - p[first]))
-            gradient -= np.bincount(columns2, (change * q * (1 - q))[row2], len(kept))
-        gradient = (gradient + np.bincount(columns, push[row], len(kept))) * uneven + RIDGE * w
         bias = push.sum()
+        if n:
+            p, q = (_sigmoid(np.bincount(at, scaled[c], n) + b) for c, at in ((old, old_row), (new, new_row)))
+            change = 2 * share * (p - q) / total
+            up, down = change * p * (1 - p), change * q * (1 - q)
+            gradient += np.bincount(old, up[old_row], len(kept)) - np.bincount(new, down[new_row], len(kept))
+            bias += up.sum() - down.sum()
+        gradient = (gradient + np.bincount(columns, push[row], len(kept))) * uneven + RIDGE * w
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         mb, vb = 0.9 * mb + 0.1 * bias, 0.99 * vb + 0.01 * bias**2
         fix, fix2 = 1 - 0.9**step, 1 - 0.99**step
@@ -155,31 +191,37 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 
     def made(batches):
         for batch in batches:
-            plain, other = [], []
+            plain, before, after = [], [], []
             for x in raw_texts(batch.column(2)):
-                ws = words(x)
-                plain.append(features(set(ws)).tobytes())
-                other.append(features({swaps.get(w, w) for w in ws}).tobytes() if swaps.keys() & set(ws) else None)
+                plain.append(features(set(words(x))).tobytes())
+                pairs = counterfactuals(x, swaps)
+                before.append([features(a).tobytes() for a, _ in pairs])
+                after.append([features(b).tobytes() for _, b in pairs])
+            kinds = [pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary())]
+            columns = [pa.array(c, k) for c, k in zip((plain, before, after), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(plain, pa.binary()), pa.array(other, pa.binary())],
-                names=["doc_id", "label", "plain", "other"],
+                [batch.column(0), batch.column(1), *columns], names=["doc_id", "label", "plain", "before", "after"]
             )
 
+    kind = docs.schema["doc_id"].dataType.simpleString()
     found = (
         docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-        .mapInArrow(made, "doc_id long, label int, plain binary, other binary")
-        .groupBy("doc_id").agg(F.max("label").alias("label"), F.min("plain").alias("plain"), F.min("other").alias("other"))
+        .mapInArrow(made, f"doc_id {kind}, label int, plain binary, before array<binary>, after array<binary>")
+        .groupBy("doc_id").agg(F.max("label").alias("label"), F.min(F.struct("plain", "before", "after")).alias("f"))
+        .select("doc_id", "label", "f.*")
     )
     # in id order, one at a time; only the features are held
-    label, plain, other = [], [], []
+    label, plain, text, before, after = [], [], [], [], []
     for r in cut_lineage(found).orderBy("doc_id").toLocalIterator():
+        text += [len(label)] * len(r["before"])
         label.append(float(r["label"]))
         plain.append(np.frombuffer(bytes(r["plain"]), np.int32))
-        other.append(None if r["other"] is None else np.frombuffer(bytes(r["other"]), np.int32))
+        before += [np.frombuffer(bytes(x), np.int32) for x in r["before"]]
+        after += [np.frombuffer(bytes(x), np.int32) for x in r["after"]]
     label = np.array(label)
     taken = {c: max(1, int((label == c).sum())) for c in (0, 1)}
     weight = np.where(label == 1, counts[1] / taken[1], counts[0] / taken[0])
-    return fit(plain, other, label, weight)
+    return fit(plain, Pairs(np.array(text, np.int64), before, after), label, weight)
 
 
 def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
