@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from themescope.operators import components, density
+from themescope.operators import components, density, linkage
 from themescope.operators import kmeans as km
 from themescope.operators.density import dendrogram, density_cluster, select_clusters
 from themescope.operators.linkage import agglomerative
@@ -180,7 +180,7 @@ def test_pointers_and_components_in_rounds(spark, monkeypatch, alone):
     assert {r["node"]: r["comp"] for r in components.connected(edges).collect()} == expect
 
 
-@pytest.mark.parametrize("options", [{}, {"finish": 30, "pivots": 2}])
+@pytest.mark.parametrize("options", [{}, {"group_rows": 15, "pivots": 2}])
 def test_average_linkage_matches_greedy(spark, options):
     x = brute.blobs(6, 40, 12)
     x = np.vstack([x, x[:5]])
@@ -189,6 +189,31 @@ def test_average_linkage_matches_greedy(spark, options):
     assert brute.same_partition(got, brute.average_linkage(x, 6), None)
 
 
+def test_chains_of_merges_take_few_rounds(spark, monkeypatch):
+    """Each merge makes the next one possible: 300 vectors on an arc, ever farther apart."""
+    angle = np.cumsum(np.linspace(0.001, 0.009, 300))
+    x = np.stack([np.cos(angle), np.sin(angle)], axis=1)
+    rounds = []
+
+    def counted(*args, build=linkage.build_index, **options):
+        rounds.append(1)
+        return build(*args, **options)
+
+    monkeypatch.setattr(linkage, "build_index", counted)
+    for k in (4, 9):
+        got = labels(agglomerative(vectors(spark, x), k, group_rows=100))
+        assert brute.same_partition(got, brute.average_linkage(x, k), None)
+    assert len(rounds) <= 16
+
+
+@pytest.mark.parametrize("n", [63, 64, 65])
+def test_linkage_is_the_same_around_the_size_of_a_group(spark, n):
+    x = np.random.default_rng(n).normal(size=(n, 5))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = labels(agglomerative(vectors(spark, x), 7, group_rows=64))
+    assert brute.same_partition(got, brute.average_linkage(x, 7), None)
+
+
 def test_zero_vectors_are_set_aside(spark):
     x = np.vstack([np.eye(4), np.zeros((2, 4))])
     got = labels(agglomerative(vectors(spark, x), 2))

@@ -114,7 +114,7 @@ def kmeans_separated(spark, folder):
 @query("agglomerative_separated", _LABELS)
 def agglomerative_separated(spark, folder):
     k = table(spark, folder, "embeddings").select("label").distinct().count()
-    return _named_by_first(agglomerative(_separated(spark, folder), k, finish=200))  # most merges in rounds
+    return _named_by_first(agglomerative(_separated(spark, folder), k, group_rows=100))  # several groups
 
 
 @query("density_separated", _LABELS)
