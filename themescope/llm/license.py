@@ -4,7 +4,7 @@ Templates are word lists. A word's weight is its inverse document frequency over
 corpus (counted in a first pass, for template words only). For each file and template the
 highest-weighted template words that the file holds are looked up; each place of such a
 word at template position j proposes the template at ``place - j``. Proposals that the
-looked-up words agree on (same relative position) are aligned word by word, and stand if
+looked-up words agree on (same relative position) are aligned word by word, a few words apart at most, and stand if
 enough of the template's weight agrees and every key phrase stands nearby.
 
 A base phrase is a template whose words are all required, so its rarest word alone proposes
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themescope.llm.common import field, per_text, raw_texts, slices
+from themescope.llm.license_texts import TEXTS
 
 #: Phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -63,11 +64,14 @@ TEMPLATES = (
     Template("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
     Template("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
     Template("cc0", "dedicated to the public domain under cc0 1 0 universal", ("public domain", "cc0")),
+    *(Template(*t) for t in TEXTS),
 )
 #: Template words that are looked up in a file, highest weight first.
 LOOKUPS = 3
 #: Share of a template's weight that must agree.
 LEAST_SHARE = 0.6
+#: Words ahead among which the next template word may stand.
+DRIFT = 4
 
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -134,11 +138,16 @@ class Index:
         return starts, base, labels, score
 
     def share(self, t: int, start: int, ws: list[bytes]) -> float:
+        """Part of a template's weight that the file has from ``start`` on, in order, with few words between or missing."""
         total = same = 0.0
-        for j, w in enumerate(self.words[t]):
+        at = max(0, start)
+        for w in self.words[t]:
             total += self.weights[w]
-            if 0 <= start + j < len(ws) and ws[start + j] == w:
-                same += self.weights[w]
+            try:
+                at = ws.index(w, at, at + DRIFT) + 1
+            except ValueError:  # replaced or left out: the next word decides
+                continue
+            same += self.weights[w]
         return min(1.0, same / total)
 
     def complete(self, t: int, start: int, ws: list[bytes]) -> bool:
