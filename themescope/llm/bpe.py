@@ -11,7 +11,8 @@ starts anew, so memory does not grow with the data. Each text is handled on its
 shuffle, and a lost executor repeats only its own splits.
 
 Defined results: null and empty texts have no ids (digests of the empty string); repeated
-rows are encoded again; null ids are kept; text that looks like a special token is ordinary.
+rows are encoded again; null ids are kept; text that looks like a special token is ordinary;
+bytes that are not UTF-8 are replaced before encoding.
 """
 
 from __future__ import annotations
@@ -202,7 +203,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def start():
         encoder = here()
-        return lambda texts: [[encoder.encode(x.decode()) for x in texts]]
+        return lambda texts: [[encoder.encode(x.decode("utf-8", "replace")) for x in texts]]
 
     return per_text(docs, docs.columns, [field("ids", "ints")], start)
 
@@ -218,7 +219,7 @@ def digests(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("
         def work(texts):
             counts, ids_sha, text_sha = [], [], []
             for x in texts:
-                joined = encoder.joined(x.decode())
+                joined = encoder.joined(x.decode("utf-8", "replace"))
                 ids = joined.split(",") if joined else []
                 counts.append(len(ids))
                 ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())

@@ -220,7 +220,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, idf) -> DataFrame:
                     names=["node", "ids", "levels"],
                 )
 
-    rows = docs.select("text", *text_key(), _key())
+    rows = docs.select("text", *text_key(), _key(docs))
     # a row that repeats as a whole counts once; the join has dealt rows by these columns already
     texts = rows.join(wanted, ["key", "d1", "d2"]).dropDuplicates(["key", "d1", "d2"]).select("node", "text")
     return texts.mapInArrow(run, "node long, ids binary, levels binary")
@@ -397,9 +397,9 @@ def find_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     return every
 
 
-def _key():
-    """A document's id for joins, next to its digests; never null."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("key")
+def _key(rows: DataFrame):
+    """A document's id for joins, next to its digests; a null id counts as 0."""
+    return F.coalesce(F.col("doc_id"), F.lit(0).cast(rows.schema["doc_id"].dataType)).alias("key")
 
 
 def _classed_rows(docs: DataFrame) -> DataFrame:
@@ -416,7 +416,7 @@ def _classed_rows(docs: DataFrame) -> DataFrame:
     near = shared.groupBy("node").agg(F.sum("n").alias("near"))
     members = cut_lineage(shared.join(near, "node").select("bucket", "node", "near"))
     release(shared)
-    one = rows.select("node", F.struct(_key(), "d1", "d2").alias("t")).groupBy("node").agg(F.min("t").alias("t"))
+    one = rows.select("node", F.struct(_key(rows), "d1", "d2").alias("t")).groupBy("node").agg(F.min("t").alias("t"))
     wanted = cut_lineage(one.join(members.select("node").distinct(), "node").select("t.*", "node"))
     sets = cut_lineage(_shingle_sets(docs, wanted, idf))
     links = find_links(members, sets)
@@ -440,14 +440,15 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each class, the one of least id (a null id counts as 0); rows without words stay."""
-    named = _classed_rows(docs).select("comp", _key(), "d1", "d2")
+    named = _classed_rows(docs)
+    named = named.select("comp", _key(named), "d1", "d2")
     times = named.groupBy("key", "d1", "d2").agg(F.count("*").alias("n"))
     first = named.where("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct("key", "d1", "d2")).alias("t")).select("t.*")
     wordless = named.where("comp IS NULL").select("key", "d1", "d2").distinct().withColumn("n", F.lit(1))
     wanted = first.join(times, ["key", "d1", "d2"]).select("key", "d1", "d2", "n").union(wordless)
     ids = ["__key", "__d1", "__d2"]
     wanted = cut_lineage(wanted.toDF(*ids, "__n"))
-    keyed = docs.select("*", *[c.alias(i) for i, c in zip(ids, [_key(), *text_key()], strict=True)])
+    keyed = docs.select("*", *[c.alias(i) for i, c in zip(ids, [_key(docs), *text_key()], strict=True)])
     kept = keyed.join(wanted, ids)
     again = kept.where("__n > 1").dropDuplicates(ids)  # rows that repeat as a whole
     return kept.where("__n = 1").union(again).select(*docs.columns)

@@ -8,8 +8,9 @@ least that some row has.
 
 Packing works on buffers of ``BUFFER`` tokens in each task: memory is bounded, texts and ids
 are never shuffled, and the loss against one global packing is at most one loosely filled
-set of rows a buffer. Each packed row has its ids as little-endian uint16 (``ROW`` long,
-padded with ``PAD``), the cumulative segment lengths, and where positions go back to 0.
+set of rows a buffer. Each packed row has its ids as little-endian uint16 (uint32 where the
+vocabulary has more than 65,535 tokens), ``ROW`` long and padded with the first id that is no
+token, the cumulative segment lengths, and where positions go back to 0.
 
 Defined results: null and empty texts have no tokens and stand in no row; repeated rows are
 packed again; null ids stay null in ``doc_ids``; an empty table gives no rows.
@@ -27,7 +28,6 @@ from themescope.llm.bpe import read_ranks
 from themescope.llm.common import raw_texts, slices
 
 ROW = 2048
-PAD = 50256
 BUFFER = 4_000_000
 
 
@@ -85,15 +85,15 @@ SCHEMA = (
 )
 
 
-def _rows(pieces: list[tuple], row: int):
+def _rows(pieces: list[tuple], row: int, pad: int, kind: str):
     """Columns of packed rows; a piece is (doc_id, start, ids)."""
     columns: list[list] = [[] for _ in range(7)]
     for members in best_fit([len(p[2]) for p in pieces], row):
-        matrix = np.full(row, PAD, np.uint16)
+        matrix = np.full(row, pad, kind)
         edges = np.cumsum([0] + [len(pieces[i][2]) for i in members])
         for i, a in zip(members, edges.tolist(), strict=False):
             matrix[a : a + len(pieces[i][2])] = pieces[i][2]
-        ids = matrix.astype("<u2").tobytes()
+        ids = matrix.tobytes()
         resets = edges[:-1].tolist() + ([int(edges[-1])] if edges[-1] < row else [])
         values = (
             hashlib.sha256(ids).hexdigest(), int(edges[-1]), [pieces[i][0] for i in members],
@@ -110,7 +110,9 @@ def pack(docs: DataFrame, path: str, pattern: str, row: int = ROW, buffer: int =
     starts: where in its document's ids a piece begins; cu_seqlens: 0 and the end of each
     piece; resets: places where positions start again at 0 (pieces, and the padding).
     """
-    kept = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
+    ranks = read_ranks(path)
+    kept, pad = docs.sparkSession.sparkContext.broadcast(ranks), len(ranks)
+    width = "<u2" if pad < 1 << 16 else "<u4"
 
     def run(batches):
         import tiktoken
@@ -122,7 +124,7 @@ def pack(docs: DataFrame, path: str, pattern: str, row: int = ROW, buffer: int =
         kinds = [pa.string(), pa.int32(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 3, pa.binary()]
 
         def packed(pieces):
-            columns = _rows(pieces, row)
+            columns = _rows(pieces, row, pad, width)
             for a in range(0, len(columns[0]), 512):
                 arrays = [pa.array(c[a : a + 512], k) for c, k in zip(columns, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
@@ -131,7 +133,7 @@ def pack(docs: DataFrame, path: str, pattern: str, row: int = ROW, buffer: int =
         for batch in batches:
             for part in slices(batch):
                 for doc_id, text in zip(part.column(0).to_pylist(), raw_texts(part.column(1)), strict=True):
-                    ids = encoding.encode_to_numpy(text.decode("utf-8", "replace"), disallowed_special=()).astype(np.uint16)
+                    ids = encoding.encode_to_numpy(text.decode("utf-8", "replace"), disallowed_special=()).astype(width)
                     pieces += [(doc_id, a, ids[a : a + row]) for a in range(0, len(ids), row)]
                     held += len(ids)
                     if held >= buffer:

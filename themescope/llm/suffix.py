@@ -193,7 +193,7 @@ class Repeats(NamedTuple):
 
 def repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> Repeats:
     """Repeats of all different texts of ``(doc_id, text)``, each text once."""
-    keyed = docs.select("doc_id", "text", *text_key()).withColumn("key", F.coalesce("doc_id", "d1"))
+    keyed = docs.select("doc_id", "text", *text_key()).withColumn("key", F.xxhash64("doc_id"))
     found = candidates(keyed, min_bytes).distinct()
     names = [c for c in found.columns if c.startswith("n")]
     lists = found.groupBy("d1").agg(F.collect_list(F.struct(*names, "core")).alias("found"))
