@@ -82,6 +82,21 @@ def test_density_in_many_blocks_and_packs(spark):
     assert brute.same_partition(got, brute.density(x, 8, 4))
 
 
+def test_density_with_most_points_in_one_component(spark):
+    """Nine in ten points in one dense cluster, over many blocks, and small ones far away."""
+    rng = np.random.default_rng(11)
+    x = np.vstack([rng.normal(size=(180, 3)) * 0.2, rng.normal(size=(10, 3)) * 0.1 + 6, rng.normal(size=(10, 3)) * 0.1 - 6])
+    got = labels(density_cluster(vectors(spark, x), 8, pivots=6, block_rows=20))
+    assert brute.same_partition(got, brute.density(x, 8, 4))
+
+
+@pytest.mark.parametrize("n", [39, 40, 41])
+def test_density_is_the_same_around_the_size_of_a_block(spark, n):
+    x = brute.blobs(n, n - 6, 6, centres=2)
+    got = labels(density_cluster(vectors(spark, x), 6, block_rows=40))
+    assert brute.same_partition(got, brute.density(x, 6, 3))
+
+
 def test_density_all_noise_and_numbering(spark):
     rng = np.random.default_rng(0)
     x = rng.uniform(size=(12, 3))

@@ -85,14 +85,18 @@ def _edge_key(src: str, dst: str, w: str = "w"):
 def spanning_tree(index: Index, neighbours: DataFrame, cores: DataFrame) -> DataFrame:
     """``(w, a, b)``: the minimum spanning tree under mutual reachability.
 
-    Rounds of Borůvka. A component's lightest edge out is taken from the
+    Each block first joins its points as far as no edge out of the block can be lighter. Then
+    rounds of Borůvka: a component's lightest edge out is taken from the
     neighbour lists when nothing outside them can be as light: an unlisted
     partner of a point is at least as far as the last listed one. Only points
     for which that does not settle it are searched for, within the weight
     already known, skipping blocks that lie inside the point's own component.
     """
-    if len(index.block) == 1:
-        return _tree_in_block(index.points.select("id", "vec").join(cores, "id"))
+    joined = _joined_blocks(index, cores)
+    tree: list[DataFrame] = [joined.where("a IS NOT NULL").select("w", "a", "b")]
+    comps = cut_lineage(joined.where("a IS NULL").select("id", "comp"))
+    if comps.select("comp").distinct().limit(2).count() < 2:
+        return tree[0]
     n_points = cores.count()
     listed = cut_lineage(reach_edges(neighbours, cores))
     floor = (
@@ -108,10 +112,8 @@ def spanning_tree(index: Index, neighbours: DataFrame, cores: DataFrame) -> Data
         )
     )
     vectors = index.points.select("id", "vec")
-    comps = cut_lineage(points.select("id", F.col("id").alias("comp")))
     # Both directions, so that a component also sees lists that name it.
     live = cut_lineage(listed.union(listed.select("dst", "src", "w")).distinct())
-    tree: list[DataFrame] = []
     while True:
         one = comps.select("comp").distinct().limit(2).count()
         if one < 2:
@@ -159,43 +161,86 @@ def spanning_tree(index: Index, neighbours: DataFrame, cores: DataFrame) -> Data
         )
         roots = follow(pointers).withColumnRenamed("node", "comp")
         comps = cut_lineage(comps.join(roots, "comp").select("id", F.col("root").alias("comp")))
-    if not tree:
-        return cores.sparkSession.createDataFrame([], "w double, a bigint, b bigint")
     out = tree[0]
     for part in tree[1:]:
         out = out.unionByName(part)
     return cut_lineage(out)
 
 
-def _tree_in_block(points: DataFrame) -> DataFrame:
-    """The same tree for ``(id, vec, core)`` points that fit one block, by one task."""
-
-    def grow(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        ids = rows["id"].to_numpy()
-        vec = np.stack(rows["vec"].to_numpy()).astype(np.float64)
-        core = rows["core"].to_numpy()
-        n = len(ids)
-        weight, near = np.full(n, np.inf), np.full(n, -1)
-        inside = np.zeros(n, bool)
-        at, edges = 0, []
-        for _ in range(n - 1):
-            inside[at] = True
-            gap = vec - vec[at]
-            w = np.maximum(np.sqrt((gap * gap).sum(1)), np.maximum(core, core[at]))
-            better = ~inside & ((w < weight) | ((w == weight) & (at < near)))
-            weight[better], near[better] = w[better], at
-            best = np.where(inside, np.inf, weight)
-            tied = np.nonzero(best == best.min())[0]
-            low, high = np.minimum(tied, near[tied]), np.maximum(tied, near[tied])
-            at = tied[np.lexsort((high, low))[0]]
-            a, b = sorted((int(ids[at]), int(ids[near[at]])))
-            edges.append((float(weight[at]), a, b))
-        return pd.DataFrame(edges, columns=["w", "a", "b"])
+_JOINED = "id bigint, comp bigint, w double, a bigint, b bigint"
 
-    return cut_lineage(
-        points.groupBy(F.lit(0).alias("_all")).applyInPandas(grow, "w double, a bigint, b bigint")
-    )
+
+def _joined_blocks(index: Index, cores: DataFrame) -> DataFrame:
+    """Spanning edges ``(w, a, b)`` that each block finds by itself, and ``(id, comp)`` of all points."""
+    points = index.points.select("id", "block", "vec").join(cores, "id")
+    away = cores.sparkSession.createDataFrame([], "id bigint, toward bigint, outside double")
+    if len(index.block) > 1:
+        held = index.points.select("id", F.col("block").alias("comp"))
+        traits = cores.join(held, "id")
+        asked = points.select(F.col("id").alias("qid"), "vec", "core", F.col("block").alias("comp"))
+        found = search(index, asked, 1, traits=traits)
+        away = found.select(F.col("qid").alias("id"), F.col("id").alias("toward"), F.col("w").alias("outside"))
+    rows = points.join(away, "id", "left")
+    return cut_lineage(rows.groupBy("block").applyInPandas(_join_block, _JOINED))
+
+
+def _join_block(rows: pd.DataFrame) -> pd.DataFrame:
+    """Borůvka within a block; a component stops where its lightest edge may lead out of the block.
+
+    Edges are in the order of ``_edge_key``: weight, then lower and higher end.
+    """
+    rows = rows.sort_values("id", ignore_index=True)
+    ids, core = rows["id"].to_numpy(), rows["core"].to_numpy()
+    vec = np.stack(rows["vec"].to_numpy()).astype(np.float64)
+    n = len(ids)
+    w = np.empty((n, n))
+    for i in range(n):  # differences, as the search weighs them
+        gap = vec - vec[i]
+        w[i] = np.sqrt((gap * gap).sum(1))
+    w = np.maximum(w, np.maximum(core[:, None], core[None, :]))
+    np.fill_diagonal(w, np.inf)
+    toward = rows["toward"].fillna(-1).to_numpy().astype(np.int64)
+    outside = rows["outside"].fillna(np.inf).to_numpy()
+    out_low, out_high = np.minimum(ids, toward), np.maximum(ids, toward)
+    comp = np.arange(n)
+    edges: list[tuple] = []
+    while True:
+        near = w.argmin(1)  # of equal weights the lowest id
+        weight = w[np.arange(n), near]
+        low, high = np.minimum(ids, ids[near]), np.maximum(ids, ids[near])
+        inner = _first_by(comp, weight, low, high)
+        outer = _first_by(comp, outside, out_low, out_high)
+        chosen = []
+        for i, o in zip(inner.tolist(), outer.tolist(), strict=True):
+            inside = np.isfinite(weight[i]) and (
+                not np.isfinite(outside[o]) or (weight[i], low[i], high[i]) < (outside[o], out_low[o], out_high[o])
+            )
+            if inside:
+                chosen.append((i, int(near[i])))
+        if not chosen:
+            break
+        for i, j in chosen:
+            a, b = comp[i], comp[j]
+            if a != b:  # two may have chosen the same edge
+                edges.append((float(w[i, j]), *sorted((int(ids[i]), int(ids[j])))))
+                comp[comp == max(a, b)] = min(a, b)
+        for c in {int(comp[i]) for i, _ in chosen}:
+            mine = np.flatnonzero(comp == c)
+            w[np.ix_(mine, mine)] = np.inf
+    points = pd.DataFrame({"id": ids, "comp": ids[comp]})
+    found = pd.DataFrame(edges, columns=["w", "a", "b"])
+    both = pd.concat([points, found], ignore_index=True)
+    for c in ("id", "comp", "a", "b"):
+        both[c] = both[c].astype("Int64")
+    both["w"] = both["w"].astype("Float64")
+    return both[["id", "comp", "w", "a", "b"]]
+
+
+def _first_by(comp: np.ndarray, weight: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The place of each component's first edge."""
+    order = np.lexsort((high, low, weight, comp))
+    c = comp[order]
+    return order[np.flatnonzero(np.append(True, c[1:] != c[:-1]))]
 
 
 def _outside(index, vectors, state, doubtful) -> DataFrame | None:
