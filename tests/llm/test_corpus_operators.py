@@ -257,6 +257,15 @@ def test_pipeline_equals_plain_stages(spark):
     assert rows(corpus_pipeline.run(spark, folder)) == sorted(want, key=repr)
 
 
+def test_ids_that_are_text(spark):
+    texts = [prose(1, 120), prose(1, 120) + " end", prose(2, 90), None, prose(2, 90)]
+    whole = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    named = whole.selectExpr("concat('d', doc_id) AS doc_id", "text")
+    for operator in (suffix.digests, neardup.classes, neardup.keep_first, suffix.remove_repeats):
+        want = sorted(tuple(f"d{v}" if c in ("doc_id", "class_id") else v for c, v in r.asDict().items()) for r in operator(whole).collect())
+        assert sorted((tuple(r) for r in operator(named).collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_every_operator_is_registered():
     names = [n for n in entry.queries() if n.startswith("op") and n[2:].split("_")[0].isdigit()]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))

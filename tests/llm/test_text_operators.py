@@ -46,6 +46,13 @@ def test_bpe_equals_the_library_and_round_trips(spark, encoder):
     assert bpe.digests(empty(spark), PATH, PATTERN).count() == 0
 
 
+def test_bytes_that_are_not_utf8_are_replaced(spark, encoder):
+    docs = spark.sql("SELECT 1 AS doc_id, CAST(unhex('61FF62E282') AS STRING) AS text")
+    (row,) = bpe.encode(docs, PATH, PATTERN).collect()
+    assert encoder.decode(row["ids"]) == b"a\xff\b".replace(b"\xff\b", "\ufffdb\ufffd".encode())
+    assert bpe.digests(docs, PATH, PATTERN).first()["n_tokens"] == len(row["ids"])
+
+
 def test_long_pieces_merge_like_the_library(encoder):
     import tiktoken
 
@@ -64,7 +71,7 @@ def test_packing_loses_nothing(spark, encoder):
         for r in packing.pack(clashing(docs), PATH, PATTERN, row, buffer).collect():
             ids = np.frombuffer(r["ids"], "<u2")
             assert len(ids) == row and r["n_tokens"] == r["cu_seqlens"][-1] <= row
-            assert (ids[r["n_tokens"] :] == packing.PAD).all()
+            assert (ids[r["n_tokens"] :] == len(encoder.tokens)).all()  # no token has this id
             assert r["resets"][: len(r["doc_ids"])] == r["cu_seqlens"][:-1]
             for d, s, a, b in zip(r["doc_ids"], r["starts"], r["cu_seqlens"], r["cu_seqlens"][1:], strict=False):
                 back[d].append((s, ids[a:b].tolist()))
@@ -79,6 +86,44 @@ def test_packing_loses_nothing(spark, encoder):
     assert packing.pack(empty(spark), PATH, PATTERN).count() == 0
 
 
+def test_packing_with_a_wide_vocabulary(spark, tmp_path):
+    """More tokens than 16 bits tell apart; the written table holds the same rows."""
+    import base64
+
+    tokens = [bytes([b]) for b in range(256)] + [bytes([97 + a % 26, 97 + a // 26 % 26, 97 + a // 676 % 26, 65 + a // 17576]) for a in range(70_000)]
+    tokens = list(dict.fromkeys(tokens))
+    with open(tmp_path / "wide.tiktoken", "wb") as out:
+        out.writelines(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate(tokens))
+    word = tokens[69_000].decode()
+    docs = spark.createDataFrame([(1, word), (2, "ab")], "doc_id bigint, text string").coalesce(1)
+    packed = packing.pack(docs, str(tmp_path / "wide.tiktoken"), "(?s:.)", 8)
+    packing.write_packed(packed, str(tmp_path / "packed"))
+    (row,) = spark.read.parquet(str(tmp_path / "packed")).collect()
+    ids = np.frombuffer(row["ids"], "<u4")
+    assert len(ids) == 8 and (ids[row["n_tokens"] :] == len(tokens)).all() and row == packed.first()
+    assert bytes(ids[: row["n_tokens"]].tolist()) in (word.encode() + b"ab", b"ab" + word.encode())
+
+
+def test_best_fit_equals_a_linear_scan():
+    draw = np.random.default_rng(8)
+    for _ in range(40):
+        sizes = draw.integers(1, 33, int(draw.integers(0, 60))).tolist()
+        free, want = [], []
+        for piece in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+            fits = [r for r, space in enumerate(free) if space >= sizes[piece]]
+            if not fits:
+                free.append(32)
+                want.append([])
+                fits = [len(free) - 1]
+            least = min(free[r] for r in fits)
+            at = max(r for r in fits if free[r] == least)
+            free[at] -= sizes[piece]
+            want[at].append(piece)
+        got = packing.best_fit(sizes, 32)
+        # rows of equal space may be taken in another order; fill is the same
+        assert sorted(sum(sizes[i] for i in b) for b in got) == sorted(sum(sizes[i] for i in b) for b in want)
+
+
 def test_best_fit_takes_the_tightest_row():
     assert packing.best_fit([5, 7, 3, 2, 3], 10) == [[1, 2], [0, 4, 3]]
     draw = np.random.default_rng(3)
@@ -127,6 +172,27 @@ def test_templates_tolerate_edits_but_need_their_key_phrases(spark):
     assert got == {1: "mit", 2: "", 3: ""}
 
 
+def test_whole_licences_with_edits_are_told_apart(spark):
+    draw = random.Random(17)
+    cases = []
+    for k, t in enumerate(license.TEMPLATES):
+        ws = license.words(t.text.encode())
+        if len(ws) < 40:
+            continue
+        keyed = {w for key in t.keys for w in license.words(key.encode())}
+        out = []
+        for w in ws:
+            out += [w] if w in keyed or draw.random() > 0.06 else draw.choice([[], [b"other"], [w, b"added"]])
+        cases.append((k, t.label, prose(k, 40) + " " + b" ".join(out).decode() + " " + prose(100 + k, 40)))
+    docs = spark.createDataFrame([(k, text) for k, _, text in cases], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["labels"].split(",") for r in license.scan(docs).collect()}
+    assert len(cases) >= 12
+    for k, label, _ in cases:
+        assert label in got[k], (label, got[k])
+        others = {"gpl-2", "gpl-3", "lgpl-2.1", "lgpl-3", "agpl-3", "isc", "zlib", "boost", "apache", "unlicense"} - {label}
+        assert not others & set(got[k])
+
+
 # --- language -----------------------------------------------------------
 
 
@@ -451,6 +517,25 @@ def test_matches_equal_a_full_edit_distance(spark):
     assert rows(decontam.drop_contaminated(odd(spark), bench.where("item_id = 1"))) == rows(odd(spark))
 
 
+def test_every_place_of_an_item_and_each_of_equal_items(spark, monkeypatch):
+    one, other = prose(60, 15), prose(61, 15)
+    near = one.replace("a", "e", 2)
+    text = f"{prose(7, 10)} {one} {prose(8, 30)} {near} {other} {prose(9, 5)} {one}"
+    docs = spark.createDataFrame([(1, text), (2, prose(3, 40)), (3, "xy  XY")], "doc_id bigint, text string")
+    # one item text holds most of the benchmark, in different spellings
+    items = [(k, one.upper() if k % 2 else f" {one}\n") for k in range(40)] + [(90, other), (91, "xy"), (92, None), (93, " ")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    plain = decontam.normal(text)
+    first, last = plain.find(decontam.normal(one)), plain.rfind(decontam.normal(one))
+    for pairs in (2_000_000, 3):
+        monkeypatch.setattr(decontam, "PAIRS", pairs)
+        got = rows(decontam.matches(docs, bench).select("doc_id", "item_id", "start", "edits"))
+        mine = sorted((r[3], r[1]) for r in got if r[2] == 5 and r[0] == 1)
+        assert len(mine) == 3 and mine[0] == (first, 0) and mine[2] == (last, 0) and 0 < mine[1][1] <= 2
+        assert {r[2] for r in got if r[0] == 1} == {*range(40), 90} and len(got) == 40 * 3 + 1 + 2
+        assert [(r[3], r[1]) for r in got if r[0] == 3] == [(0, 0), (3, 0)]
+
+
 def test_groups_of_items_give_the_same_matches(spark, monkeypatch):
     items = [(i, prose(50 + i, 15)) for i in range(9)]
     docs = spark.createDataFrame([(i, prose(7, 10) + " " + t) for i, t in items], "doc_id bigint, text string")

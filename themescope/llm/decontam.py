@@ -6,40 +6,48 @@ q-grams stand there too, on diagonals (place in the text minus place in the item
 differ by at most k. So shared q-grams are counted for each item in overlapping bands of
 diagonals; bands that reach the bound are aligned, banded, and stay if k edits suffice.
 
-Items are read in groups of at most ``GROUP_CHARS`` characters; each group's q-grams are
-broadcast and searched in one pass over the texts. So the broadcast has a fixed bound and a
-larger benchmark takes more passes. Texts are never shuffled.
+Items that are equal in this form are searched once; a join by digest gives their matches to each
+of them. The different ones are read in groups of at most about ``GROUP_CHARS`` characters; each
+group's q-grams are broadcast and searched in one pass over the texts. So the broadcast has a
+fixed bound and a larger benchmark takes more passes. Pairs of a place in a text and a posting are
+counted ``PAIRS`` at a time, so a q-gram common to many items takes more steps, not more
+memory. Texts are never shuffled.
 
 Defined results: null and empty texts match nothing; null and blank items are skipped; equal
 items match separately; items shorter than q must stand exactly; a text that holds an item
-several times reports the place of least edits (then the first); repeated rows are searched
-again.
+several times reports each place: of places that overlap, the one of least edits (then the
+first); repeated rows are searched again.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from themescope.llm.common import per_text
+from themescope.llm.common import per_text, raw_texts
 from themescope.llm.rolling import BASE
+from themescope.session import cut_lineage
 
 Q = 8
 #: Edits allowed, as a share of an item's characters.
 EDITS = 0.1
 GROUP_CHARS = 4_000_000
+#: Pairs of a place and a posting that are counted at once; those of one q-gram of the text stay together.
+PAIRS = 2_000_000
 _BITS = 21
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
 #: Characters of normal text that are searched at once (a longer text is searched alone).
 _AT_ONCE = 1 << 18
-_MATCHES = T.StructField(
-    "matches", T.ArrayType(T.StructType([T.StructField("item", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("edits", T.IntegerType())]))
-)
+_MATCH = [("digest", T.StringType()), ("start", T.IntegerType()), ("edits", T.IntegerType())]
+_MATCHES = T.StructField("matches", T.ArrayType(T.StructType([T.StructField(n, t) for n, t in _MATCH])))
 
 
 def normal(text: str) -> str:
@@ -116,22 +124,41 @@ class Index:
         self.short = [i for i, m in enumerate(size.tolist()) if m < Q]
 
     def search(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-        """(item, start, edits) of each item that stands in each text."""
+        """(item, start, edits) of each place of each item in each text."""
         texts = [normal(t) for t in texts]
         out: list[list] = [[] for _ in texts]
         for t, text in enumerate(texts):
-            out[t] = [(i, at, 0) for i in self.short if (at := text.find(self.items[i])) >= 0]
+            out[t] = [(i, at, 0) for i in self.short for at in _places(text, self.items[i])]
         first, size = 0, 0
         for t, text in enumerate(texts):
             size += len(text)
             if size >= _AT_ONCE or t == len(texts) - 1:
                 for k, found in self._together(texts[first : t + 1]).items():
-                    out[first + k] += [(i, at, edits) for i, (edits, at) in sorted(found.items())]
+                    for i, places in sorted(found.items()):
+                        out[first + k] += [(i, at, edits) for edits, at in self._apart(places, int(self.size[i]))]
                 first, size = t + 1, 0
         return out
 
-    def _together(self, texts: list[str]) -> dict[int, dict[int, tuple[int, int]]]:
-        """Best (edits, start) by text and item."""
+    @staticmethod
+    def _apart(places: set[tuple[int, int]], m: int) -> list[tuple[int, int]]:
+        """(edits, start) of places that do not overlap, the best first chosen; in their order."""
+        kept: list[tuple[int, int]] = []
+        for edits, at in sorted(places):
+            if all(abs(at - other) >= m for _, other in kept):
+                kept.append((edits, at))
+        return sorted(kept, key=lambda x: x[1])
+
+    def _counted(self, pair: np.ndarray, diagonal: np.ndarray, item: np.ndarray, shift: int):
+        """(pair, band, count) of one family of bands."""
+        w = self.width[item]
+        band = (diagonal + shift * (w // 2)) // w
+        order = np.lexsort((band, pair))
+        p, b = pair[order], band[order]
+        new = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (b[1:] != b[:-1])))
+        return p[new], b[new], np.diff(np.append(new, len(p)))
+
+    def _together(self, texts: list[str]) -> dict[int, dict[int, set[tuple[int, int]]]]:
+        """(edits, start) of places by text and item; places of one region may overlap."""
         codes = _codes("\0".join(texts))
         sizes = np.array([len(x) + 1 for x in texts])
         starts = np.cumsum(sizes) - sizes
@@ -142,22 +169,29 @@ class Index:
         at, left, n = at[n > 0], left[n > 0], n[n > 0]
         if not len(at):
             return {}
-        posting = np.repeat(left - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        item = self.item[posting]
-        text = np.searchsorted(starts, at, "right") - 1
         most = int(self.size.max())
-        diagonal = np.repeat(at - starts[text], n) - self.place[posting] + most
-        text = np.repeat(text, n)
-        pair = text * len(self.items) + item
-        found: dict[int, dict[int, tuple[int, int]]] = {}
-        for shift in (0, 1):  # two families of bands, half a band apart
-            w = self.width[item]
-            band = (diagonal + shift * (w // 2)) // w
-            order = np.lexsort((band, pair))
-            p, b = pair[order], band[order]
-            new = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (b[1:] != b[:-1])))
-            count = np.diff(np.append(new, len(p)))
-            p, b = p[new], b[new]
+        ends = np.cumsum(n)
+        parts: list[list[tuple]] = [[], []]
+        first = 0
+        while first < len(at):  # so many places that their postings are about PAIRS
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PAIRS, "right")))
+            a, m = at[first:last], n[first:last]
+            posting = np.repeat(left[first:last] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            item = self.item[posting]
+            text = np.searchsorted(starts, a, "right") - 1
+            diagonal = np.repeat(a - starts[text], m) - self.place[posting] + most
+            pair = np.repeat(text, m) * len(self.items) + item
+            for shift in (0, 1):  # two families of bands, half a band apart
+                parts[shift].append(self._counted(pair, diagonal, item, shift))
+            first = last
+        found: dict[int, dict[int, set[tuple[int, int]]]] = {}
+        for shift, counted in enumerate(parts):
+            p, b, count = (np.concatenate(c) for c in zip(*counted, strict=True))
+            if len(counted) > 1:  # bands that lie in several parts
+                order = np.lexsort((b, p))
+                p, b, count = p[order], b[order], count[order]
+                new = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (b[1:] != b[:-1])))
+                p, b, count = p[new], b[new], np.add.reduceat(count, new)
             good = count >= self.least[p % len(self.items)]
             for pk, bk in zip(p[good].tolist(), b[good].tolist(), strict=True):
                 t, i = divmod(pk, len(self.items))
@@ -169,31 +203,58 @@ class Index:
                 if got is None and k and (best := align(self.codes[i], _codes(texts[t][lo:hi]), k)):
                     got = (best[0], max(0, lo + best[1] - m))
                 here = found.setdefault(t, {})
-                if got and (i not in here or got < here[i]):
-                    here[i] = got
+                if got:
+                    here.setdefault(i, set()).add(got)
         return found
 
 
-def _groups(benchmark: DataFrame) -> list[list[tuple]]:
-    """Items in groups of bounded size; one group is on the driver at a time, by hash of the text."""
-    items = benchmark.where(F.col("text").isNotNull() & (F.trim("text") != "")).select("item_id", "text")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+def _places(text: str, item: str) -> list[int]:
+    """Places of a short item that do not overlap, from the left."""
+    out, at = [], text.find(item)
+    while at >= 0:
+        out.append(at)
+        at = text.find(item, at + len(item))
+    return out
+
+
+def _digest(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()
+
+
+def _different(benchmark: DataFrame) -> DataFrame:
+    """``(item_id, digest, item)``: the normal form of each item that has one."""
+
+    def run(batches):
+        for batch in batches:
+            texts = [normal(t.decode("utf-8", "replace")) for t in raw_texts(batch.column(1))]
+            arrays = [batch.column(0), pa.array([_digest(t) for t in texts]), pa.array(texts)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["item_id", "digest", "item"])
+
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+    made = benchmark.select("item_id", "text").mapInArrow(run, f"item_id {kind}, digest string, item string")
+    return cut_lineage(made.where("item <> ''"))
+
+
+def _groups(items: DataFrame) -> Iterator[list[str]]:
+    """The different normal texts in groups of bounded size; one group is on the driver at a time, by digest."""
+    once = cut_lineage(items.groupBy("digest").agg(F.min("item").alias("item")))
+    total = once.agg(F.sum(F.length("item"))).first()[0] or 0
     n = -(-total // GROUP_CHARS)
     for g in range(n):
-        part = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == g)
-        rows = [(r["item_id"], normal(r["text"])) for r in part.collect()]
-        yield sorted((r for r in rows if r[1]), key=lambda r: (r[1], r[0] is None, r[0] or 0))
+        part = once.where(F.pmod(F.xxhash64("digest"), F.lit(n)) == g)
+        yield sorted(r["item"] for r in part.select("item").collect())
 
 
-def _searched(docs: DataFrame, keep: list[str], items: list[tuple]) -> DataFrame:
+def _searched(docs: DataFrame, keep: list[str], items: list[str]) -> DataFrame:
     kept = docs.sparkSession.sparkContext.broadcast(items)
 
     def start():
-        ids, index = [i for i, _ in kept.value], Index([x for _, x in kept.value])
+        index = Index(kept.value)
+        names = [_digest(x) for x in kept.value]
 
         def work(texts):
             found = index.search([t.decode("utf-8", "replace") for t in texts])
-            return [[[{"item": ids[i], "start": at, "edits": n} for i, at, n in row] for row in found]]
+            return [[[{"digest": names[i], "start": at, "edits": n} for i, at, n in row] for row in found]]
 
         return work
 
@@ -201,19 +262,21 @@ def _searched(docs: DataFrame, keep: list[str], items: list[tuple]) -> DataFrame
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``(doc_id, item_id, start, edits)``: items that stand in texts; start in the normal form."""
+    """``(doc_id, item_id, start, edits)``: a row for each place of an item in a text; start in the normal form."""
+    items = _different(benchmark)
     parts = []
-    for items in _groups(benchmark):
-        rows = _searched(docs.select("doc_id", "text"), ["doc_id"], items).select("doc_id", F.explode("matches").alias("m"))
-        parts.append(rows.select("doc_id", F.col("m.item").alias("item_id"), F.col("m.start").alias("start"), F.col("m.edits").alias("edits")))
+    for group in _groups(items):
+        rows = _searched(docs.select("doc_id", "text"), ["doc_id"], group)
+        parts.append(rows.select("doc_id", F.inline("matches")))
     if not parts:
         return docs.where("false").select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("start"), F.lit(0).alias("edits"))
-    return reduce(DataFrame.unionByName, parts)
+    found = reduce(DataFrame.unionByName, parts)
+    return found.join(items.select("digest", "item_id"), "digest").select("doc_id", "item_id", "start", "edits")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without rows in which an item stands."""
     out = docs
-    for items in _groups(benchmark):
-        out = _searched(out, out.columns, items).where(F.size("matches") == 0).drop("matches")
+    for group in _groups(_different(benchmark)):
+        out = _searched(out, out.columns, group).where(F.size("matches") == 0).drop("matches")
     return out
