@@ -95,6 +95,9 @@ class Index:
                 self.postings.setdefault(w, []).append((t, j))
         self.weights = {w: weights.get(w, 1.0) for w in self.postings}
         self.order = sorted(self.postings, key=lambda w: (-self.weights[w], w))
+        # without these words a phrase cannot stand, nor the key phrases of a template
+        self.needed = [frozenset(ws if t < self.base else sum(self.keys[t], [])) for t, ws in enumerate(self.words)]
+        self.total = [sum(self.weights[w] for w in ws) for ws in self.words]
 
     def scan(self, ws: list[bytes]):
         """(places of base phrases, base labels, labels, score) of a file's words."""
@@ -103,6 +106,9 @@ class Index:
         for i, w in enumerate(ws):
             if w in known:
                 found.setdefault(w, []).append(i)
+        possible = [self.possible(t, found) for t in range(len(self.words))]
+        if not any(possible):
+            return [], set(), set(), 0.0
         asked = [0] * len(self.words)
         votes: list[dict[int, int]] = [{} for _ in self.words]
         for w in self.order:  # the file's licence words, rarest first
@@ -110,6 +116,8 @@ class Index:
                 continue
             hit = set()
             for t, j in known[w]:
+                if not possible[t]:
+                    continue
                 most = 1 if t < self.base else LOOKUPS
                 if asked[t] >= most and t not in hit:
                     continue
@@ -137,6 +145,12 @@ class Index:
                     score = max(score, share)
         return starts, base, labels, score
 
+    def possible(self, t: int, found: dict[bytes, list[int]]) -> bool:
+        """Whether a file has the words that template ``t`` must have, and enough of its weight at all."""
+        if not self.needed[t] <= found.keys():
+            return False
+        return t < self.base or sum(self.weights[w] for w in self.words[t] if w in found) >= LEAST_SHARE * self.total[t]
+
     def share(self, t: int, start: int, ws: list[bytes]) -> float:
         """Part of a template's weight that the file has from ``start`` on, in order, with few words between or missing."""
         total = same = 0.0
