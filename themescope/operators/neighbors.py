@@ -7,9 +7,11 @@ that could hold something closer are visited after that. Bounds are worked out f
 first and only then for the blocks of pivots that remain, a bounded number at a time.
 
 A query's vector is shipped once for each group it visits (8 bytes a dimension), a group's
-points once for each QUERY_ROWS queries that visit it. Within a group its blocks are
-searched in turn, with a bound that tightens. Kernels return at most k rows per query, so the
-pairs themselves are never written out.
+points once for each part of the queries that visit it. Groups and parts grow with the table, so
+that there are about GROUPS of each and what is shuffled is in proportion to the points even where
+no group can be ruled out; beyond MAX_GROUP_ROWS rows their number grows instead. Within a
+group its blocks are searched in turn, with a bound that tightens. Kernels return at most k rows
+per query, so the pairs themselves are never written out.
 """
 
 from __future__ import annotations
@@ -29,10 +31,16 @@ from themescope.session import cut_lineage
 BLOCK_ROWS = 2048
 GROUP_BLOCKS = 16
 QUERY_ROWS = 8192
+# Groups of points, and parts of the queries, that a large table is cut into, as long as each fits a task.
+GROUPS = 16
+MAX_GROUP_ROWS = 65_536
 MAX_PIVOTS = 1024
 # The block list is held by every task; blocks grow beyond this many.
 MAX_BLOCKS = 100_000
 _CHUNK = 512
+# Points of a group that are weighed at once, and queries that go through a group together.
+_TILE_ROWS = 2048
+_ASK_ROWS = 8192
 # Queries whose bounds to all pivots are worked out at once, and bounds to blocks at once.
 _ROUTE_ROWS = 512
 _ROUTE_CELLS = 1_000_000
@@ -107,22 +115,16 @@ def build_index(
                 if cell[at] != last or rows == block_rows:
                     last, rows, block = cell[at], 0, block + 1
                 number[at], rows = block, rows + 1
-            group = task + number // group_blocks
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(task + number), pa.array(group)], names=[*batch.schema.names, "block", "group"]
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(task + number)], names=[*batch.schema.names, "block"])
 
     filed = cut_lineage(points.mapInArrow(file_under, "id bigint, vec array<double>, cell int, radius double"))
     order = ("cell", "radius", "id")  # a cell, or a radius, with most points is split by the next key
     dealt = filed.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = cut_lineage(
-        dealt.mapInArrow(cut, "id bigint, vec array<double>, cell int, radius double, block bigint, group bigint")
-    )
+    placed = cut_lineage(dealt.mapInArrow(cut, "id bigint, vec array<double>, cell int, radius double, block bigint"))
     table = (
         placed.groupBy("block")
         .agg(
             F.first("cell").alias("cell"),
-            F.first("group").alias("group"),
             F.min("radius").alias("inner"),
             F.max("radius").alias("outer"),
             F.count(F.lit(1)).alias("n"),
@@ -130,12 +132,15 @@ def build_index(
         .collect()  # one line per block, at most about MAX_BLOCKS and one for each pivot and task
     )
     table.sort(key=lambda r: (r["cell"], r["block"]))
+    group = _grouped([r["n"] for r in table], group_blocks, min(MAX_GROUP_ROWS, total / GROUPS))
+    named = [(r["block"], g) for r, g in zip(table, group, strict=True)]
+    groups = spark.createDataFrame(named or [(None, None)], "block bigint, group bigint")
     return Index(
-        placed.select("id", "vec", "block", "group"),
+        placed.join(F.broadcast(groups), "block").select("id", "vec", "block", "group"),
         centre,
         np.array([r["block"] for r in table], dtype=np.int64),
         np.array([r["cell"] for r in table], dtype=np.int64),
-        np.array([r["group"] for r in table], dtype=np.int64),
+        np.array(group, dtype=np.int64),
         np.array([r["inner"] for r in table]),
         np.array([r["outer"] for r in table]),
         np.array([r["n"] for r in table], dtype=np.int64),
@@ -143,6 +148,17 @@ def build_index(
     )
 
 
+def _grouped(sizes: list[int], blocks: int, rows: float) -> list[int]:
+    """Groups of blocks that follow each other, each of so many blocks and rows at least."""
+    out, group, held, many = [], 0, 0, 0
+    for size in sizes:
+        if held >= blocks and many >= rows:
+            group, held, many = group + 1, 0, 0
+        out.append(group)
+        held, many = held + 1, many + size
+    return out
+
+
 def _low(metric, far, length, core, inner, outer):
     """Least possible weight between queries at ``far`` from a pivot and points filed at inner to outer."""
     if metric == "dot":  # here ``far`` is the product with the pivot
@@ -215,34 +231,44 @@ class Router:
         far, length, low = self._bounds(vec, core)
         row, cell = np.nonzero(low <= limit[:, None])
         names, number = np.unique(self.at["group"], return_inverse=True)
-        keys = [np.zeros(0, np.int64)]
+        hit = np.zeros((len(vec), len(names)), bool)
         for r, block, bound in self._blocks(far, length, core, comp, row, cell):
             good = (bound <= limit[r]) & np.isfinite(bound)
-            keys.append(np.unique(r[good] * len(names) + number[block[good]]))
-        key = np.unique(np.concatenate(keys))
-        return key // max(1, len(names)), names[key % max(1, len(names))] if len(names) else key
+            hit[r[good], number[block[good]]] = True
+        row, at = np.nonzero(hit)
+        return row, names[at]
 
 
-def _best(q, qid, core, comp, bound, x, xid, xcore, xcomp, k, metric):
-    """Up to k lightest partners per query within its bound, from one block: (row, id, w)."""
+def _best(q, core, comp, bound, x, xid, xcore, xcomp, k, metric):
+    """Up to k lightest partners per query within its bound, from one tile: (row, id, w)."""
     hits = []
+    xx = (x * x).sum(1)
+    # one product gives the squared distance less the query's own square (or minus the product)
+    side = np.column_stack([x * (-1.0 if metric == "dot" else -2.0), np.zeros(len(x)) if metric == "dot" else xx])
     for at in range(0, len(q), _CHUNK):
         part = slice(at, at + _CHUNK)
         a, a_core, a_bound = q[part], core[part], bound[part]
+        rough = np.column_stack([a, np.ones(len(a))]) @ side.T
         if metric == "dot":
-            rough = 1.0 - a @ x.T
-            slack = 1e-10
+            base, slack = np.ones(len(a)), 1e-10
             limit = a_bound
         else:
-            scale = (a * a).sum(1)[:, None] + (x * x).sum(1)[None, :]
-            rough = np.maximum(scale - 2.0 * (a @ x.T), 0.0)
-            slack = 1e-11 * (scale.max() if scale.size else 0.0)
-            rough = np.maximum(rough, np.maximum(a_core[:, None], xcore[None, :]) ** 2)
+            base = (a * a).sum(1)
+            slack = 1e-11 * (base.max() + xx.max() if len(x) else 0.0)
             limit = a_bound**2
-        rough[comp[part][:, None] == xcomp[None, :]] = np.inf
-        if k < rough.shape[1]:
-            limit = np.minimum(limit, np.partition(rough, k - 1, axis=1)[:, k - 1])
-        row, col = np.nonzero((rough <= limit[:, None] + 2 * slack) & np.isfinite(rough))
+        near = rough <= (limit + 2 * slack - base)[:, None]
+        if np.count_nonzero(near) <= 8 * k * len(a):  # bounds of other tiles leave little to weigh
+            row, col = np.nonzero(near)
+            other = comp[part][row] != xcomp[col]
+            row, col = row[other], col[other]
+        else:
+            rough += base[:, None]
+            if metric != "dot":
+                rough = np.maximum(rough, np.maximum(a_core[:, None], xcore[None, :]) ** 2)
+            rough[comp[part][:, None] == xcomp[None, :]] = np.inf
+            if k < rough.shape[1]:
+                limit = np.minimum(limit, np.partition(rough, k - 1, axis=1)[:, k - 1])
+            row, col = np.nonzero((rough <= limit[:, None] + 2 * slack) & np.isfinite(rough))
         # Products of norms lose digits for near points: weigh the few left directly.
         if metric == "dot":
             w = 1.0 - (a[row] * x[col]).sum(1)
@@ -264,37 +290,61 @@ def _best(q, qid, core, comp, bound, x, xid, xcore, xcomp, k, metric):
 
 
 def _best_in_group(query: dict, point: dict, at: dict, k: int, metric: str):
-    """Up to k lightest partners per query in a group, block after block: (qid, id, w)."""
-    n = len(query["qid"])
-    best_w, best_id = np.full((n, k), np.inf), np.full((n, k), np.iinfo(np.int64).max)
+    """Up to k lightest partners per query in a group: (qid, id, w)."""
     order = np.argsort(point["block"], kind="stable")
-    names, first = np.unique(point["block"][order], return_index=True)
+    point = {c: v[order] for c, v in point.items()}
+    names, first = np.unique(point["block"], return_index=True)
     spans = dict(zip(names.tolist(), zip(first, [*first[1:], len(order)], strict=True), strict=True))
     mine = np.flatnonzero(np.isin(at["block"], names))
+    found = []
+    for start in range(0, len(query["qid"]), _ASK_ROWS):
+        part = {c: v[start : start + _ASK_ROWS] for c, v in query.items()}
+        found.append(_best_of_blocks(part, point, spans, mine, at, k, metric))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _tiles(order: list[int], size: list[int]) -> Iterator[list[int]]:
+    """Blocks in order, as many together as have _TILE_ROWS rows at most."""
+    held, many = [], 0
+    for j in order:
+        if held and many + size[j] > _TILE_ROWS:
+            yield held
+            held, many = [], 0
+        held.append(j)
+        many += size[j]
+    if held:
+        yield held
+
+
+def _best_of_blocks(query: dict, point: dict, spans: dict, mine: np.ndarray, at: dict, k: int, metric: str):
+    n = len(query["qid"])
+    best_w, best_id = np.full((n, k), np.inf), np.full((n, k), np.iinfo(np.int64).max)
     far, length = _reach(query["vec"], at["pivots"][at["cell"][mine]], metric)
     low = _low(metric, far, length[:, None], query["core"][:, None], at["inner"][mine], at["outer"][mine])
-    # the block that is likely to bound most queries goes first
-    for j in np.argsort(low.sum(0), kind="stable").tolist():
+    span = [spans[b] for b in at["block"][mine].tolist()]
+    # the blocks that are likely to bound most queries go first
+    for tile in _tiles(np.argsort(low.sum(0), kind="stable").tolist(), [b - a for a, b in span]):
         limit = np.minimum(query["bound"], best_w[:, -1])
-        asks = np.flatnonzero(low[:, j] <= limit)
+        asks = np.flatnonzero(low[:, tile].min(1) <= limit)
         if not len(asks):
             continue
-        a, b = spans[int(at["block"][mine[j]])]
-        part = order[a:b]
+        part = np.concatenate([np.arange(*span[j]) for j in tile])
         row, found, w = _best(
-            *(query[c][asks] for c in ("vec", "qid", "core", "comp")), limit[asks],
+            *(query[c][asks] for c in ("vec", "core", "comp")), limit[asks],
             *(point[c][part] for c in ("vec", "id", "core", "comp")), k, metric,
         )
         if not len(row):
             continue
         place = np.arange(len(row)) - np.searchsorted(row, row)
-        more_w = np.full((len(asks), k), np.inf)
-        more_id = np.full((len(asks), k), np.iinfo(np.int64).max)
-        more_w[row, place], more_id[row, place] = w, found
-        w, found = np.hstack([best_w[asks], more_w]), np.hstack([best_id[asks], more_id])
+        some, line = np.unique(row, return_inverse=True)
+        more_w = np.full((len(some), k), np.inf)
+        more_id = np.full((len(some), k), np.iinfo(np.int64).max)
+        more_w[line, place], more_id[line, place] = w, found
+        some = asks[some]
+        w, found = np.hstack([best_w[some], more_w]), np.hstack([best_id[some], more_id])
         by = np.lexsort((found, w), axis=1)[:, :k]
-        line = np.arange(len(asks))[:, None]
-        best_w[asks], best_id[asks] = w[line, by], found[line, by]
+        line = np.arange(len(some))[:, None]
+        best_w[some], best_id[some] = w[line, by], found[line, by]
     row, col = np.nonzero(np.isfinite(best_w))
     return query["qid"][row], best_id[row, col], best_w[row, col]
 
@@ -395,11 +445,13 @@ def _routed(q: DataFrame, shared, metric: str) -> DataFrame:
 def _match(routed: DataFrame, points: DataFrame, shared, k: int, metric: str) -> DataFrame:
     """Best partners of every query among the points of the groups it visits.
 
-    A group that many queries visit is copied, so that no task gets more than about
-    QUERY_ROWS of them.
+    A group that many queries visit is copied, so that no task gets more of them than about
+    a GROUPS-th of the queries (QUERY_ROWS at least, MAX_GROUP_ROWS at most).
     """
     visits = routed.select(F.explode("groups").alias("group")).groupBy("group").count().collect()  # a line a group
-    many = [(r["group"], -(-r["count"] // QUERY_ROWS)) for r in visits if r["count"] > QUERY_ROWS]
+    most = max((r["count"] for r in visits), default=0)
+    held = max(QUERY_ROWS, min(MAX_GROUP_ROWS, -(-most // GROUPS)))
+    many = [(r["group"], -(-r["count"] // held)) for r in visits if r["count"] > held]
     copies = F.coalesce(F.col("_copies"), F.lit(1))
     table = routed.sparkSession.createDataFrame(many or [(None, 1)], "group bigint, _copies int")
     asking = routed.select("qid", "vec", "core", "comp", "bound", F.explode("groups").alias("group"))
