@@ -59,6 +59,22 @@ def test_many_queries_on_one_block_are_split(spark, monkeypatch):
         assert np.array_equal(found["id"], far.argmin(1))
 
 
+def test_groups_of_a_search_do_not_grow_with_the_table(spark, monkeypatch):
+    """A query is shipped once a group: their number must not follow that of the points."""
+    from themescope.operators import neighbors
+
+    monkeypatch.setattr(neighbors, "QUERY_ROWS", 10)
+    x = np.random.default_rng(8).normal(size=(500, 12))
+    far = brute.pairwise(x)
+    np.fill_diagonal(far, np.inf)
+    points = vectors(spark, x).withColumnRenamed("row_id", "id")
+    index = build_index(points, block_rows=5, group_blocks=1)
+    assert len(index.block) > 100 and len(np.unique(index.group)) <= 17
+    assert index.points.groupBy("group").count().agg(F.max("count")).first()[0] <= 500 / 16 + 5
+    found = knn(points, 3, index).toPandas().sort_values(["qid", "w", "id"])
+    assert np.array_equal(np.stack(found.groupby("qid")["id"].apply(list).to_list()), np.argsort(far, axis=1, kind="stable")[:, :3])
+
+
 def stacked(seed):
     """Blobs with copies, one stack of them larger than a cluster."""
     x = brute.blobs(seed, 90, 16)
@@ -221,6 +237,22 @@ def test_chains_of_merges_take_few_rounds(spark, monkeypatch):
     assert len(rounds) <= 16
 
 
+def test_linkage_without_structure_takes_few_rounds(spark, monkeypatch):
+    """Few clusters take in the others one after the other, wherever those are filed."""
+    x = np.random.default_rng(11).normal(size=(90, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rounds = []
+
+    def counted(*args, build=linkage.build_index, **options):
+        rounds.append(1)
+        return build(*args, **options)
+
+    monkeypatch.setattr(linkage, "build_index", counted)
+    got = labels(agglomerative(vectors(spark, x), 9, group_rows=9))
+    assert brute.same_partition(got, brute.average_linkage(x, 9), None)
+    assert len(rounds) <= 2
+
+
 @pytest.mark.parametrize("n", [63, 64, 65])
 def test_linkage_is_the_same_around_the_size_of_a_group(spark, n):
     x = np.random.default_rng(n).normal(size=(n, 5))
