@@ -314,6 +314,27 @@ def test_silhouette_matches_brute_force(spark, monkeypatch):
     assert km.silhouette(df, sample_rows=20).first()["n"] == 20
 
 
+def test_sums_of_a_pass_reach_the_driver_once(spark, monkeypatch):
+    x = brute.blobs(9, 400, 0, centres=6)
+    rows = vectors(spark, x).repartition(6)
+    wanted = {r["k"]: r["inertia"] for r in km.score_ks(rows, 5, 12, restarts=8).collect()}
+    frame, sums = type(rows), []
+    collect = frame.collect
+
+    def spied(self):
+        out = collect(self)
+        if "sums" in self.columns:
+            sums.append([r["slot"] for r in out])
+        return out
+
+    monkeypatch.setattr(km, "_DIRECT", 1000)
+    monkeypatch.setattr(frame, "collect", spied)
+    got = km.score_ks(rows, 5, 12, restarts=8)
+    monkeypatch.undo()
+    assert {r["k"]: r["inertia"] for r in got.collect()} == pytest.approx(wanted, rel=1e-12)
+    assert sums and all(len(slots) == len(set(slots)) for slots in sums[:3])  # a row a slot, not one from each task
+
+
 def test_k_search_finds_separated_blobs(spark):
     x = brute.blobs(9, 160, 0, centres=6)
     scores = km.score_ks(vectors(spark, x), 5, 8, restarts=6)
