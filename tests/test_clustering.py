@@ -314,6 +314,18 @@ def test_silhouette_matches_brute_force(spark, monkeypatch):
     assert km.silhouette(df, sample_rows=20).first()["n"] == 20
 
 
+def test_blocks_of_a_silhouette_are_small(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(2000, 64))
+    label = [i % 3 for i in range(2000)]
+    rows = [(i, [float(v) for v in r], label[i]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "row_id bigint, vec array<double>, cluster int")
+    kept, write = [], km.cut_lineage
+    monkeypatch.setattr(km, "cut_lineage", lambda d: kept.append(write(d)) or kept[-1])
+    assert km.silhouette(df).first()["silhouette"] == pytest.approx(brute.silhouette(x, label))
+    (blocks,) = [d for d in kept if "x" in d.columns]  # rows that stream past every task, thousands in a batch
+    assert blocks.selectExpr("max(octet_length(x))").first()[0] <= 16 * 64 * 8
+
+
 def test_sums_of_a_pass_reach_the_driver_once(spark, monkeypatch):
     x = brute.blobs(9, 400, 0, centres=6)
     rows = vectors(spark, x).repartition(6)
