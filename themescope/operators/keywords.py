@@ -17,6 +17,8 @@ from themescope.session import cut_lineage
 #: Words that a task counts for each cluster or group, and in all.
 COUNTERS = 20_000
 _HELD = 1_000_000
+#: Words that a task takes from its texts at once.
+_WORDS = 250_000
 
 
 def word_rows(rows: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -47,6 +49,15 @@ def _pruned(table: pa.Table, counters: int) -> tuple[pa.Table, dict]:
     return table, lost
 
 
+def _parts(batch: pa.RecordBatch):
+    """The rows of a batch, as many at a time as have about _WORDS words: what is counted at once stays small."""
+    many = pc.fill_null(pc.list_value_length(batch.column(2)), 0).to_numpy(zero_copy_only=False)
+    place = (np.cumsum(many) - many) // _WORDS
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    for a, b in zip(first, [*first[1:], len(many)], strict=False):
+        yield batch.slice(a, b - a)
+
+
 def _summaries(listed: DataFrame, kind: str, counters: int) -> DataFrame:
     """``(by, word, n, row_id, lost)`` of each task: at most ``counters`` words for each ``by``.
 
@@ -72,7 +83,7 @@ def _summaries(listed: DataFrame, kind: str, counters: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=["by", "word", "n", "row_id", "lost"])
             lost.clear()
 
-        for batch in batches:
+        for batch in (part for batch in batches for part in _parts(batch)):
             by_kind, lists = batch.schema.field(0).type, batch.column(2)
             sizes = pc.fill_null(pc.list_value_length(lists), 0)
             at = pa.array(np.repeat(np.arange(batch.num_rows), sizes.to_numpy()))
