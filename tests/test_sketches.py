@@ -10,6 +10,7 @@ from themescope.operators import keywords as kw
 from themescope.operators import summary
 from themescope.operators.profile import first_kinds, mostly_text_columns
 from themescope.operators.rows import seeded_hash
+from themescope.plans.steps import cluster_step
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -89,3 +90,43 @@ def test_picks_from_one_pass_equal_plain_picks(spark, monkeypatch):
         for r in summary.representatives(df).orderBy("cluster", "place").collect():
             got[r["cluster"]].append(r["row_id"])
         assert dict(got) == want
+
+
+def test_words_are_taken_from_few_texts_at_once(monkeypatch):
+    import pyarrow as pa
+
+    lists = [["a"] * 40, None, [], ["b"] * 300, ["c"] * 30, ["d"] * 90, []]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 7), pa.array(range(7)), pa.array(lists)], names=["by", "row_id", "words"])
+    monkeypatch.setattr(kw, "_WORDS", 100)
+    parts = list(kw._parts(batch))
+    assert [i for p in parts for i in p.column(1).to_pylist()] == list(range(7))
+    # the words of a part, its last text left out
+    assert all(sum(len(x or []) for x in p.column(2).to_pylist()[:-1]) <= 100 for p in parts) and len(parts) == 3
+    assert list(kw._parts(batch.slice(0, 0))) == []
+
+
+def counted_texts(spark, rows, schema):
+    """Rows whose texts are counted as they are read."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        read.add(1)
+        return text
+
+    return spark.createDataFrame(rows, schema).withColumn("text", F.udf(count)("text")), read
+
+
+def test_a_summary_reads_texts_once(spark):
+    rows = [(i, i % 3 - 1, f"late parcel number {i}", "ab"[i % 2]) for i in range(60)]
+    df, read = counted_texts(spark, rows, "row_id bigint, cluster int, text string, kind string")
+    out = summary.cluster_summary(df, category_columns="auto").orderBy("Cluster_ID").collect()
+    assert [(r["Message_Count"], r["kind__a_Count"], r["kind__b_Count"]) for r in out] == [(20, 10, 10), (20, 10, 10)]
+    assert read.value <= 60
+
+
+def test_a_clustering_reads_texts_once(spark):
+    rows = [(i, f"late parcel {i}", [float(i % 2 * 50), float(i % 5), 1.0]) for i in range(40)]
+    df, read = counted_texts(spark, rows, "row_id bigint, text string, embedding array<double>")
+    done = cluster_step(df, "kmeans", k=2, components=2)
+    assert sorted(r["Message_Count"] for r in done.summary.collect()) == [20, 20] and done.rows.count() == 40
+    assert read.value <= 40

@@ -346,6 +346,16 @@ def category_counts_wide(long: DataFrame, values: list[tuple[str, str]]) -> Data
     return long.groupBy("cluster").agg(*sums)
 
 
+def _written(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """What a summary reads of ``rows``, written once: it is read many times, and rows may come from joins.
+
+    Only texts of rows in a cluster are needed, unless the text is a category itself.
+    """
+    text = F.col("text") if "text" in columns else F.when(F.col("cluster") >= 0, F.col("text"))
+    others = [F.col("`" + c.replace("`", "``") + "`").cast("string").alias(c) for c in dict.fromkeys(columns) if c not in ("row_id", "cluster", "text")]
+    return cut_lineage(rows.select("row_id", "cluster", text.alias("text"), *others))
+
+
 def cluster_summary(
     rows: DataFrame,
     labeller: Labeller | None = None,
@@ -358,6 +368,9 @@ def cluster_summary(
     Sample_Messages, then one count per value of the category columns: those
     named, or with "auto" every column of 2 to 200 values.
     """
+    auto = [c for c in rows.columns if c not in NOT_CATEGORIES]
+    named_columns = auto if category_columns == "auto" else category_columns or []
+    rows = _written(rows, named_columns)
     msgs = messages(rows)
     sizes = msgs.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     keywords = keyword_lists(top_keywords(msgs))
@@ -395,11 +408,6 @@ def cluster_summary(
         F.col("samples").alias("Sample_Messages"),
     )
     if category_columns:
-        named_columns = (
-            [c for c in rows.columns if c not in NOT_CATEGORIES]
-            if category_columns == "auto"
-            else category_columns
-        )
         # Values are those of the whole table, noise included.
         found = summary_columns(rows, named_columns).orderBy("column").collect() if named_columns else []
         pairs = [(r["column"], v) for r in found for v in r["values"]]

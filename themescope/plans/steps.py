@@ -90,6 +90,7 @@ def cluster_step(
         raise ValueError(f"unknown algorithm {algorithm!r}: use hdbscan, kmeans or agglomerative")
     if "text" not in rows.columns and text_column_name(rows):
         rows = rows.withColumnRenamed(text_column_name(rows), "text")
+    rows = cut_lineage(rows)  # texts are read for their vectors and again for the summary, and may come from joins
     if algorithm != "hdbscan":
         k = resolve_k(rows, k, stored_k)
     prepared = augment(rows, lexicon) if sentiment and "text" in rows.columns else rows
