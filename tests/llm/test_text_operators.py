@@ -543,3 +543,31 @@ def test_groups_of_items_give_the_same_matches(spark, monkeypatch):
     whole = rows(decontam.matches(docs, bench))
     monkeypatch.setattr(decontam, "GROUP_CHARS", 300)
     assert rows(decontam.matches(docs, bench)) == whole and len(whole) == 9
+
+
+def test_alignment_of_edited_items_against_a_plain_table():
+    import random
+
+    from themescope.llm import decontam
+
+    def plain(item, text, k):
+        """Least edits of the item against any part of the text, where they are k at most."""
+        row = [0] * (len(text) + 1)
+        for i, a in enumerate(item, 1):
+            new = [i]
+            for j, b in enumerate(text, 1):
+                new.append(min(row[j - 1] + (a != b), row[j] + 1, new[-1] + 1))
+            row = new
+        return min(row) if min(row) <= k else None
+
+    draw = random.Random(2)
+    for _ in range(400):
+        item = "".join(draw.choices("abcd", k=draw.randint(3, 30)))
+        text = list(item)
+        for _ in range(draw.randint(0, 4)):
+            at = draw.randrange(len(text))
+            text[at : at + draw.randint(0, 1)] = draw.choices("abcd", k=draw.randint(0, 2))
+        text = "".join([*draw.choices("abcd", k=draw.randint(0, 5)), *text, *draw.choices("abcd", k=draw.randint(0, 5))])
+        k = len(item) // 3
+        got = decontam.align(decontam._codes(item), decontam._codes(text), k)
+        assert (got[0] if got else None) == plain(item, text, k)

@@ -86,19 +86,19 @@ def align(item: np.ndarray, text: np.ndarray, k: int) -> tuple[int, int] | None:
     cell = np.arange(width)
     place = low + cell  # text characters used before the first item character
     row = np.where((place >= 0) & (place <= n), 0, far)
-    for i in range(m):
-        at = place + i
-        inside = (at >= 0) & (at < n)
-        same = np.zeros(width, bool)
-        same[inside] = text[at[inside]] == item[i]
-        step = row + ~same
-        step[~inside] = far
-        skip = np.append(row[1:], far) + 1  # an item character without a partner
-        skip[(at + 1 < 0) | (at + 1 > n)] = far
-        step = np.minimum(step, skip)
-        row = np.minimum.accumulate(step - cell) + cell  # text characters without a partner
-        row[(at + 1 < 0) | (at + 1 > n)] = far
-        if row.min() > k:
+    # the text with k places before it and behind it; what a step to each place costs, what a stay after it
+    padded = np.concatenate([np.zeros(k, np.uint32), text, np.zeros(k + 1, np.uint32)])
+    wrong, stay = np.zeros(n + 2 * k + 1, np.int64), np.ones(n + 2 * k + 2, np.int64)
+    wrong[:k] = wrong[k + n :] = stay[:k] = stay[k + n + 1 :] = far
+    for i, code in enumerate(item):
+        step = row + wrong[i : i + width]
+        step += padded[i : i + width] != code
+        skip = row[1:] + stay[i + 1 : i + width]  # an item character without a partner
+        np.minimum(step[:-1], skip, out=step[:-1])
+        step -= cell
+        row = np.minimum.accumulate(step)  # text characters without a partner
+        row += cell
+        if i % 4 == 3 and row.min() > k:  # it never falls
             return None
     best = int(row.argmin())
     return (int(row[best]), int(place[best] + m)) if row[best] <= k else None
@@ -152,10 +152,15 @@ class Index:
         """(pair, band, count) of one family of bands."""
         w = self.width[item]
         band = (diagonal + shift * (w // 2)) // w
-        order = np.lexsort((band, pair))
-        p, b = pair[order], band[order]
-        new = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (b[1:] != b[:-1])))
-        return p[new], b[new], np.diff(np.append(new, len(p)))
+        span = int(band.max()) + 1
+        if (int(pair.max()) + 1) * span >= 2**63:  # one number does not hold both
+            order = np.lexsort((band, pair))
+            p, b = pair[order], band[order]
+            new = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (b[1:] != b[:-1])))
+            return p[new], b[new], np.diff(np.append(new, len(p)))
+        both = np.sort(pair * span + band)
+        new = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
+        return *np.divmod(both[new], span), np.diff(np.append(new, len(both)))
 
     def _together(self, texts: list[str]) -> dict[int, dict[int, set[tuple[int, int]]]]:
         """(edits, start) of places by text and item; places of one region may overlap."""
