@@ -373,3 +373,13 @@ def test_noise_goes_to_nearest_or_stays(spark):
     assert labels(nearest_label(df)) == [3, 4, 3, 4]
     assert labels(nearest_label(df.where("cluster = -1"))) == [-1, -1]
     assert labels(nearest_label(df.where("cluster <> -1"))) == [3, 4]
+
+
+def test_groups_hold_cells_that_are_near_each_other(spark):
+    rng = np.random.default_rng(11)
+    x = np.repeat(100.0 * np.eye(6), 150, axis=0) + rng.normal(size=(900, 6))
+    index = build_index(vectors(spark, x).withColumnRenamed("row_id", "id"), pivots=60, block_rows=10)
+    met = {(r["id"] // 150, r["group"]) for r in index.points.select("id", "group").collect()}
+    groups = len(set(index.group.tolist()))
+    assert groups > 4
+    assert len(met) <= groups + 5  # a group is shared only where one cluster follows another

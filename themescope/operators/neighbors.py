@@ -1,7 +1,8 @@
 """Exact nearest neighbours without an all-pairs join.
 
 Points are filed under their nearest pivot and cut, by distance from it, into blocks of
-bounded size; some blocks that follow each other are a group. A query first searches its most
+bounded size; some blocks that follow each other, in an order of pivots that keeps near ones
+together, are a group. A query first searches its most
 promising group, which gives an upper bound; by the triangle inequality only groups with a block
 that could hold something closer are visited after that. Bounds are worked out for pivots
 first and only then for the blocks of pivots that remain, a bounded number at a time.
@@ -87,7 +88,7 @@ def build_index(
     wanted = pivots or min(MAX_PIVOTS, max(1, total // (block_rows // 2 or 1)))
     # the rows of least hash; each task passes on as many
     chosen = points.orderBy(seeded_hash(F.col("id"), 42)).limit(wanted).collect()
-    centre = np.array([r["vec"] for r in chosen], dtype=np.float64)
+    centre = _near_together(np.array([r["vec"] for r in chosen], dtype=np.float64))
     shared = spark.sparkContext.broadcast(centre)
 
     def file_under(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,6 +149,16 @@ def build_index(
     )
 
 
+def _near_together(pivots: np.ndarray) -> np.ndarray:
+    """Pivots in an order that keeps near ones together: each is followed by the nearest of those left."""
+    far, order, at = distances(pivots, pivots), [], 0
+    for _ in range(len(pivots)):
+        order.append(at)
+        far[:, at] = np.inf
+        at = int(far[at].argmin())
+    return pivots[order]
+
+
 def _grouped(sizes: list[int], blocks: int, rows: float) -> list[int]:
     """Groups of blocks that follow each other, each of so many blocks and rows at least."""
     out, group, held, many = [], 0, 0, 0
@@ -386,7 +397,8 @@ def search(
     }
     shared = q.sparkSession.sparkContext.broadcast(state)
     routed = cut_lineage(_routed(q.withColumn("home", F.lit(None).cast("bigint")), shared, metric))
-    home = _match(routed, points, shared, k, metric)
+    part_rows = int(index.size.sum()) // GROUPS
+    home = _match(routed, points, shared, k, metric, part_rows)
     if len(np.unique(index.group)) < 2:
         return home
     home = cut_lineage(home)
@@ -398,7 +410,7 @@ def search(
         .select(*q.columns, "home")
     )
     rest = cut_lineage(_routed(tighter, shared, metric))
-    return _keep_best(home.unionByName(_match(rest, points, shared, k, metric)), k)
+    return _keep_best(home.unionByName(_match(rest, points, shared, k, metric, part_rows)), k)
 
 
 def _keep_best(found: DataFrame, k: int) -> DataFrame:
@@ -442,15 +454,14 @@ def _routed(q: DataFrame, shared, metric: str) -> DataFrame:
     )
 
 
-def _match(routed: DataFrame, points: DataFrame, shared, k: int, metric: str) -> DataFrame:
+def _match(routed: DataFrame, points: DataFrame, shared, k: int, metric: str, part_rows: int) -> DataFrame:
     """Best partners of every query among the points of the groups it visits.
 
     A group that many queries visit is copied, so that no task gets more of them than about
-    a GROUPS-th of the queries (QUERY_ROWS at least, MAX_GROUP_ROWS at most).
+    ``part_rows`` (QUERY_ROWS at least, MAX_GROUP_ROWS at most).
     """
     visits = routed.select(F.explode("groups").alias("group")).groupBy("group").count().collect()  # a line a group
-    most = max((r["count"] for r in visits), default=0)
-    held = max(QUERY_ROWS, min(MAX_GROUP_ROWS, -(-most // GROUPS)))
+    held = max(QUERY_ROWS, min(MAX_GROUP_ROWS, part_rows))
     many = [(r["group"], -(-r["count"] // held)) for r in visits if r["count"] > held]
     copies = F.coalesce(F.col("_copies"), F.lit(1))
     table = routed.sparkSession.createDataFrame(many or [(None, 1)], "group bigint, _copies int")
