@@ -383,3 +383,41 @@ def test_groups_hold_cells_that_are_near_each_other(spark):
     groups = len(set(index.group.tolist()))
     assert groups > 4
     assert len(met) <= groups + 5  # a group is shared only where one cluster follows another
+
+
+@pytest.mark.parametrize("grid", [False, True])
+def test_blocks_search_only_for_what_lists_leave_open(spark, monkeypatch, grid):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(300, 8))
+    if grid:  # many equal distances
+        x = np.array([(a, b) for a in range(17) for b in range(17)], float)
+    rows = vectors(spark, x).withColumnRenamed("row_id", "id").withColumn("copies", F.lit(1))
+    index = build_index(rows, pivots=8, block_rows=20)
+    near = knn(rows, 10, index)
+    cores = density.core_distances(near, rows, 2)
+    asked = []
+
+    def counted(index, queries, *args, **options):
+        asked.append(queries.count())
+        return search(index, queries, *args, **options)
+
+    monkeypatch.setattr(density, "search", counted)
+    found = sorted((r["w"], r["a"], r["b"]) for r in density.spanning_tree(index, near, cores).collect())
+    core = np.array([r["core"] for r in cores.orderBy("id").collect()])
+    gap = x[:, None] - x[None]
+    w = np.maximum(np.sqrt((gap * gap).sum(2)), np.maximum(core[:, None], core[None]))
+    root = list(range(len(x)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    want = []
+    for e in sorted((w[i, j], i, j) for i in range(len(x)) for j in range(i + 1, len(x))):
+        i, j = top(e[1]), top(e[2])
+        if i != j:
+            root[j] = i
+            want.append(e)
+    assert found == want
+    assert all(n < len(x) // 2 for n in asked) or grid

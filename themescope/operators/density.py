@@ -86,17 +86,12 @@ def spanning_tree(index: Index, neighbours: DataFrame, cores: DataFrame) -> Data
     """``(w, a, b)``: the minimum spanning tree under mutual reachability.
 
     Each block first joins its points as far as no edge out of the block can be lighter. Then
-    rounds of Borůvka: a component's lightest edge out is taken from the
+    rounds of Borůvka. A point's or component's lightest edge out is taken from the
     neighbour lists when nothing outside them can be as light: an unlisted
     partner of a point is at least as far as the last listed one. Only points
     for which that does not settle it are searched for, within the weight
     already known, skipping blocks that lie inside the point's own component.
     """
-    joined = _joined_blocks(index, cores)
-    tree: list[DataFrame] = [joined.where("a IS NOT NULL").select("w", "a", "b")]
-    comps = cut_lineage(joined.where("a IS NULL").select("id", "comp"))
-    if comps.select("comp").distinct().limit(2).count() < 2:
-        return tree[0]
     n_points = cores.count()
     listed = cut_lineage(reach_edges(neighbours, cores))
     floor = (
@@ -111,6 +106,11 @@ def spanning_tree(index: Index, neighbours: DataFrame, cores: DataFrame) -> Data
             F.greatest(F.coalesce("_far", F.lit(float("inf"))), F.col("core")).alias("floor"),
         )
     )
+    joined = _joined_blocks(index, cores, listed, points)
+    tree: list[DataFrame] = [joined.where("a IS NOT NULL").select("w", "a", "b")]
+    comps = cut_lineage(joined.where("a IS NULL").select("id", "comp"))
+    if comps.select("comp").distinct().limit(2).count() < 2:
+        return tree[0]
     vectors = index.points.select("id", "vec")
     # Both directions, so that a component also sees lists that name it.
     live = cut_lineage(listed.union(listed.select("dst", "src", "w")).distinct())
@@ -170,20 +170,46 @@ def spanning_tree(index: Index, neighbours: DataFrame, cores: DataFrame) -> Data
 _JOINED = "id bigint, comp bigint, w double, a bigint, b bigint"
 
 
-def _joined_blocks(index: Index, cores: DataFrame) -> DataFrame:
+def _joined_blocks(index: Index, cores: DataFrame, listed: DataFrame, floors: DataFrame) -> DataFrame:
     """Spanning edges ``(w, a, b)`` that each block finds by itself, and ``(id, comp)`` of all points."""
     points = index.points.select("id", "block", "vec").join(cores, "id")
     away = cores.sparkSession.createDataFrame([], "id bigint, toward bigint, outside double")
     if len(index.block) > 1:
-        held = index.points.select("id", F.col("block").alias("comp"))
-        traits = cores.join(held, "id")
-        asked = points.select(F.col("id").alias("qid"), "vec", "core", F.col("block").alias("comp"))
-        found = search(index, asked, 1, traits=traits)
-        away = found.select(F.col("qid").alias("id"), F.col("id").alias("toward"), F.col("w").alias("outside"))
+        away = _away(index, cores, listed, floors)
     rows = points.join(away, "id", "left")
     return cut_lineage(rows.groupBy("block").applyInPandas(_join_block, _JOINED))
 
 
+def _away(index: Index, cores: DataFrame, listed: DataFrame, floors: DataFrame) -> DataFrame:
+    """``(id, toward, outside)``: each point's lightest edge out of its block.
+
+    ``listed`` is ``(src, dst, w)`` and ``floors`` ``(id, core, floor)``: edges that a point does not list
+    weigh its floor at least. Points whose listed edges out are not lighter are searched for, within their weight.
+    """
+    held = index.points.select("id", F.col("block").alias("comp"))
+    ends = held.select(F.col("id").alias("src"), F.col("comp").alias("cs"))
+    others = held.select(F.col("id").alias("dst"), F.col("comp").alias("cd"))
+    near = cut_lineage(
+        listed.join(ends, "src").join(others, "dst").where("cs <> cd")
+        .groupBy(F.col("src").alias("id"))
+        .agg(F.min(F.struct("w", "dst")).alias("best"))
+        .select("id", F.col("best.w").alias("w"), F.col("best.dst").alias("toward"))
+    )
+    bound = F.coalesce("w", F.lit(float("inf")))
+    open_points = cut_lineage(
+        floors.join(near.select("id", "w"), "id", "left")
+        .where((F.col("floor") <= bound) & (F.col("floor") < float("inf")))
+        .select("id", "core", bound.alias("bound"))
+    )
+    offers = near
+    if not open_points.isEmpty():
+        asked = open_points.join(index.points.select("id", "vec", F.col("block").alias("comp")), "id")
+        found = search(index, asked.withColumnRenamed("id", "qid"), 1, traits=cores.join(held, "id"))
+        offers = near.unionByName(found.select(F.col("qid").alias("id"), "w", F.col("id").alias("toward")))
+    best = offers.groupBy("id").agg(F.min(F.struct("w", "toward")).alias("best"))
+    return best.select("id", F.col("best.toward").alias("toward"), F.col("best.w").alias("outside"))
+
+
 def _join_block(rows: pd.DataFrame) -> pd.DataFrame:
     """Borůvka within a block; a component stops where its lightest edge may lead out of the block.
 
