@@ -71,6 +71,48 @@ def test_repeats_of_odd_rows_and_cut_texts(spark):
         suffix.digests(docs, 100)
 
 
+def passage_texts():
+    """Repeats of many lengths, also short ones at both ends of texts and twice within one text."""
+    draw = random.Random(9)
+    shared = [prose(800 + k, 60) for k in range(4)]
+    texts = repeated_texts()
+    for k in range(16):
+        a = draw.randint(0, 60)
+        cut = shared[k % 4][a : a + draw.choice([119, 120, 200, 239, 240, 241, 300, 390, 399])]
+        texts.append(prose(820 + k, draw.choice([0, 9])) + cut + prose(840 + k, draw.choice([0, 9])))
+    own = prose(870, 60)[:310]
+    texts.append(own + prose(871, 40) + own + prose(872, 40) + own)
+    return texts
+
+
+@pytest.mark.parametrize("n, short", [(400, 240), (400, 390), (640, 120), (240, 400)])
+def test_passages_are_counted_beside_the_removal(spark, n, short):
+    texts = passage_texts()
+    raw = [(t or "").encode() for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in suffix.digests(clashing(docs), n, short).collect()}
+    for i, (w, p) in enumerate(zip(cut_plainly(raw, n), cut_plainly(raw, short), strict=True)):
+        g = got[i]
+        assert (g["n_removed"], g["n_spans"], g["kept_sha256"]) == (*w[:2], hashlib.sha256(w[2]).hexdigest()), i
+        assert (g["n_passage_bytes"], g["n_passages"]) == p[:2], i
+
+
+def test_op1_shows_passages_of_fifty_words(spark, tmp_path):
+    """Below 400 bytes they stay in the text, as the contract says, but are counted."""
+    passage = " ".join(f"pass{k}" for k in range(51))
+    texts = [prose(900, 90) + " " + passage + " " + prose(901, 90), passage + " " + prose(902, 90), prose(903, 90), "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["op1_suffix_dedup"](spark, str(tmp_path))
+    assert got.columns[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    got = {r["doc_id"]: r for r in got.collect()}
+    assert len(passage.split()) == 51 and 240 <= len(passage) < 390
+    assert [got[i]["n_removed"] for i in range(5)] == [0] * 5
+    raw = [(t or "").encode() for t in texts]
+    assert [(got[i]["n_passage_bytes"], got[i]["n_passages"]) for i in range(5)] == [x[:2] for x in cut_plainly(raw, 240)]
+    assert got[0]["n_passage_bytes"] >= len(passage) and got[2]["n_passage_bytes"] == 0
+
+
 # --- near duplicates ----------------------------------------------------
 
 

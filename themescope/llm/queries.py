@@ -27,7 +27,7 @@ def query(fn):
 
 @query
 def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return suffix.digests(read(spark, folder, "documents"))
+    return suffix.digests(read(spark, folder, "documents"), passage_bytes=suffix.PASSAGE_BYTES)
 
 
 @query
