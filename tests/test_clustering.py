@@ -326,6 +326,69 @@ def test_blocks_of_a_silhouette_are_small(spark, monkeypatch):
     assert blocks.selectExpr("max(octet_length(x))").first()[0] <= 16 * 64 * 8
 
 
+def test_a_silhouette_passes_over_pairs_it_does_not_need(spark, monkeypatch, tmp_path):
+    """Clusters far apart: distances to the own cluster and to the nearest other one, not to all."""
+    rng = np.random.default_rng(13)
+    x = np.repeat(100.0 * rng.normal(size=(12, 6)), 150, axis=0) + rng.normal(size=(1800, 6))
+    label = [i // 150 for i in range(1800)]
+    rows = [(i, [float(v) for v in r], label[i]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "row_id bigint, vec array<double>, cluster int")
+    seen = str(tmp_path / "pairs")
+
+    def counted(x, y, real=km._exact_distances):
+        with open(seen, "a") as file:
+            file.write(f"{len(x) * len(y)}\n")
+        return real(x, y)
+
+    monkeypatch.setattr(km, "_exact_distances", counted)
+    assert km.silhouette(df).first()["silhouette"] == pytest.approx(brute.silhouette(x, label))
+    with open(seen) as file:
+        assert sum(map(int, file)) < 1800**2 // 2
+
+
+def test_silhouettes_of_several_labelings_match_brute_force(spark):
+    """Pieces of the finest labeling bound the others; a cluster of one row, copies, and a zero vector among them."""
+    x = np.vstack([brute.blobs(14, 200, 20), np.zeros((3, 6))])
+    x[5] = x[6]
+    rng = np.random.default_rng(14)
+    far = [np.argmin(brute.pairwise(np.vstack([x, x[rng.choice(len(x), k, False)]]))[: len(x), len(x) :], axis=1) for k in (3, 9, 5)]
+    far[0][7] = 40
+    rows = [(i, [float(v) for v in r], [int(q[i]) for q in far]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "row_id bigint, vec array<double>, labels array<int>")
+    got = {r["labeling"]: r["silhouette"] for r in km._mean_scores(df).collect()}
+    assert got == {q: pytest.approx(brute.silhouette(x, far[q].tolist())) for q in range(3)}
+
+
+def test_a_task_passes_on_the_candidates_that_lead_its_race(spark, monkeypatch):
+    x = np.random.default_rng(15).normal(size=(6000, 4))
+    rows = vectors(spark, x).coalesce(1)
+    raced = []
+
+    def counted(df, *args, real=km.first_in_group):
+        raced.append(df.count())
+        return real(df, *args)
+
+    monkeypatch.setattr(km, "first_in_group", counted)
+    data = km._prepared(rows)
+    tasks = data.rdd.getNumPartitions()
+    km._seeds(km._grid(data), 5, 2, 42)
+    assert max(raced) <= 2 * 10 * tasks
+    assert data.columns == ["ids", "x"]  # a pass reads bytes
+
+
+def test_a_pass_gives_rows_between_centres_to_the_first(spark):
+    x = np.array([[0.0, 0.0], [2.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 2.0]])
+    grid = km._grid(km._prepared(vectors(spark, x)))
+    centres = np.rint(np.array([[0.0, 0.0], [2.0, 0.0], [0.0, 0.0]]) * grid.scale)
+    for models in ([centres], [centres[:2], centres[1::-1], centres]):
+        for c, (means, some) in zip(models, km._step(grid, models), strict=True):
+            near = ((np.rint(x * grid.scale)[:, None] - c[None]) ** 2).sum(2).argmin(1)
+            for i in range(len(c)):
+                assert some[i] == (near == i).any()
+                if some[i]:
+                    assert means[i] == pytest.approx(np.rint(np.rint(x * grid.scale)[near == i].mean(0)))
+
+
 def test_sums_of_a_pass_reach_the_driver_once(spark, monkeypatch):
     x = brute.blobs(9, 400, 0, centres=6)
     rows = vectors(spark, x).repartition(6)
