@@ -253,6 +253,54 @@ def test_linkage_without_structure_takes_few_rounds(spark, monkeypatch):
     assert len(rounds) <= 2
 
 
+@pytest.mark.parametrize("apart", [1.0, 1e-3, 1e-9])
+def test_two_nearest_are_exact_however_close_clusters_are(monkeypatch, apart):
+    """Single precision finds them only where it can tell; merged clusters and the asking one do not count."""
+    monkeypatch.setattr(linkage, "_ASKS", 16)
+    monkeypatch.setattr(linkage, "_TILE_ROWS", 32)
+    rng = np.random.default_rng(16)
+    mean = np.eye(8)[0] + apart * rng.normal(size=(150, 8))
+    mean[40] = mean[7]
+    dead = np.where(rng.random(150) < 0.3, np.inf, 0.0)
+    dead[[7, 40]] = 0.0
+    middle = mean.mean(0)
+    side = linkage._side(mean, middle)
+    side[dead > 0, -1] = linkage._DEAD
+    asks = np.flatnonzero(dead == 0)
+    best, w, second = linkage._two_nearest(mean, middle, side, dead, asks)
+    far = 1.0 - mean[asks] @ mean.T + dead
+    far[np.arange(len(asks)), asks] = np.inf
+    assert np.allclose(w, far.min(1), rtol=0, atol=1e-14)
+    assert np.allclose(far[np.arange(len(asks)), best], far.min(1), rtol=0, atol=1e-14)
+    far[np.arange(len(asks)), best] = np.inf
+    assert (second <= far.min(1) + 1e-14).all()
+    assert np.allclose(second, far.min(1), rtol=0, atol=1e-3 * apart + 1e-14)
+    dead[:] = np.inf
+    dead[asks[:1]] = 0.0
+    side[:, -1] = np.where(dead > 0, linkage._DEAD, 0.0)
+    best, w, second = linkage._two_nearest(mean, middle, side, dead, asks[:1])
+    assert best.tolist() == asks[:1].tolist() and np.isinf([w, second]).all()
+
+
+@pytest.mark.parametrize("apart", [1.0, 1e-3, 1e-8])
+@pytest.mark.parametrize("k", [1, 3])
+def test_products_find_the_nearest_however_close_points_are(monkeypatch, apart, k):
+    from themescope.operators import neighbors
+
+    monkeypatch.setattr(neighbors, "_DOT_CHUNK", 16)
+    rng = np.random.default_rng(17)
+    x = np.eye(6)[1] + apart * rng.normal(size=(90, 6))
+    x[3] = x[50]
+    q, weight = x[:60], np.array([1.0 - (v * x).sum(1) for v in x[:60]])
+    weight[np.arange(60), np.arange(60)] = np.inf
+    want = np.argsort(weight, axis=1, kind="stable")[:, :k]
+    ids, zero = np.arange(90), np.zeros(90)
+    for bound in (np.full(60, np.inf), np.take_along_axis(weight, want, 1)[:, -1]):
+        row, found, w = neighbors._best(q, zero[:60], ids[:60], bound, x, ids, zero, ids, k, "dot")
+        assert np.array_equal(found.reshape(60, k), want) and np.array_equal(row, np.repeat(np.arange(60), k))
+        assert np.array_equal(w, np.take_along_axis(weight, want, 1).ravel())
+
+
 @pytest.mark.parametrize("n", [63, 64, 65])
 def test_linkage_is_the_same_around_the_size_of_a_group(spark, n):
     x = np.random.default_rng(n).normal(size=(n, 5))
